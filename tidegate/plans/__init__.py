@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nexmark",)
+MODULES = ("nexmark", "dataflow", "joins", "aggs")
 
 
 def load_all() -> None:
