@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nexmark", "dataflow", "joins", "aggs")
+MODULES = ("nexmark", "dataflow", "joins", "aggs", "stats", "ordering")
 
 
 def load_all() -> None:

@@ -52,14 +52,13 @@ def op_partition_by(t):
 
 @query(
     "op_broadcast",
-    """SELECT r_name, count(*) AS nations FROM nation, region WHERE r_regionkey <= n_regionkey GROUP BY r_name""",
+    """SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
 )
 def op_broadcast(t):
-    # Each task gets every message of the control stream. The region table has a fixed number
-    # of rows, and Spark broadcasts it by its own size check.
-    control = t.region.select("r_regionkey", "r_name")
-    seen = t.nation.join(control, F.col("r_regionkey") <= F.col("n_regionkey"))
-    return seen.groupBy("r_name").agg(F.count(F.lit(1)).alias("nations"))
+    # Every task gets every message of the control stream, here the nations. There is no
+    # hint: Spark broadcasts a side only while it is below its size threshold.
+    control = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return t.customer.join(control, "c_nationkey").groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
 
 
 @query(

@@ -94,6 +94,8 @@ def duckdb_sql(text: str) -> str:
     if not ctes:
         return text.strip()
     body = text.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {', '.join(ctes)}, {body[5:]}"
     return f"WITH {', '.join(ctes)} {body}"
