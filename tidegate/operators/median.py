@@ -30,8 +30,10 @@ def running_median(
     if not split:
         return base.groupBy(*keys).applyInPandas(_fold(order, value, name), schema)
     rows = sliced.withColumnRenamed(SLICE, "slice").groupBy(*keys, "slice")
-    seeds = _seeds(sliced, keys, value).groupBy(*keys, "slice")
-    return rows.cogroup(seeds).applyInPandas(_fold_seeded(order, value, name, base.columns), schema)
+    seeds = _seeds(sliced, keys, value)
+    # New names, as both sides come from the same rows and a cogroup matches keys by place.
+    seeds = seeds.withColumnsRenamed({k: f"_s_{k}" for k in [*keys, "slice"]})
+    return rows.cogroup(seeds.groupBy(*[f"_s_{k}" for k in [*keys, "slice"]])).applyInPandas(_fold_seeded(order, value, name, base.columns), schema)
 
 
 def _fold(order: list[str], value: str, name: str):

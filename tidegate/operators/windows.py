@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.ordered import micros, number_rows, previous, running
+from tidegate.operators.ordered import micros, number_rows
 
 
 def pane_start(ts: str, width: str) -> Column:
@@ -122,11 +122,10 @@ def since_first_trigger(df: DataFrame, keys: list[str], ts: str, width: str, del
 
 
 def since_last_trigger(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], width: str, delay_seconds: int
+    df: DataFrame, keys: list[str], ts: str, width: str, delay_seconds: int
 ) -> DataFrame:
     """Firing of timeSinceLastMessage per (key, window): the first moment the pane has been
     quiet for the delay. Each message resets the timer; the trigger fires once."""
-    delay = delay_seconds * 1_000_000
     window_keys = [*keys, "window_start"]
     runs = sessions(panes(df, ts, width), ts, delay_seconds, window_keys, {"count": ("count", ts)})
     # Runs of a pane are bounded by its length over the delay; the first is the firing.
@@ -150,8 +149,3 @@ def any_trigger(
         F.when(by_count, F.lit(n)).otherwise(F.col("seen")).cast("bigint").alias("seen"),
     )
 
-
-__all__ = [
-    "any_trigger", "count_trigger", "early_panes", "panes", "previous", "running", "session_stream",
-    "sessions", "since_first_trigger", "since_last_trigger", "tumbling",
-]
