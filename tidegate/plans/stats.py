@@ -13,12 +13,12 @@ from tidegate.registry import query
 @query(
     "stat_mean",
     """SELECT device, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n,
-    round(sum(CAST(round(value * 100) AS BIGINT)) / count(*), 6) AS mean FROM reading GROUP BY device""",
+    sum(CAST(round(value * 100) AS BIGINT)) / count(*) AS mean FROM reading GROUP BY device""",
 )
 def stat_mean(t):
     cents = F.round(F.col("value") * 100).cast("bigint")
     return t.reading.groupBy("device").agg(
-        F.sum(cents).alias("cents"), F.count(F.lit(1)).alias("n"), F.round(F.avg(cents), 6).alias("mean")
+        F.sum(cents).alias("cents"), F.count(F.lit(1)).alias("n"), F.avg(cents).alias("mean")
     )
 
 
