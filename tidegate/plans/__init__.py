@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("nexmark", "dataflow", "joins", "aggs", "stats", "ordering", "sql", "windows", "words", "apps", "streams")
+MODULES = ("nexmark", "dataflow", "joins", "aggs", "stats", "ordering", "sql", "windows", "words", "apps", "io", "streams")
 
 
 def load_all() -> None:

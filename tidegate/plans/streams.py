@@ -104,14 +104,16 @@ def win_session_stream(t):
     HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
 )
 def wm_late_drop(t):
-    # Two files: the second half of the events, then the first. When the first half arrives
-    # the watermark has passed all its windows, so it is dropped.
+    # Three micro-batches: the second half of the events in two files, then the first half.
+    # Spark drops late rows by the watermark the batch before had, so only the third batch
+    # meets one that has passed its windows; all of it is late.
     path = work_path(t.spark, "late")
-    events = t.events.select("event_id", "ts")
+    events = t.events.select("event_id", "ts", "event_type")
     schema = events.schema
     late = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
-    events.filter(~late).coalesce(1).write.parquet(f"{path}/part=0")
-    events.filter(late).coalesce(1).write.parquet(f"{path}/part=1")
+    views = F.col("event_type") == "view"
+    for i, part in enumerate((~late & views, ~late & ~views, late)):
+        events.filter(part).coalesce(1).write.parquet(f"{path}/part={i}")
     counted = windows.tumbling(
         file_stream(t.spark, f"{path}/*", schema, files_per_batch=1).withWatermark("ts", "1 day"),
         "ts", "1 day", [], {"n": F.count(F.lit(1))},

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidegate.operators.ordered import number_rows
+
 
 def topic_stream(spark: SparkSession, servers: str, topics: str, *, pattern: bool = False, start: str = "latest", **options):
     """A Kafka topic, or all topics that match a pattern; needs the Kafka connector package.
@@ -72,10 +74,16 @@ def fixed_length(spark: SparkSession, path: str, length: int) -> DataFrame:
     return spark.sparkContext.binaryRecords(path, length).map(lambda r: (bytearray(r),)).toDF("record binary")
 
 
-def n_line_groups(lines: DataFrame, n: int) -> DataFrame:
-    """Number the lines in file order and give every ``n`` of them one group, each group in one task."""
-    numbered = lines.rdd.zipWithIndex().map(lambda p: (p[1], p[0][0])).toDF("line bigint, value string")
-    return numbered.withColumn("split", F.floor(F.col("line") / n)).repartition("split")
+def n_line_groups(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Number the lines of each file and give every ``n`` of them one group: columns file, split, line
+    (from 0) and value. A large file is read in blocks, and numbered block by block."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"), "value",
+    )
+    numbered = number_rows(lines, ["file"], ["_block", "_seq"], F.col("_block"), "_rn")
+    line = F.col("_rn") - 1
+    return numbered.select("file", F.floor(line / n).alias("split"), line.alias("line"), "value").repartition("file", "split")
 
 
 def sequence_file(spark: SparkSession, path: str, schema: str, decode: Callable = lambda k, v: (k, v)) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidegate.session import work_path
 
@@ -46,7 +47,7 @@ def run_update(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def newest(spark: SparkSession, path: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    stored = spark.read.schema(df.schema.add("batch", "bigint")).parquet(path)
+    stored = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(path)
     rest = [c for c in df.columns if c not in keys]
     last = F.max_by(F.struct(*rest), "batch").alias("_v")
     return stored.groupBy(*keys).agg(last).select(*keys, "_v.*")

@@ -9,12 +9,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
-from tidegate.streaming.harness import state_store
-
 
 def arrivals(rows, *order: str) -> pd.DataFrame:
     frames = [f for f in rows if len(f)]
@@ -139,23 +136,26 @@ class WatermarkCallback(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         new = arrivals(rows, "ts", "id")
         self.held.appendList([(int(r.ts), int(r.id)) for r in new.itertuples(index=False)])
-        for due in {int(ts) // 1000 + 1 for ts in new["ts"]}:
-            self.handle.registerTimer(due)
+        self.handle.registerTimer(self._due(new["ts"].iloc[0]))
         yield pd.DataFrame([], columns=["key", "ts", "id", "place"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted(self.held.get()) if self.held.exists() else []
-        ready = [h for h in held if h[0] // 1000 + 1 <= due]
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(h) for h in self.held.get()) if self.held.exists() else []
+        ready = [h for h in held if self._due(h[0]) <= passed]
         rest = held[len(ready):]
         if rest:
-            self.held.put([tuple(h) for h in rest])
+            self.held.put(rest)
+            self.handle.registerTimer(self._due(rest[0][0]))
         else:
             self.held.clear()
         n = self.place.get()[0] if self.place.exists() else 0
         self.place.update((n + len(ready),))
         yield pd.DataFrame([(key[0], h[0], h[1], n + i + 1) for i, h in enumerate(ready)], columns=["key", "ts", "id", "place"])
 
+    def _due(self, ts) -> int:
+        return int(ts) // 1000 + 1
+
     def close(self) -> None:
         pass
 
@@ -220,8 +220,3 @@ def stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schem
         timeMode="EventTime" if timers else "None",
     )
 
-
-__all__ = [
-    "CountPanes", "F", "LatestTtlJoin", "MatchOrders", "QuietTimer", "RunningTotals", "WatermarkCallback",
-    "stateful", "state_store",
-]
