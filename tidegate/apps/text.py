@@ -14,7 +14,7 @@ def sentiment(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame)
     """
     clean = F.lower(F.regexp_replace(F.col(text_col), r"\p{Punct}|\n", " "))
     words = texts.select(id_col, F.explode_outer(F.split(clean, " ")).alias("word"))
-    words = words.withColumn("word", F.regexp_replace("word", r"^\s+|\s+$", ""))
+    words = words.withColumn("word", F.btrim("word", F.lit(" \t\n\r\f\u000b")))
     scored = words.join(lexicon, "word", "left").groupBy(id_col).agg(F.coalesce(F.sum("score"), F.lit(0)).alias("score"))
     label = F.when(F.col("score") > 0, "Positive").when(F.col("score") < 0, "Negative").otherwise("Neutral")
     return scored.withColumn("sentiment", label)

@@ -28,19 +28,32 @@ def running_median(
     sliced, split = slice_hot_keys(base, keys, pos)
     schema = base.withColumn(name, F.lit(0.0)).schema
     if not split:
-        return base.groupBy(*keys).applyInPandas(_fold(order, value, name), schema)
+        # The number of partitions is fixed, as the work is in Python and small data would be
+        # coalesced into few tasks.
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+        placed = base.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+        return placed.mapInPandas(_fold(keys, value, name), schema)
     rows = sliced.withColumnRenamed(SLICE, "slice").groupBy(*keys, "slice")
     seeds = _seeds(sliced, keys, value)
     # New names, as both sides come from the same rows and a cogroup matches keys by place.
     seeds = seeds.withColumnsRenamed({k: f"_s_{k}" for k in [*keys, "slice"]})
-    return rows.cogroup(seeds.groupBy(*[f"_s_{k}" for k in [*keys, "slice"]])).applyInPandas(_fold_seeded(order, value, name, base.columns), schema)
+    grouped = seeds.groupBy(*[f"_s_{k}" for k in [*keys, "slice"]])
+    return rows.cogroup(grouped).applyInPandas(_fold_seeded(order, value, name, base.columns), schema)
 
 
-def _fold(order: list[str], value: str, name: str):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        frame[name] = _medians(frame[value].to_numpy(), np.empty(0), 0, 0)
-        return frame
+def _fold(keys: list[str], value: str, name: str):
+    """Scan sorted rows; only the heaps of the current key are held."""
+
+    def run(batches):
+        current, medians = None, None
+        for batch in batches:
+            result = np.empty(len(batch))
+            for i, (key, v) in enumerate(zip(batch[keys].itertuples(index=False, name=None), batch[value])):
+                if key != current:
+                    current, medians = key, Medians()
+                result[i] = medians.add(v)
+            batch[name] = result
+            yield batch
 
     return run
 
@@ -49,7 +62,8 @@ def _fold_seeded(order: list[str], value: str, name: str, columns: list[str]):
     def run(frame: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
         near, half, total = _within_reach(seed, len(frame))
-        frame[name] = _medians(frame[value].to_numpy(), near, half, total)
+        medians = Medians(near, half, total)
+        frame[name] = [medians.add(v) for v in frame[value]]
         return frame[[*columns, name]]
 
     return run
@@ -71,22 +85,24 @@ def _within_reach(seed: pd.DataFrame, rows: int) -> tuple[np.ndarray, int, int]:
     return np.repeat(near["v"].to_numpy(), kept), half, total
 
 
-def _medians(values: np.ndarray, near: np.ndarray, half: int, total: int) -> np.ndarray:
-    """Running medians of ``values`` after ``total`` earlier ones, of which ``near`` are those around
-    the middle, in order, the first ``half`` of them in the lower half."""
-    low = [-v for v in near[:half][::-1]]
-    high = list(near[half:])
-    even = total % 2 == 0
-    result = np.empty(len(values))
-    for i, v in enumerate(values):
-        if even:
-            heappush(low, -heappushpop(high, v))
-            result[i] = -low[0]
+class Medians:
+    """Running median after ``total`` earlier values, of which ``near`` are those around the middle, in
+    order, the first ``half`` of them in the lower half."""
+
+    def __init__(self, near: np.ndarray = (), half: int = 0, total: int = 0):
+        self.low = [-v for v in near[:half][::-1]]
+        self.high = list(near[half:])
+        self.even = total % 2 == 0
+
+    def add(self, v: float) -> float:
+        if self.even:
+            heappush(self.low, -heappushpop(self.high, v))
+            result = -self.low[0]
         else:
-            heappush(high, -heappushpop(low, -v))
-            result[i] = (high[0] - low[0]) / 2
-        even = not even
-    return result
+            heappush(self.high, -heappushpop(self.low, -v))
+            result = (self.high[0] - self.low[0]) / 2
+        self.even = not self.even
+        return result
 
 
 def _seeds(sliced: DataFrame, keys: list[str], value: str) -> DataFrame:

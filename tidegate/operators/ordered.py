@@ -49,7 +49,7 @@ def slice_hot_keys(df: DataFrame, keys: list[str], pos: Column) -> tuple[DataFra
     rows = hot.collect()
     if not rows:
         return df.withColumn(SLICE, F.lit(0)), False
-    hot_keys = F.broadcast(spark.createDataFrame(rows, hot.schema))
+    hot_keys = F.broadcast(spark.createDataFrame(rows, hot.schema))  # at most rows / limit of them
     tagged = df.withColumn("_pos", pos.cast("double")).join(hot_keys, same_keys(keys, "", "_hot_"), "left")
     parts = -(-sum(r["_hot_n"] for r in rows) // limit) * 2
     cuts = tagged.filter("_hot_n IS NOT NULL").approxQuantile(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidegate.apps import latency, markov, sensors, stock, text
@@ -152,14 +153,24 @@ LEXICON = {
     SELECT doc_id, score, CASE WHEN score > 0 THEN 'Positive' WHEN score < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM s""",
 )
 def sentiment(t):
-    lexicon = t.spark.createDataFrame(list(LEXICON.items()), "word string, score bigint")
-    tweets = t.documents.select(
-        F.to_json(
-            F.struct(F.col("doc_id").cast("string").alias("id_str"), "text", F.lit("Mon Jan 01 00:00:00 +0000 2024").alias("created_at"))
-        ).alias("value")
+    # From a pandas frame, so that Spark knows how small the lexicon is.
+    lexicon = t.spark.createDataFrame(pd.DataFrame(LEXICON.items(), columns=["word", "score"]), "word string, score bigint")
+    return text.sentiment(t.spread("documents", "doc_id"), "doc_id", "text", lexicon)
+
+
+@query(
+    "tweet_parse",
+    """SELECT CAST(doc_id AS VARCHAR) AS id_str, text, 1704067200000000 + doc_id * 1000000 AS created_at FROM documents WHERE lang <> 'de'""",
+)
+def tweet_parse(t):
+    # Tweets as JSON lines; those of one language lack a field.
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
+    tweet = F.struct(
+        F.col("doc_id").cast("string").alias("id_str"), "text",
+        F.when(F.col("lang") != "de", F.date_format(at, "EEE MMM dd HH:mm:ss Z yyyy")).alias("created_at"),
     )
-    scored = text.sentiment(text.parse_tweets(tweets), "id_str", "text", lexicon)
-    return scored.select(F.col("id_str").cast("bigint").alias("doc_id"), "score", "sentiment")
+    parsed = text.parse_tweets(t.documents.select(F.to_json(tweet).alias("value")))
+    return parsed.withColumn("created_at", F.unix_micros("created_at"))
 
 
 EDIT = """concat(CASE WHEN user_id % 7 = 0 THEN 'Talk:' WHEN user_id % 11 = 0 THEN 'Special:' ELSE '' END, 'Page ', event_type)"""

@@ -95,7 +95,7 @@ def map_field_select(t):
     FROM documents) GROUP BY m""",
 )
 def map_regex(t):
-    found = ops.regex_matches(t.documents, "text", "[a-z]+(tion|ment)", 1)
+    found = ops.regex_matches(t.spread("documents", "doc_id"), "text", "[a-z]+(tion|ment)", 1)
     return found.groupBy("match").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegate.operators import joins, windows
 from tidegate.plans.nexmark import SELECTED, euros
@@ -11,14 +12,14 @@ from tidegate.session import work_path
 from tidegate.sources.readers import file_stream
 from tidegate.streaming import processors as ps
 from tidegate.streaming.harness import run_append, run_update, state_store
+from tidegate.views import SCHEMAS
 
 HOUR_US = 3_600_000_000
 DAY_MS = 86_400_000
 
 
 def stream(t, table="events"):
-    schema = t.spark.read.parquet(f"{t.sf_dir}/{table}.parquet").schema
-    return file_stream(t.spark, t.sf_dir, schema, glob=f"{table}.parquet")
+    return file_stream(t.spark, t.sf_dir, StructType.fromDDL(SCHEMAS[table]), glob=f"{table}.parquet")
 
 
 def bids(t):

@@ -19,7 +19,7 @@ SPLIT = r"unnest(regexp_split_to_array(text, '[ \t\n\r\f]+'))"
 
 @query("word_count", f"SELECT token, count(*) AS n FROM (SELECT {SPLIT} AS token FROM documents) WHERE token <> '' GROUP BY token")
 def word_count(t):
-    return tokens(t.documents, "text").groupBy("token").agg(rows_seen().alias("n"))
+    return tokens(t.spread("documents", "doc_id"), "text").groupBy("token").agg(rows_seen().alias("n"))
 
 
 @query(
@@ -28,7 +28,7 @@ def word_count(t):
     GROUP BY ALL) """ + HIST_SELECT.format(id="lang"),
 )
 def word_hist(t):
-    return rounded(value_histogram(tokens(t.documents.select("lang", "text"), "text"), "lang", "token"))
+    return rounded(value_histogram(tokens(t.spread("documents", "doc_id").select("lang", "text"), "text"), "lang", "token"))
 
 
 @query(
@@ -38,7 +38,7 @@ def word_hist(t):
 )
 def word_len_stats(t):
     # The statistics run on one row per distinct length, which a longest word bounds.
-    lengths = tokens(t.documents, "text").groupBy(F.length("token").alias("len")).agg(rows_seen().alias("f"))
+    lengths = tokens(t.spread("documents", "doc_id"), "text").groupBy(F.length("token").alias("len")).agg(rows_seen().alias("f"))
     total = F.sum("f")
     mean = F.sum(F.col("len") * F.col("f")) / total
     square = F.sum(F.col("len") * F.col("len") * F.col("f"))
@@ -71,7 +71,7 @@ def word_count_multi(t):
 def grep(t):
     from tidegate.operators.ordering import total_rank
 
-    counts = regex_matches(t.documents, "text", "[a-z]*tion").groupBy("match").agg(rows_seen().alias("n"))
+    counts = regex_matches(t.spread("documents", "doc_id"), "text", "[a-z]*tion").groupBy("match").agg(rows_seen().alias("n"))
     ranked = total_rank(counts.withColumn("_down", -F.col("n")), ["_down", "match"], F.col("_down"), "place")
     return ranked.select("match", "n", "place")
 
