@@ -57,6 +57,13 @@ def test_override_takes_right_most_source(spark):
     assert rows(out) == [(1, "a"), (2, "b"), (2, "b2"), (3, "c")]
 
 
+@pytest.mark.parametrize("how", ["inner", "full_outer"])
+def test_merge_of_unique_sources(spark, how):
+    a = spark.createDataFrame([(1, "a1"), (2, "a2")], "k int, a string")
+    b = spark.createDataFrame([(2, 20, None), (3, 30, "x")], "k int, b int, c string")
+    assert rows(joins.merge_unique([a, b], "k", how)) == rows(joins.merge_join([a, b], "k", how))
+
+
 def test_tagged_join_drops_single_tags(spark):
     a = spark.createDataFrame([(1, 10), (2, 20)], "k int, v int")
     b = spark.createDataFrame([(2, 200), (3, 300)], "k int, v int")
@@ -342,6 +349,7 @@ def test_keyed_table(spark, folder):
     assert rows(table.read(), "k", "v") == [(2, "d"), (3, "e")]
     assert rows(table.get_all(spark.createDataFrame([(3,), (9,)], "k int")), "k", "v") == [(3, "e")]
     table.compact()
+    table = KeyedTable(spark, folder, ["k"])
     table.put_all(spark.createDataFrame([(1, "z", 1)], "k int, v string, seq int"), batch=table.next_batch)
     assert rows(table.read(), "k", "v") == [(1, "z"), (2, "d"), (3, "e")]
 

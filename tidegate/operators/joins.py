@@ -86,6 +86,21 @@ def merge_join(sources: list[DataFrame], key: str, how: str = "inner") -> DataFr
     return reduce(lambda a, b: a.join(b, key, how), sources)
 
 
+def merge_unique(sources: list[DataFrame], key: str, how: str = "inner") -> DataFrame:
+    """The same for sources with at most one row per key: the sources are merged by one aggregation,
+    with one shuffle however many there are."""
+    def packed(i: int, df: DataFrame) -> DataFrame:
+        return df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(f"_s{i}"))
+
+    merged = reduce(lambda a, b: a.unionByName(b, True), [packed(i, df) for i, df in enumerate(sources)])
+    slots = [f"_s{i}" for i in range(len(sources))]
+    # Each slot of a key has one value, so any non-null one is it.
+    grouped = merged.groupBy(key).agg(*[F.any_value(s, ignoreNulls=True).alias(s) for s in slots])
+    if how == "inner":
+        grouped = grouped.dropna(subset=slots)
+    return grouped.select(key, *[f"{s}.*" for s in slots])
+
+
 def override_join(sources: list[DataFrame], key: str) -> DataFrame:
     """Per key keep the rows of the right-most source that has it. Sources share a schema."""
     kept, later = [], None

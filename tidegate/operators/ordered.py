@@ -24,6 +24,10 @@ from tidegate.session import rows_per_task
 
 SLICE = "_slice"
 
+# Cut points are taken from a quantile sketch, whose size grows with their number. With more rows
+# per slice than a task should hold, the window's sort spills; the result is the same.
+MAX_SLICES = 16_384
+
 
 def micros(ts: str) -> Column:
     """Position of a timestamp column."""
@@ -51,7 +55,7 @@ def slice_hot_keys(df: DataFrame, keys: list[str], pos: Column) -> tuple[DataFra
         return df.withColumn(SLICE, F.lit(0)), False
     hot_keys = F.broadcast(spark.createDataFrame(rows, hot.schema))  # at most rows / limit of them
     tagged = df.withColumn("_pos", pos.cast("double")).join(hot_keys, same_keys(keys, "", "_hot_"), "left")
-    parts = -(-sum(r["_hot_n"] for r in rows) // limit) * 2
+    parts = min(-(-sum(r["_hot_n"] for r in rows) // limit) * 2, MAX_SLICES)
     cuts = tagged.filter("_hot_n IS NOT NULL").approxQuantile(
         "_pos", [i / parts for i in range(1, parts)], 1 / (4 * parts)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.apps import latency, markov, sensors, stock, text
 from tidegate.registry import query
+from tidegate.session import materialized
 
 SO = "ts, order_no, line, part_id, cents, volume, side"
 ORDER_FIELDS = """concat_ws('|', CAST(order_no AS {s}), CASE WHEN order_no % 10 = 0 THEN '' ELSE 'A' END, '', '', '', '', '', '',
@@ -129,7 +130,7 @@ def markov_train(t):
     SELECT event_id, entity, round(score, 6) AS score, score > 0.805 AS outlier FROM v WHERE k = 4""",
 )
 def fraud_score(t):
-    moves = _moves(t)
+    moves = materialized(_moves(t), "moves")  # read by the training and by the scoring
     model = markov.train(moves, "state", STATES, 1)
     out = markov.score(moves, "entity", "state", ["ts", "event_id"], model, 5, 0.805)
     return out.select("event_id", "entity", F.round("score", 6).alias("score"), "outlier")

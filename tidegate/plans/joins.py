@@ -120,7 +120,7 @@ def join_nway_outer(t):
     qty = t.lineitem.filter("l_quantity > 40").groupBy(F.col("l_orderkey").alias("k")).agg(
         F.sum("l_quantity").cast("bigint").alias("qty")
     )
-    return ops.merge_join([big, ships, qty], "k", "full_outer")
+    return ops.merge_unique([big, ships, qty], "k", "full_outer")
 
 
 @query(

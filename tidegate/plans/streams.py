@@ -253,7 +253,7 @@ def stock_match_stream(t):
         F.col("l_suppkey").alias("security"), F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_quantity").cast("bigint").alias("volume"),
         F.when(F.col("l_returnflag") == "A", "B").otherwise("S").alias("side"), F.unix_micros("l_shipdate").alias("ts"),
-        F.col("l_partkey").alias("part_id"), F.date_format(F.date_trunc("month", "l_shipdate"), "yyyy-MM-dd").alias("session"),
+        F.col("l_partkey").alias("part_id"), F.date_format(F.date_trunc("year", "l_shipdate"), "yyyy-MM-dd").alias("session"),
     )
     with state_store(t.spark):
         return run_append(ps.stateful(orders, ["security", "session"], ps.MatchOrders(), ps.MatchOrders.SCHEMA))

@@ -11,6 +11,7 @@ from tidegate.operators.dataflow import regex_matches, tokens
 from tidegate.operators.windows import sessions
 from tidegate.plans.aggs import HIST_SELECT, rounded
 from tidegate.registry import query
+from tidegate.session import materialized
 
 def rows_seen():
     return F.count(F.lit(1))
@@ -72,6 +73,7 @@ def grep(t):
     from tidegate.operators.ordering import total_rank
 
     counts = regex_matches(t.spread("documents", "doc_id"), "text", "[a-z]*tion").groupBy("match").agg(rows_seen().alias("n"))
+    counts = materialized(counts, "grep")  # the ranking reads the counts more than once
     ranked = total_rank(counts.withColumn("_down", -F.col("n")), ["_down", "match"], F.col("_down"), "place")
     return ranked.select("match", "n", "place")
 

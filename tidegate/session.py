@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows one task may hold of one key before an ordered operator splits the key.
 ROWS_PER_TASK_CONF = "spark.tidegate.rowsPerTask"
@@ -64,3 +64,11 @@ def _local_scratch() -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several jobs use to the shared folder and read it back: it is computed once,
+    and an executor that is lost takes nothing of it along."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

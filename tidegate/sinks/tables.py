@@ -3,6 +3,7 @@ newest row per key."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,15 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
-        self.next_batch = 0
         self.base = 0
+        self.next_batch = self._stored_batches()
+
+    def _stored_batches(self) -> int:
+        """The number after the last batch in the folder, so that a reopened table goes on from there."""
+        try:
+            return (self.spark.read.parquet(self.path).agg(F.max("batch")).first()[0] or 0) + 1
+        except AnalysisException:  # no batch yet
+            return 0
 
     def put_all(self, rows: DataFrame, order: list[str] | None = None, batch: int | None = None) -> None:
         """Insert or replace by key. Of several rows of one key the last by ``order`` counts."""

@@ -27,15 +27,13 @@ def topic_stream(spark: SparkSession, servers: str, topics: str, *, pattern: boo
 def file_stream(
     spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int | None = None, glob: str | None = None
 ) -> DataFrame:
-    """A growing folder as a stream. Timestamps without zone become instants, as watermarks need."""
+    """A growing folder as a stream. The schema gives event times as ``timestamp``, as watermarks need."""
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path)
-    casts = {f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"}
-    return df.withColumns(casts) if casts else df
+    return reader.load(path)
 
 
 def keep_files(df: DataFrame, whitelist: str = ".*", blacklist: str | None = None) -> DataFrame:
