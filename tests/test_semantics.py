@@ -411,3 +411,25 @@ def test_auto_text(spark, folder):
     df.select(F.concat_ws("\t", "k", "v").alias("value")).write.text(f"{folder}/text")
     df.rdd.map(tuple).saveAsSequenceFile(f"{folder}/seq")
     assert rows(readers.auto_text(spark, f"{folder}/text")) == rows(readers.auto_text(spark, f"{folder}/seq"))
+
+
+def test_avro_schema():
+    from tidegate.sources.avro_schema import row_schema
+
+    record = {
+        "type": "record",
+        "fields": [
+            {"name": "id", "type": ["null", "int"]}, {"name": "two", "type": ["long", "string"]},
+            {"name": "many", "type": ["null", "int", "string"]}, {"name": "kind", "type": {"type": "enum", "symbols": ["A"]}},
+            {"name": "raw", "type": {"type": "fixed", "size": 4}}, {"name": "tags", "type": {"type": "array", "items": "string"}},
+            {"name": "attrs", "type": {"type": "map", "values": "double"}},
+            {"name": "sub", "type": {"type": "record", "fields": [{"name": "x", "type": "boolean"}]}},
+        ],
+    }
+    got = row_schema(record)
+    assert got.simpleString() == (
+        "struct<id:int,two:bigint,many:string,kind:string,raw:binary,tags:array<string>,attrs:map<string,double>,sub:struct<x:boolean>>"
+    )
+    assert all(f.nullable for f in got)
+    with pytest.raises(ValueError):
+        row_schema({"type": "array", "items": "int"})

@@ -55,11 +55,14 @@ def interval_join(
     """
     d = seconds * 1_000_000
     width = 2 * d
+
+    def bucket(t: Column) -> Column:
+        return t - F.pmod(t, F.lit(width))
+
     t = F.unix_micros(F.col(rts))
-    spread = right.withColumn(
-        "_b", F.explode(F.sequence(F.floor((t - d) / width), F.floor((t + d) / width)))
-    ).withColumnRenamed(key, "_rkey")
-    bucketed = left.withColumn("_lb", F.floor(F.unix_micros(F.col(lts)) / width))
+    touched = F.sequence(bucket(t - d), bucket(t + d), F.lit(width).cast("bigint"))
+    spread = right.withColumn("_b", F.explode(touched)).withColumnRenamed(key, "_rkey")
+    bucketed = left.withColumn("_lb", bucket(F.unix_micros(F.col(lts))))
     near = F.abs(F.unix_micros(F.col(lts)) - F.unix_micros(F.col(rts))) <= d
     joined = bucketed.join(spread, (F.col(key) == F.col("_rkey")) & (F.col("_lb") == F.col("_b")) & near, how)
     return joined.drop("_lb", "_b", "_rkey")

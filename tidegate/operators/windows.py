@@ -43,13 +43,13 @@ def sessions(df: DataFrame, ts: str, gap_seconds: int, keys: list[str], out: dic
     """
     gap = gap_seconds * 1_000_000
     t = micros(ts)
-    buckets = df.groupBy(*keys, F.floor(t / gap).alias("_b")).agg(
+    buckets = df.groupBy(*keys, (t - F.pmod(t, F.lit(gap))).alias("_b")).agg(
         F.min(t).alias("_first"), F.max(t).alias("_last"), *[FIRST[k](c).alias(n) for n, (k, c) in out.items()]
     )
     by_time = Window.partitionBy(*keys).orderBy("_b")
     breaks = F.col("_first") - F.lag("_last").over(by_time) > gap
     numbered = buckets.withColumn("_new", F.when(breaks, 1).otherwise(0)).withColumn(
-        "_session", F.sum("_new").over(by_time)
+        "_session", F.sum("_new").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
     )
     return (
         numbered.groupBy(*keys, "_session")

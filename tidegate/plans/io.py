@@ -165,7 +165,7 @@ def src_xml_records(t):
     GROUP BY user_id""",
 )
 def sink_table_upsert(t):
-    # Three changes: views are put, all other events are put, and some users are deleted.
+    # Three changes: the older half of the events, the newer half, and the deletion of some users.
     table = KeyedTable(t.spark, work_path(t.spark, "table"), ["user_id"])
     last = F.col("event_type").alias("last_type")
     half = t.events.agg(F.max("event_id")).first()[0] // 2

@@ -9,6 +9,8 @@ from tidegate.operators import joins, windows
 from tidegate.plans.nexmark import SELECTED, euros
 from tidegate.registry import ORACLES, query
 from tidegate.session import work_path
+from tidegate.sinks.writers import each_batch
+from tidegate.sources.catalog import StreamCatalog
 from tidegate.sources.readers import file_stream
 from tidegate.streaming import processors as ps
 from tidegate.streaming.harness import run_append, run_update, state_store
@@ -257,3 +259,55 @@ def stock_match_stream(t):
     )
     with state_store(t.spark):
         return run_append(ps.stateful(orders, ["security", "session"], ps.MatchOrders(), ps.MatchOrders.SCHEMA))
+
+
+@query("sql_stream_insert", "SELECT event_id, upper(event_type) AS kind FROM events WHERE value > 10")
+def sql_stream_insert(t):
+    cat = StreamCatalog(t.spark)
+    cat.source("kafka.clicks", stream(t))
+    cat.sink("kafka.large")
+    cat.insert("INSERT INTO kafka.large SELECT event_id, upper(event_type) AS kind FROM kafka.clicks WHERE value > 10")
+    return cat.read("kafka.large")
+
+
+@query("sql_stream_upsert", "SELECT user_id AS __key__, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def sql_stream_upsert(t):
+    # The newest row per key of each micro-batch, put into the table under the batch's number.
+    cat = StreamCatalog(t.spark)
+    newest = stream(t).groupBy("user_id").agg(F.max_by("event_type", F.col("event_id")).alias("last_type"))
+    cat.sink("store.last.$table")
+    table = cat.table("store.last.$table")
+    rows = newest.select(F.col("user_id").alias("__key__"), "last_type")
+    each_batch(rows, lambda b, n: table.put_all(b, batch=n), work_path(t.spark, "checkpoint"), "update").awaitTermination()
+    return cat.read("store.last.$table")
+
+
+@query(
+    "nexmark_q8_stream",
+    """SELECT DISTINCT p.user_id AS id, epoch_us(date_trunc('day', p.ts)) AS day FROM events p JOIN events a ON p.user_id = a.user_id
+    AND date_trunc('day', p.ts) = date_trunc('day', a.ts) WHERE p.event_type = 'signup' AND a.event_type = 'purchase'""",
+)
+def q8_stream(t):
+    # New users who were active in the same window: sign-ups stand in for new persons and
+    # purchases for their auctions. Each side is first reduced to one row per (user, window).
+    def side(kind, name):
+        rows = stream(t).filter(F.col("event_type") == kind).withWatermark("ts", "1 day")
+        return rows.select(F.col("user_id").alias(name), F.window("ts", "1 day").alias(f"w_{name}")).dropDuplicates()
+
+    joined = side("signup", "id").join(side("purchase", "buyer"), F.expr("id = buyer AND w_id = w_buyer"))
+    return run_append(joined.select("id", F.unix_micros("w_id.start").alias("day")))
+
+
+@query(
+    "nexmark_q11_stream",
+    """WITH g AS (SELECT bidder, date_time, CASE WHEN date_time - lag(date_time) OVER (PARTITION BY bidder ORDER BY date_time)
+      <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM bid_s),
+    s AS (SELECT bidder, date_time, sum(fresh) OVER (PARTITION BY bidder ORDER BY date_time) AS sid FROM g)
+    SELECT bidder, epoch_us(min(date_time)) AS session_start, count(*) AS n FROM s GROUP BY bidder, sid
+    HAVING max(date_time) + INTERVAL 6 HOUR <= (SELECT max(date_time) - INTERVAL 1 DAY FROM bid_s)""",
+)
+def q11_stream(t):
+    found = windows.session_stream(
+        bids(t).withWatermark("date_time", "1 day"), "date_time", "6 hours", ["bidder"], {"n": F.count(F.lit(1))}
+    )
+    return run_append(found).select("bidder", F.unix_micros("session_start").alias("session_start"), "n")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegate.functions import scalar
 from tidegate.session import work_path
 from tidegate.sinks.tables import KeyedTable
+from tidegate.sinks.writers import each_batch
+from tidegate.streaming.harness import run_append
 
 
 class StreamCatalog:
@@ -41,7 +43,10 @@ class StreamCatalog:
         return target.read() if isinstance(target, KeyedTable) else self.spark.read.parquet(target)
 
     def insert(self, statement: str) -> str:
-        """Run one ``INSERT INTO name SELECT ...`` or ``UPSERT INTO ...``; returns the sink's name."""
+        """Run one ``INSERT INTO name SELECT ...`` or ``UPSERT INTO ...``; returns the sink's name.
+
+        Over a stream it runs until all input that is there has been written.
+        """
         found = re.match(r"\s*(insert|upsert)\s+into\s+(\S+?)\s*(\(([^)]*)\))?\s+(?=select|values|with|table)", statement, re.I)
         if not found:
             raise ValueError(f"not an INSERT or UPSERT statement: {statement!r}")
@@ -50,7 +55,13 @@ class StreamCatalog:
         if found.group(4):
             df = df.toDF(*[c.strip() for c in found.group(4).split(",")])
         target = self._target(name)
-        if isinstance(target, KeyedTable):
+        if df.isStreaming and isinstance(target, KeyedTable):
+            first = target.next_batch
+            sink = each_batch(df, lambda rows, n: target.put_all(rows, batch=first + n), work_path(self.spark, "checkpoint"))
+            sink.awaitTermination()
+        elif df.isStreaming:
+            run_append(df, target)
+        elif isinstance(target, KeyedTable):
             target.put_all(df)
         else:
             df.write.mode("append").parquet(target)
@@ -60,6 +71,13 @@ class StreamCatalog:
         """Run every INSERT of a script; statements may span lines and ``--`` lines are comments."""
         return [self.insert(s) for s in script_statements(text)]
 
+    def table(self, name: str) -> KeyedTable:
+        """The keyed table behind a ``$table`` sink."""
+        target = self._target(name)
+        if not isinstance(target, KeyedTable):
+            raise ValueError(f"{name} is not a table")
+        return target
+
     def _target(self, name: str):
         if name not in self._sinks:
             raise ValueError(f"unknown sink {name}")

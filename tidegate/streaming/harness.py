@@ -11,11 +11,15 @@ from tidegate.session import work_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_append(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Append every output row to files. Windows that the watermark has not passed stay open."""
+def run_append(df: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Append every output row to files. Windows that the watermark has not passed stay open.
+
+    Given the path and checkpoint of an earlier run it goes on where that one ended, also if
+    it failed: each row is written once.
+    """
     spark = df.sparkSession
     path = path or work_path(spark, "stream")
-    checkpoint = work_path(spark, "checkpoint")
+    checkpoint = checkpoint or work_path(spark, "checkpoint")
     query = (
         df.writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
