@@ -433,3 +433,34 @@ def test_avro_schema():
     assert all(f.nullable for f in got)
     with pytest.raises(ValueError):
         row_schema({"type": "array", "items": "int"})
+
+
+def test_hot_key_with_crowded_positions(spark, tables):
+    from tidegate.operators.ordered import at as position
+    from tidegate.operators.ordered import moving, previous, running, slice_hot_keys
+    from tidegate.session import ROWS_PER_TASK_CONF
+
+    # One key with most of the rows, and nearly all of those at two times.
+    df = tables.events.select(
+        "event_id", F.when(F.col("user_id") % 4 > 0, 0).otherwise(F.col("user_id")).alias("k"),
+        F.when(F.col("event_id") < 950, F.date_trunc("month", F.col("ts"))).otherwise(F.col("ts")).alias("ts"),
+        F.round(F.col("value") * 100).cast("bigint").alias("v"),
+    )
+    args = (["k"], ["ts", "event_id"], position("ts", "event_id"))
+
+    def all_results():
+        return [
+            rows(running(df, *args, {"s": ("sum", "v"), "l": ("last", "v"), "m": ("max", "v")}, include_current=False)),
+            rows(previous(df, *args, "v", 3)),
+            rows(moving(df, *args, 9, {"s": ("sum", "v")})),
+        ]
+
+    plain = all_results()
+    spark.conf.set(ROWS_PER_TASK_CONF, "50")
+    try:
+        sliced, split = slice_hot_keys(df, ["k"], args[2])
+        largest = sliced.groupBy("k", "_slice").count().agg(F.max("count")).first()[0]
+        assert split and largest <= 100
+        assert all_results() == plain
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_CONF)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.ordered import micros, moving, previous
+from tidegate.operators.ordered import at, moving, previous
 
 
 def transitions(df: DataFrame, entity: str, state: str, order: list[str]) -> DataFrame:
     """Each row with the state before it in its entity; the first row of an entity is dropped."""
-    before = previous(df, [entity], order, micros(order[0]), state, 1, "_prev")
+    before = previous(df, [entity], order, at(order[0], order[-1]), state, 1, "_prev")
     return before.filter(F.size("_prev") > 0).withColumn("from_state", F.get("_prev", F.lit(0))).drop("_prev")
 
 
@@ -42,5 +42,5 @@ def score(moves: DataFrame, entity: str, state: str, order: list[str], model: Da
     priced = moves.join(
         model.select("from_state", F.col("to_state").alias(state), (1 - F.col("p")).alias("_miss")), ["from_state", state]
     )
-    scored = moving(priced, [entity], order, micros(order[0]), steps, {"score": ("avg", "_miss"), "_n": ("count", "_miss")})
+    scored = moving(priced, [entity], order, at(order[0], order[-1]), steps, {"score": ("avg", "_miss"), "_n": ("count", "_miss")})
     return scored.filter(F.col("_n") == steps).withColumn("outlier", F.col("score") > limit).drop("_n", "_miss")

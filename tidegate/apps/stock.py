@@ -94,9 +94,8 @@ def _match(batches):
     current, book = None, Book()
     for batch in batches:
         trades = []
-        for row in batch.itertuples(index=False):
-            unit = (row.security, row.session)
-            if unit != current:
-                current, book = unit, Book()
-            trades += [(*unit, *trade) for trade in book.add(row.order_no, row.side, row.cents, row.volume)]
+        for security, session, order_no, cents, volume, side in zip(*(batch[c].tolist() for c in batch)):
+            if (security, session) != current:
+                current, book = (security, session), Book()
+            trades += [(*current, *trade) for trade in book.add(order_no, side, cents, volume)]
         yield pd.DataFrame(trades, columns=["security", "session", "buy_order", "sell_order", "cents", "volume"])

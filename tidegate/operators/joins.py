@@ -26,7 +26,7 @@ def latest_ttl_join(
     """
     merged = _tagged(left, key, ts, tie, 0, "l").unionByName(_tagged(right, key, ts, tie, 1, "r"), True)
     seen = running(
-        merged, [key], ["_ts", "_side", "_tie"], micros("_ts"),
+        merged, [key], ["_ts", "_side", "_tie"], (micros("_ts"), F.col("_side") * F.lit(2**52) + F.col("_tie")),
         {"_last_l": ("last", "l"), "_last_r": ("last", "r")}, include_current=False,
     )
     other = F.when(F.col("_side") == 0, F.col("_last_r")[ts]).otherwise(F.col("_last_l")[ts])

@@ -7,14 +7,14 @@ from heapq import heappush, heappushpop
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.ordered import SLICE, same_keys, slice_hot_keys
+from tidegate.operators.ordered import SLICE, Position, same_keys, slice_hot_keys
 
 
 def running_median(
-    df: DataFrame, keys: list[str], order: list[str], pos: Column, value: str, name: str = "median"
+    df: DataFrame, keys: list[str], order: list[str], pos: Position, value: str, name: str = "median"
 ) -> DataFrame:
     """Median of all values of the key up to and including each row; an even count takes the mean
     of the middle two.

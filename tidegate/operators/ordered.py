@@ -8,12 +8,14 @@ the limit take the plain window and pay nothing.
 
 ``order`` is a list of column names that orders a key's rows totally. ``pos`` is a
 numeric column expression that never decreases along that order; it only decides
-where a hot key is cut, so it should be as fine as the order allows and exact as a
-double (below 2**53).
+where a hot key is cut, and must be exact as a double (below 2**53). Where many rows
+may share a position give a pair: the second expression never decreases among rows of
+equal first, and cuts those.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from tidegate.session import rows_per_task
 
 SLICE = "_slice"
+Position = Column | tuple[Column, Column]
 
 # Cut points are taken from a quantile sketch, whose size grows with their number. With more rows
 # per slice than a task should hold, the window's sort spills; the result is the same.
@@ -34,7 +37,12 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def slice_hot_keys(df: DataFrame, keys: list[str], pos: Column) -> tuple[DataFrame, bool]:
+def at(ts: str, tie: str) -> Position:
+    """Position of a timestamp column, with a numeric column for rows of the same time."""
+    return micros(ts), F.col(tie)
+
+
+def slice_hot_keys(df: DataFrame, keys: list[str], pos: Position) -> tuple[DataFrame, bool]:
     """Add ``_slice``: 0 for ordinary keys, a cut of the order for hot ones.
 
     The hot keys number at most rows / limit, so the list of them, and the cut points
@@ -54,17 +62,36 @@ def slice_hot_keys(df: DataFrame, keys: list[str], pos: Column) -> tuple[DataFra
     if not rows:
         return df.withColumn(SLICE, F.lit(0)), False
     hot_keys = F.broadcast(spark.createDataFrame(rows, hot.schema))  # at most rows / limit of them
-    tagged = df.withColumn("_pos", pos.cast("double")).join(hot_keys, same_keys(keys, "", "_hot_"), "left")
+    first, tie = pos if isinstance(pos, tuple) else (pos, None)
+    tagged = df.withColumn("_pos", first.cast("double")).join(hot_keys, same_keys(keys, "", "_hot_"), "left")
+    is_hot = F.col("_hot_n").isNotNull()
     parts = min(-(-sum(r["_hot_n"] for r in rows) // limit) * 2, MAX_SLICES)
-    cuts = tagged.filter("_hot_n IS NOT NULL").approxQuantile(
-        "_pos", [i / parts for i in range(1, parts)], 1 / (4 * parts)
-    )
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_pos", outputCol="_bucket", handleInvalid="keep").transform(tagged)
-    sliced = cut.withColumn(SLICE, F.when(F.col("_hot_n").isNotNull(), F.col("_bucket").cast("int")).otherwise(0))
+    cuts, crowded = _cuts(tagged.filter(is_hot), "_pos", parts)
+    sliced = _bucketed(tagged, "_pos", cuts, "_bucket")
+    slice_no = F.col("_bucket")
+    if tie is not None and crowded:
+        # Positions shared by more rows than a slice should hold are cut again by the tie.
+        sliced = sliced.withColumn("_tie", F.when(is_hot & F.col("_pos").isin(crowded), tie.cast("double")))
+        finer, _ = _cuts(sliced.filter(F.col("_tie").isNotNull()), "_tie", parts)
+        sliced = _bucketed(sliced, "_tie", finer, "_sub")
+        slice_no = slice_no * (len(finer) + 2) + F.coalesce(F.col("_sub"), F.lit(0))
+    sliced = sliced.withColumn(SLICE, F.when(is_hot, slice_no.cast("bigint")).otherwise(0))
     return sliced.select(*df.columns, SLICE), True
 
 
+def _cuts(df: DataFrame, col: str, parts: int) -> tuple[list[float], list[float]]:
+    """Points that cut the rows into about equal parts, and the values that hold more than a part; each
+    of those gets a part of its own."""
+    found = df.approxQuantile(col, [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    crowded = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    return sorted({*found, *(math.nextafter(c, math.inf) for c in crowded)}), crowded
+
+
+def _bucketed(df: DataFrame, col: str, cuts: list[float], out: str) -> DataFrame:
+    splits = [float("-inf"), *cuts, float("inf")]
+    return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+
+
 def same_keys(keys: list[str], left: str, right: str) -> Column:
     """Null-safe equality of two prefixed sets of key columns."""
     return reduce(lambda a, b: a & b, [F.col(left + k).eqNullSafe(F.col(right + k)) for k in keys])
@@ -74,7 +101,7 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    pos: Column,
+    pos: Position,
     out: dict[str, tuple[str, str]],
     include_current: bool = True,
 ) -> DataFrame:
@@ -135,13 +162,13 @@ def _combine(kind: str, name: str) -> Column:
     return F.coalesce(here + before, here, before)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], pos: Column, name: str = "rn") -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], pos: Position, name: str = "rn") -> DataFrame:
     """1-based position of each row within its key."""
     return running(df.withColumn("_one", F.lit(1)), keys, order, pos, {name: ("count", "_one")}).drop("_one")
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], pos: Column, value: str, n: int, name: str = "prev"
+    df: DataFrame, keys: list[str], order: list[str], pos: Position, value: str, n: int, name: str = "prev"
 ) -> DataFrame:
     """Array of the up to ``n`` values before each row in its key, oldest first."""
     sliced, split = slice_hot_keys(df, keys, pos)
@@ -169,7 +196,7 @@ def previous(
 
 
 def moving(
-    df: DataFrame, keys: list[str], order: list[str], pos: Column, n: int, out: dict[str, tuple[str, str]]
+    df: DataFrame, keys: list[str], order: list[str], pos: Position, n: int, out: dict[str, tuple[str, str]]
 ) -> DataFrame:
     """Aggregates over the last ``n`` rows of the key, the current row included.
 

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.ordered import number_rows
+from tidegate.operators.ordered import Position, number_rows
 
 
 def range_partitioned(df: DataFrame, parts: int, *order: str) -> DataFrame:
@@ -18,7 +18,7 @@ def range_partitioned(df: DataFrame, parts: int, *order: str) -> DataFrame:
     return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
-def total_rank(df: DataFrame, order: list[str], pos: Column, name: str = "rank") -> DataFrame:
+def total_rank(df: DataFrame, order: list[str], pos: Position, name: str = "rank") -> DataFrame:
     """1-based place of each row in the total order. The table counts as one key, so a large one
     is cut into slices of the order and numbered slice by slice."""
     return number_rows(df.withColumn("_all", F.lit(0)), ["_all"], order, pos, name).drop("_all")
@@ -131,7 +131,7 @@ def byte_slice(key: Column, left: int = 0, right: int = -1) -> Column:
     return key.substr(first + 1, last - first + 1)
 
 
-def kth_smallest(df: DataFrame, keys: list[str], value: str, i: int, ties: list[str], pos: Column) -> DataFrame:
+def kth_smallest(df: DataFrame, keys: list[str], value: str, i: int, ties: list[str], pos: Position) -> DataFrame:
     """The row with the i-th smallest value (from 0) of each key.
 
     For a small i Spark keeps only i + 1 rows per key before the shuffle. For a large one the

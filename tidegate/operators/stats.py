@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.ordered import number_rows
+from tidegate.operators.ordered import Position, number_rows
 
 
 def outlier_share(member: Column, is_outlier: Column) -> Column:
@@ -30,7 +30,7 @@ def entropy_normal(sigma: Column) -> Column:
 
 
 def ewma(
-    df: DataFrame, keys: list[str], order: list[str], pos: Column, value: str, age: float = 30.0, warmup: int = 10
+    df: DataFrame, keys: list[str], order: list[str], pos: Position, value: str, age: float = 30.0, warmup: int = 10
 ) -> DataFrame:
     """Exponentially weighted moving average of each key's whole series.
 

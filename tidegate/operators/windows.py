@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.ordered import micros, number_rows
+from tidegate.operators.ordered import at, micros, number_rows, running
 
 
 def pane_start(ts: str, width: str) -> Column:
@@ -70,7 +70,7 @@ def panes(df: DataFrame, ts: str, width: str) -> DataFrame:
 def count_trigger(df: DataFrame, keys: list[str], ts: str, order: list[str], width: str, n: int) -> DataFrame:
     """The message on which a count(n) trigger fires, once per (key, window)."""
     tagged = panes(df, ts, width)
-    return number_rows(tagged, [*keys, "window_start"], order, micros(ts), "count").filter(F.col("count") == n)
+    return number_rows(tagged, [*keys, "window_start"], order, at(ts, order[-1]), "count").filter(F.col("count") == n)
 
 
 def early_panes(
@@ -82,7 +82,7 @@ def early_panes(
     holds the rest. ACCUMULATING: every firing counts all messages of the window so far.
     """
     window_keys = [*keys, "window_start"]
-    numbered = number_rows(panes(df, ts, width), window_keys, order, micros(ts), "_rn")
+    numbered = number_rows(panes(df, ts, width), window_keys, order, at(ts, order[-1]), "_rn")
     early = numbered.filter(F.col("_rn") % n == 0).select(
         *window_keys,
         (F.col("_rn") / n).cast("bigint").alias("pane"),
@@ -136,16 +136,22 @@ def since_last_trigger(
 def any_trigger(
     df: DataFrame, keys: list[str], ts: str, order: list[str], width: str, n: int, delay: str
 ) -> DataFrame:
-    """any(count(n), timeSinceFirstMessage(delay)): whichever fires first cancels the other."""
+    """any(count(n), timeSinceFirstMessage(delay)): whichever fires first cancels the other.
+
+    One pass: each message gets its number and the time of the first one in its pane.
+    """
     window_keys = [*keys, "window_start"]
-    counted = count_trigger(df, keys, ts, order, width, n).select(*window_keys, F.col(ts).alias("count_ts"))
-    timed = since_first_trigger(df, keys, ts, width, delay)
-    both = timed.join(counted, window_keys, "left")
-    by_count = F.col("count_ts") <= F.col("fire_ts")
+    tagged = panes(df, ts, width).withColumn("_t", F.col(ts))
+    seen = running(tagged, window_keys, order, at(ts, order[-1]), {"_rn": ("count", "_t"), "_first": ("min", "_t")})
+    due = F.col("_first") + F.expr(f"INTERVAL {delay}")
+    both = seen.groupBy(*window_keys).agg(
+        F.min(due).alias("due"), F.min(F.when(F.col("_rn") == n, F.col(ts))).alias("count_ts"),
+        F.count(F.when(F.col(ts) <= due, 1)).alias("in_time"),
+    )
+    by_count = F.col("count_ts") <= F.col("due")
     return both.select(
         *window_keys,
-        F.when(by_count, F.col("count_ts")).otherwise(F.col("fire_ts")).alias("fire_ts"),
+        F.when(by_count, F.col("count_ts")).otherwise(F.col("due")).alias("fire_ts"),
         F.when(by_count, F.lit("count")).otherwise(F.lit("time")).alias("fired_by"),
-        F.when(by_count, F.lit(n)).otherwise(F.col("seen")).cast("bigint").alias("seen"),
+        F.when(by_count, F.lit(n)).otherwise(F.col("in_time")).cast("bigint").alias("seen"),
     )
-

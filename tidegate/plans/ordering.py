@@ -19,7 +19,7 @@ PARTS = 16
 def sort_total(t):
     rows = t.lineitem.select("l_extendedprice", "l_orderkey", "l_partkey")
     pos = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    return ops.total_rank(rows, ["l_extendedprice", "l_orderkey", "l_partkey"], pos)
+    return ops.total_rank(rows, ["l_extendedprice", "l_orderkey", "l_partkey"], (pos, F.col("l_orderkey")))
 
 
 @query("sort_validate", "SELECT count(*) AS n, 0 AS out_of_order FROM lineitem")
@@ -48,7 +48,7 @@ def sort_key_fields(t):
     (mid, _), (qty, _) = ops.key_fields(F.col("line"), "-k3.2,3.3n -k2,2nr", " ")
     keyed = lines.select("line", mid.alias("k1"), (-qty).alias("k2"))
     pos = F.col("k1") * 1_000_000 + F.col("k2")
-    return ops.total_rank(keyed, ["k1", "k2", "line"], pos).select("rank", "line")
+    return ops.total_rank(keyed, ["k1", "k2", "line"], (pos, ops.text_pos("line"))).select("rank", "line")
 
 
 def _spread(placed, key):
@@ -105,7 +105,7 @@ def part_by_id(t):
 )
 def sort_secondary(t):
     rows = t.bid_s.select("bidder", "price", "event_id")
-    return number_rows(rows, ["bidder"], ["price", "event_id"], F.col("price"), "seq")
+    return number_rows(rows, ["bidder"], ["price", "event_id"], (F.col("price"), F.col("event_id")), "seq")
 
 
 @query(
@@ -115,4 +115,5 @@ def sort_secondary(t):
 )
 def sort_kth(t):
     rows = t.lineitem.select("l_suppkey", "l_extendedprice", "l_orderkey")
-    return ops.kth_smallest(rows, ["l_suppkey"], "l_extendedprice", 7, ["l_orderkey"], F.col("l_extendedprice")).drop("l_orderkey")
+    return ops.kth_smallest(rows, ["l_suppkey"], "l_extendedprice", 7, ["l_orderkey"],
+        (F.col("l_extendedprice"), F.col("l_orderkey"))).drop("l_orderkey")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegate.operators import stats as ops
 from tidegate.operators.median import running_median
-from tidegate.operators.ordered import micros
+from tidegate.operators.ordered import at
 from tidegate.registry import query
 
 
@@ -73,7 +73,7 @@ def stat_normal_fit(t):
     FROM c LEFT JOIN f ON f.device = c.device AND f.rn = c.n""",
 )
 def stat_ewma(t):
-    found = ops.ewma(t.reading, ["device"], ["ts", "event_id"], micros("ts"), "value")
+    found = ops.ewma(t.reading, ["device"], ["ts", "event_id"], at("ts", "event_id"), "value")
     return found.select("device", "n", F.round("ewma", 6).alias("ewma"))
 
 
@@ -83,7 +83,7 @@ def stat_ewma(t):
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS median FROM reading""",
 )
 def stat_running_median(t):
-    found = running_median(t.reading, ["device"], ["ts", "event_id"], micros("ts"), "value")
+    found = running_median(t.reading, ["device"], ["ts", "event_id"], at("ts", "event_id"), "value")
     return found.select("event_id", "device", F.round("median", 6).alias("median"))
 
 

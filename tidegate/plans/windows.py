@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.operators import windows as ops
-from tidegate.operators.ordered import micros, running
+from tidegate.operators.ordered import at, running
 from tidegate.registry import query
 
 ORDER = ["date_time", "event_id"]
@@ -208,5 +208,5 @@ def state_time_range(t):
 def task_process(t):
     # A task that keeps a counter and a maximum per key and answers every message.
     rows = t.events.withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
-    out = running(rows, ["user_id"], ["ts", "event_id"], micros("ts"), {"seen": ("count", "event_id"), "top": ("max", "cents")})
+    out = running(rows, ["user_id"], ["ts", "event_id"], at("ts", "event_id"), {"seen": ("count", "event_id"), "top": ("max", "cents")})
     return out.select("event_id", "user_id", "seen", "top")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tidegate.operators.aggs import value_histogram
@@ -70,11 +68,11 @@ def word_count_multi(t):
     FROM (SELECT unnest(regexp_extract_all(text, '[a-z]*tion')) AS m FROM documents) GROUP BY m)""",
 )
 def grep(t):
-    from tidegate.operators.ordering import total_rank
+    from tidegate.operators.ordering import text_pos, total_rank
 
     counts = regex_matches(t.spread("documents", "doc_id"), "text", "[a-z]*tion").groupBy("match").agg(rows_seen().alias("n"))
     counts = materialized(counts, "grep")  # the ranking reads the counts more than once
-    ranked = total_rank(counts.withColumn("_down", -F.col("n")), ["_down", "match"], F.col("_down"), "place")
+    ranked = total_rank(counts.withColumn("_down", -F.col("n")), ["_down", "match"], (F.col("_down"), text_pos("match")), "place")
     return ranked.select("match", "n", "place")
 
 
@@ -107,16 +105,23 @@ def db_pageview(t):
     return t.pages.select("page_id", "url").join(counts, "page_id")
 
 
-@query("pi_halton")
+def inverse_sql(base: int, div: str) -> str:
+    """The digits of n in a base, mirrored at the point, as SQL; enough of them for any bigint in use."""
+    places = range(40 if base == 2 else 26)
+    return " + ".join(f"CAST((id {div} {base**i}) % {base} AS DOUBLE) / {float(base ** (i + 1))!r}" for i in places)
+
+
+@query(
+    "pi_halton",
+    f"""WITH p AS (SELECT {inverse_sql(2, '//')} AS x, {inverse_sql(3, '//')} AS y FROM
+    (SELECT range AS id FROM range((SELECT count(*) FROM lineitem))))
+    SELECT count(*) AS points, 4 * avg(CASE WHEN (x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) <= 0.25 THEN 1.0 ELSE 0.0 END) AS pi FROM p""",
+)
 def pi_halton(t):
     """Pi from a Halton sequence, one point per row of lineitem."""
-    points = t.spark.range(t.lineitem.count()).select(radical_inverse("id", 2).alias("x"), radical_inverse("id", 3).alias("y"))
-    inside = F.avg(F.when(F.pow(F.col("x") - 0.5, 2) + F.pow(F.col("y") - 0.5, 2) <= 0.25, 1.0).otherwise(0.0))
+    points = t.spark.range(t.lineitem.count()).select(
+        F.expr(inverse_sql(2, "div")).alias("x"), F.expr(inverse_sql(3, "div")).alias("y")
+    )
+    x, y = F.col("x") - 0.5, F.col("y") - 0.5
+    inside = F.avg(F.when(x * x + y * y <= 0.25, 1.0).otherwise(0.0))
     return points.agg(F.count(F.lit(1)).alias("points"), (inside * 4).alias("pi"))
-
-
-def radical_inverse(col: str, base: int):
-    """The digits of n in a base, mirrored at the point; enough of them for any bigint in use."""
-    places = range(40 if base == 2 else 26)
-    digits = [F.expr(f"cast(({col} div {base**i}) % {base} as double)") / float(base ** (i + 1)) for i in places]
-    return reduce(lambda a, b: a + b, digits)
