@@ -123,3 +123,17 @@ def test_watermark_holds_rows_back(spark, tables, split_events):
     assert rows(got, "key", "ts", "id") == rows(want)
     order = got.groupBy("key").agg(F.count_distinct("place").alias("d"), F.max("place").alias("m"), F.count(F.lit(1)).alias("n"))
     assert order.filter("d <> n OR m <> n").count() == 0
+
+
+def test_completion(spark, tables, split_events):
+    month = F.date_trunc("month", "ts")
+    parts = stream(spark, split_events).select(
+        (F.col("user_id") % 9).alias("key"), F.unix_micros(month).alias("epoch"), F.col("event_type").alias("part"),
+        F.unix_micros("ts").alias("ts"),
+    )
+    with state_store(spark):
+        got = run_append(ps.stateful(parts, ["key", "epoch"], ps.JoinCompletion(5), ps.JoinCompletion.SCHEMA))
+    batch = tables.events.select((F.col("user_id") % 9).alias("key"), month.alias("epoch"), F.col("event_type").alias("part"), "ts")
+    want = joins.completion_join(batch, "key", "epoch", "part", "ts", 5)
+    assert rows(got) == rows(want, "key", F.unix_micros("epoch"), F.unix_micros("completed_at"))
+    assert got.count() > 0

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tidegate.operators.ordered import Position, number_rows
 
 
-def outlier_share(member: Column, is_outlier: Column) -> Column:
-    """|distinct outliers| / |distinct members|."""
-    return F.count_distinct(F.when(is_outlier, member)) / F.count_distinct(member)
+def outlier_share(df: DataFrame, keys: list[str], member: str, is_outlier: Column, name: str = "share") -> DataFrame:
+    """|distinct outliers| / |distinct members| per key, from one row per (key, member)."""
+    members = df.groupBy(*keys, member).agg(F.max(is_outlier.cast("int")).alias("_out"))
+    return members.groupBy(*keys).agg((F.sum("_out") / F.count(F.lit(1))).alias(name))
 
 
 def entropy(df: DataFrame, keys: list[str], value: str, name: str = "entropy") -> DataFrame:

@@ -161,8 +161,8 @@ def src_xml_records(t):
 
 @query(
     "sink_table_upsert",
-    """SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS event_id FROM events WHERE user_id % 10 <> 3
-    GROUP BY user_id""",
+    """SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS event_id FROM events
+    WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 250) GROUP BY user_id""",
 )
 def sink_table_upsert(t):
     # Three changes: the older half of the events, the newer half, and the deletion of some users.
@@ -171,7 +171,7 @@ def sink_table_upsert(t):
     half = t.events.agg(F.max("event_id")).first()[0] // 2
     table.put_all(t.events.filter(F.col("event_id") <= half).select("user_id", last, "event_id"), ["event_id"])
     table.put_all(t.events.filter(F.col("event_id") > half).select("user_id", last, "event_id"), ["event_id"])
-    table.delete_all(t.events.filter("user_id % 10 = 3").select("user_id"))
+    table.delete_all(t.events.filter("value > 250").select("user_id"))
     table.compact()
     return table.read()
 
@@ -239,3 +239,15 @@ def sink_sorted_lookup(t):
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     writers.sorted_files(orders, path, "o_orderkey", 8)
     return t.spark.read.schema(orders.schema).parquet(path).filter(F.col("o_orderkey").between(100, 140))
+
+
+@query(
+    "sink_routed",
+    """SELECT 'errors' AS output, event_id FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 'large', event_id FROM events WHERE value > 20""",
+)
+def sink_routed(t):
+    path = work_path(t.spark, "routed")
+    routes = {"errors": F.col("event_type") == "error", "large": F.col("value") > 20}
+    writers.routed(t.events.select("event_id", "event_type", "value"), routes, path)
+    return t.spark.read.schema("event_id bigint, output string").parquet(path).select("output", "event_id")

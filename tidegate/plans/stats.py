@@ -28,8 +28,8 @@ def stat_mean(t):
     FROM events GROUP BY event_type""",
 )
 def stat_outlier_pct(t):
-    share = ops.outlier_share(F.col("user_id"), F.col("value") > 30)
-    return t.events.groupBy("event_type").agg(F.round(share, 6).alias("share"))
+    shares = ops.outlier_share(t.events, ["event_type"], "user_id", F.col("value") > 30)
+    return shares.withColumn("share", F.round("share", 6))
 
 
 @query(

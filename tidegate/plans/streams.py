@@ -311,3 +311,17 @@ def q11_stream(t):
         bids(t).withWatermark("date_time", "1 day"), "date_time", "6 hours", ["bidder"], {"n": F.count(F.lit(1))}
     )
     return run_append(found).select("bidder", F.unix_micros("session_start").alias("session_start"), "n")
+
+
+@query(
+    "join_completion_stream",
+    """WITH f AS (SELECT user_id, date_trunc('month', ts) AS m, event_type, min(ts) AS seen FROM events GROUP BY ALL)
+    SELECT user_id AS key, epoch_us(m) AS epoch, epoch_us(max(seen)) AS completed_at FROM f GROUP BY user_id, m HAVING count(*) = 5""",
+)
+def join_completion_stream(t):
+    parts = stream(t).select(
+        F.col("user_id").alias("key"), F.unix_micros(F.date_trunc("month", "ts")).alias("epoch"),
+        F.col("event_type").alias("part"), F.unix_micros("ts").alias("ts"),
+    )
+    with state_store(t.spark):
+        return run_append(ps.stateful(parts, ["key", "epoch"], ps.JoinCompletion(5), ps.JoinCompletion.SCHEMA))

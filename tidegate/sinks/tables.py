@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 DELETED = "_deleted"
 
@@ -21,17 +22,22 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
         self.base = 0
-        self.next_batch = self._stored_batches()
+        self.schema: StructType | None = None
+        self.next_batch = self._reopen()
 
-    def _stored_batches(self) -> int:
-        """The number after the last batch in the folder, so that a reopened table goes on from there."""
+    def _reopen(self) -> int:
+        """Take the schema of the batches in the folder; the number after the last one is next."""
         try:
-            return (self.spark.read.parquet(self.path).agg(F.max("batch")).first()[0] or 0) + 1
+            stored = self.spark.read.option("mergeSchema", "true").parquet(self.path)
         except AnalysisException:  # no batch yet
             return 0
+        fields = [f for f in stored.schema if f.name not in (DELETED, "batch")]
+        self.schema = StructType(fields) if len(fields) > len(self.keys) else None
+        return stored.agg(F.max("batch")).first()[0] + 1
 
     def put_all(self, rows: DataFrame, order: list[str] | None = None, batch: int | None = None) -> None:
         """Insert or replace by key. Of several rows of one key the last by ``order`` counts."""
+        self.schema = self.schema or rows.schema
         rest = [c for c in rows.columns if c not in self.keys]
         if order:
             newest = F.max_by(F.struct(*rest), F.struct(*order))
@@ -50,7 +56,8 @@ class KeyedTable:
 
     def read(self) -> DataFrame:
         """All live rows."""
-        stored = self.spark.read.option("mergeSchema", "true").parquet(self.path).filter(F.col("batch") >= self.base)
+        fields = [*self.schema.fields, StructField(DELETED, BooleanType()), StructField("batch", LongType())]
+        stored = self.spark.read.schema(StructType(fields)).parquet(self.path).filter(F.col("batch") >= self.base)
         rest = [c for c in stored.columns if c not in (*self.keys, "batch")]
         newest = stored.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
         return newest.select(*self.keys, "_v.*").filter(~F.col(DELETED)).drop(DELETED)

@@ -182,6 +182,37 @@ class RunningTotals(StatefulProcessor):
         pass
 
 
+class JoinCompletion(StatefulProcessor):
+    """Emits a (key, epoch) once, when the last of the expected distinct parts arrives. State: the time
+    each part was first seen, and whether the epoch has been emitted."""
+
+    SCHEMA = "key bigint, epoch bigint, completed_at bigint"
+
+    def __init__(self, expected: int):
+        self.expected = expected
+
+    def init(self, handle) -> None:
+        self.parts = handle.getMapState("parts", "part string", "ts bigint")
+        self.done = handle.getValueState("done", "done boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        out = []
+        if not self.done.exists():
+            first = arrivals(rows, "ts").drop_duplicates("part")
+            for part, ts in zip(first["part"], first["ts"]):
+                if not self.parts.containsKey((part,)):
+                    self.parts.updateValue((part,), (int(ts),))
+            times = [v[0] for _, v in self.parts.iterator()]
+            if len(times) == self.expected:
+                out = [(*key, max(times))]
+                self.done.update((True,))
+                self.parts.clear()
+        yield pd.DataFrame(out, columns=["key", "epoch", "completed_at"])
+
+    def close(self) -> None:
+        pass
+
+
 class MatchOrders(StatefulProcessor):
     """Continuous matching of a (security, session). State: the open orders."""
 
