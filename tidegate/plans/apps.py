@@ -18,7 +18,7 @@ ORDER_FIELDS = """concat_ws('|', CAST(order_no AS {s}), CASE WHEN order_no % 10
 @query(
     "stock_parse",
     """SELECT CAST(order_no AS VARCHAR) AS order_no, CASE WHEN order_no % 10 = 0 THEN '' ELSE 'A' END AS code,
-    CASE WHEN order_no % 10 <> 0 THEN line END AS exec_volume, CASE WHEN order_no % 10 <> 0 THEN volume END AS volume,
+    CASE WHEN order_no % 10 <> 0 THEN line END AS exec_volume, CAST(CASE WHEN order_no % 10 <> 0 THEN volume END AS INT) AS volume,
     CASE WHEN order_no % 10 <> 0 THEN CAST(security AS VARCHAR) END AS security, CASE WHEN order_no % 10 <> 0 THEN side END AS direction,
     CASE WHEN order_no % 10 <> 0 THEN CAST(trunc(CAST(CAST(cents / 100.0 AS DECIMAL(18, 2)) AS FLOAT) * CAST(100 AS FLOAT)) AS INT) END AS cents
     FROM stock_order""",
@@ -179,7 +179,7 @@ EDIT = """concat(CASE WHEN user_id % 7 = 0 THEN 'Talk:' WHEN user_id % 11 = 0 TH
 
 @query(
     "wiki_parse",
-    f"""SELECT {EDIT} AS title, 'user' || user_id AS "user", CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (event_id % 500) AS diff_bytes,
+    f"""SELECT {EDIT} AS title, 'user' || user_id AS "user", CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (event_id % 500) AS INT) AS diff_bytes,
     CASE event_id % 4 WHEN 0 THEN 'M' WHEN 1 THEN '!N' WHEN 2 THEN 'MB' ELSE '' END AS unparsed_flags,
     'note ' || event_id AS summary, event_id % 4 IN (0, 2) AS is_minor, event_id % 4 = 1 AS is_new, event_id % 4 = 1 AS is_unpatrolled,
     event_id % 4 = 2 AS is_bot_edit, user_id % 7 <> 0 AND user_id % 11 = 0 AS is_special, user_id % 7 = 0 AS is_talk

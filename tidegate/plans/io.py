@@ -78,7 +78,7 @@ def src_fixed_len(t):
 
 @query(
     "src_nline",
-    """SELECT event_id // 1000 AS part, event_id // 100 % 10 AS split, 1 AS tasks, count(*) AS n, min(event_id) AS first,
+    """SELECT event_id // 1000 AS part, event_id // 100 % 10 AS split, CAST(1 AS BIGINT) AS tasks, count(*) AS n, min(event_id) AS first,
     max(event_id) AS last FROM events GROUP BY ALL""",
 )
 def src_nline(t):

@@ -22,7 +22,7 @@ def sort_total(t):
     return ops.total_rank(rows, ["l_extendedprice", "l_orderkey", "l_partkey"], (pos, F.col("l_orderkey")))
 
 
-@query("sort_validate", "SELECT count(*) AS n, 0 AS out_of_order FROM lineitem")
+@query("sort_validate", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM lineitem")
 def sort_validate(t):
     key = F.format_string("%014.2f%012d", "l_extendedprice", "l_orderkey").alias("key")
     return ops.sort_report(ops.range_partitioned(t.lineitem.select(key), PARTS, "key"), "key")
@@ -60,7 +60,7 @@ def _spread(placed, key):
 
 @query(
     "part_key_fields",
-    """SELECT l_returnflag || ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS key, 1 AS partitions, count(*) AS n
+    """SELECT l_returnflag || ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS key, CAST(1 AS BIGINT) AS partitions, count(*) AS n
     FROM lineitem GROUP BY ALL""",
 )
 def part_key_fields(t):
@@ -69,7 +69,7 @@ def part_key_fields(t):
     return _spread(placed.withColumn("key", F.substring_index("line", " ", 2)), "key")
 
 
-@query("part_hash", "SELECT l_suppkey, 1 AS partitions, count(*) AS n, true AS in_range FROM lineitem GROUP BY l_suppkey")
+@query("part_hash", "SELECT l_suppkey, CAST(1 AS BIGINT) AS partitions, count(*) AS n, true AS in_range FROM lineitem GROUP BY l_suppkey")
 def part_hash(t):
     placed = t.lineitem.select(
         "l_suppkey", ops.hash_part(F.col("l_suppkey"), PARTS).alias("h"), ops.rehash_part(F.col("l_suppkey"), PARTS).alias("r")
@@ -84,7 +84,7 @@ def part_hash(t):
 
 @query(
     "part_binary_slice",
-    """SELECT substr(c_name, length(c_name) - 3, 3) AS slice, 1 AS partitions, count(*) AS n FROM customer GROUP BY ALL""",
+    """SELECT substr(c_name, length(c_name) - 3, 3) AS slice, CAST(1 AS BIGINT) AS partitions, count(*) AS n FROM customer GROUP BY ALL""",
 )
 def part_binary_slice(t):
     cut = ops.byte_slice(F.col("c_name").cast("binary"), -4, -2)

@@ -212,9 +212,9 @@ fn_query(
 fn_query("fn_concat", "event_type || '-' || CAST(user_id AS STRING) AS s", "event_type || '-' || CAST(user_id AS VARCHAR) AS s")
 fn_query(
     "fn_string",
-    """char_length(event_type) AS len, substring(event_type, 2, 3) AS sub, replace(event_type, 'e', '3') AS rep,
+    """char_CAST(length(event_type) AS INT) AS len, substring(event_type, 2, 3) AS sub, replace(event_type, 'e', '3') AS rep,
     trim(concat('  ', event_type, ' ')) AS tr, upper(event_type) AS up, lower(upper(event_type)) AS lo""",
-    """length(event_type) AS len, substring(event_type, 2, 3) AS sub, replace(event_type, 'e', '3') AS rep,
+    """CAST(length(event_type) AS INT) AS len, substring(event_type, 2, 3) AS sub, replace(event_type, 'e', '3') AS rep,
     trim(concat('  ', event_type, ' ')) AS tr, upper(event_type) AS up, lower(upper(event_type)) AS lo""",
 )
 fn_query(
@@ -282,7 +282,7 @@ def agg_sql(t):
 
 @query(
     "udf_array",
-    r"""SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words FROM conversations""",
+    r"""SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INT) AS words FROM conversations""",
 )
 def udf_array(t):
     cat = catalog(t, store__talk=t.conversations)
