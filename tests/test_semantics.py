@@ -97,13 +97,29 @@ def test_repartitioned_session_counts(spark):
 )
 def test_early_panes(spark, accumulating, expected):
     df = spark.createDataFrame([("u", at(s), s) for s in range(12)], "u string, ts timestamp, id int")
-    out = windows.early_panes(df, ["u"], "ts", ["ts", "id"], "1 day", 5, accumulating)
+    out = windows.early_panes(df, ["u"], "ts", "1 day", 5, accumulating)
     assert rows(out, "firing_type", "pane", "count") == expected
 
 
+def test_count_trigger_fires_once(spark, small_tasks):
+    df = spark.createDataFrame([("u", at(s), s) for s in range(1500)] + [("v", at(0), 0)], "u string, ts timestamp, id int")
+    for n in (3, 1200):
+        assert rows(windows.count_trigger(df, ["u"], "ts", ["ts", "id"], "1 day", n), "u", "id", "count") == [("u", n - 1, n)]
+
+
+def test_many_panes_are_cut_into_runs(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PANES_PER_ROW", 4)
+    df = spark.createDataFrame([("u", at(s)) for s in range(41)], "u string, ts timestamp")
+    out = windows.early_panes(df, ["u"], "ts", "1 day", 2, True)
+    assert rows(out.filter("firing_type = 'EARLY'").orderBy("pane"), "pane", "count") == sorted(
+        [(p, 2 * p) for p in range(1, 21)], key=repr
+    )
+    assert rows(out.filter("firing_type = 'DEFAULT'"), "pane", "count") == [(21, 41)]
+
+
 def test_discarding_has_no_empty_last_pane(spark):
     df = spark.createDataFrame([("u", at(s), s) for s in range(10)], "u string, ts timestamp, id int")
-    out = windows.early_panes(df, ["u"], "ts", ["ts", "id"], "1 day", 5, False)
+    out = windows.early_panes(df, ["u"], "ts", "1 day", 5, False)
     assert rows(out, "firing_type", "count") == [("EARLY", 5), ("EARLY", 5)]
 
 

@@ -61,7 +61,7 @@ def test_early_panes(spark, tables, split_events):
     with state_store(spark):
         got = run_append(ps.stateful(keyed, ["key", "window_start"], ps.CountPanes(2, 86_400_000, False), ps.CountPanes.SCHEMA, timers=True))
     batch = tables.page_view.withColumn("key", F.col("user_id") % 5)
-    want = windows.early_panes(batch, ["key"], "ts", ["ts", "event_id"], "1 day", 2, False)
+    want = windows.early_panes(batch, ["key"], "ts", "1 day", 2, False)
     want = want.withColumn("window_start", F.unix_micros("window_start")).select(*got.columns)
     early = F.col("firing_type") == "EARLY"
     assert rows(got.filter(early)) == rows(want.filter(early))

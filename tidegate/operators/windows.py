@@ -68,41 +68,44 @@ def panes(df: DataFrame, ts: str, width: str) -> DataFrame:
 
 
 def count_trigger(df: DataFrame, keys: list[str], ts: str, order: list[str], width: str, n: int) -> DataFrame:
-    """The message on which a count(n) trigger fires, once per (key, window)."""
+    """The message on which a count(n) trigger fires, once per (key, window).
+
+    For a small n Spark keeps only the first n messages of a pane before the shuffle.
+    """
     tagged = panes(df, ts, width)
-    return number_rows(tagged, [*keys, "window_start"], order, at(ts, order[-1]), "count").filter(F.col("count") == n)
+    window_keys = [*keys, "window_start"]
+    if n <= 1000:
+        place = F.row_number().over(Window.partitionBy(*window_keys).orderBy(*order)).cast("bigint")
+        return tagged.withColumn("count", place).filter(F.col("count") <= n).filter(F.col("count") == n)
+    return number_rows(tagged, window_keys, order, at(ts, order[-1]), "count").filter(F.col("count") == n)
 
 
-def early_panes(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], width: str, n: int, accumulating: bool
-) -> DataFrame:
+PANES_PER_ROW = 100_000
+
+
+def early_panes(df: DataFrame, keys: list[str], ts: str, width: str, n: int, accumulating: bool) -> DataFrame:
     """repeat(count(n)) early firings plus the pane at the window's end.
 
     DISCARDING: every firing counts the messages since the last one, and the end pane
     holds the rest. ACCUMULATING: every firing counts all messages of the window so far.
+    The number of messages in a window says which panes it fires, so they are not sorted.
     """
     window_keys = [*keys, "window_start"]
-    numbered = number_rows(panes(df, ts, width), window_keys, order, at(ts, order[-1]), "_rn")
-    early = numbered.filter(F.col("_rn") % n == 0).select(
-        *window_keys,
-        (F.col("_rn") / n).cast("bigint").alias("pane"),
-        F.lit("EARLY").alias("firing_type"),
-        (F.col("_rn") if accumulating else F.lit(n).cast("bigint")).cast("bigint").alias("count"),
-    )
-    total = F.count(F.lit(1))
-    end = (
-        panes(df, ts, width)
-        .groupBy(*window_keys)
-        .agg(total.alias("_n"))
-        .select(
-            *window_keys,
-            (F.floor(F.col("_n") / n) + 1).cast("bigint").alias("pane"),
-            F.lit("DEFAULT").alias("firing_type"),
-            (F.col("_n") if accumulating else F.col("_n") % n).cast("bigint").alias("count"),
-        )
-        .filter(F.col("count") > 0)
+    totals = panes(df, ts, width).groupBy(*window_keys).agg(F.count(F.lit(1)).alias("_n"))
+    totals = totals.withColumn("_fired", F.expr(f"_n div {n}")).withColumn("_rest", F.col("_n") % n)
+    last_pane = F.col("_n") if accumulating else F.col("_rest")
+    totals = totals.withColumn("_panes", F.col("_fired") + F.when(last_pane > 0, 1).otherwise(0))
+    # A window with very many panes is first cut into runs of panes, which are spread over tasks.
+    runs = totals.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_panes - 1) div {PANES_PER_ROW}"))))
+    low = F.col("_run") * PANES_PER_ROW + 1
+    high = F.least(low + PANES_PER_ROW - 1, F.col("_panes"))
+    fired = runs.repartition(*window_keys, "_run").withColumn("pane", F.explode(F.sequence(low, high)))
+    early = F.col("pane") <= F.col("_fired")
+    count = F.col("pane") * n if accumulating else F.lit(n).cast("bigint")
+    return fired.select(
+        *window_keys, "pane", F.when(early, "EARLY").otherwise("DEFAULT").alias("firing_type"),
+        F.when(early, count).otherwise(last_pane).alias("count"),
     )
-    return early.unionByName(end)
 
 
 def since_first_trigger(df: DataFrame, keys: list[str], ts: str, width: str, delay: str) -> DataFrame:

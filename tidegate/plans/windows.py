@@ -80,7 +80,7 @@ def trig_count(t):
 
 
 def _early(t, key, n, accumulating):
-    out = ops.early_panes(t.bid_s, [key], "date_time", ORDER, WEEK, n, accumulating)
+    out = ops.early_panes(t.bid_s, [key], "date_time", WEEK, n, accumulating)
     return out.withColumns(us("window_start"))
 
 
@@ -112,7 +112,7 @@ def win_acc_accumulating(t):
     UNION ALL SELECT user_id, epoch_us(d), CAST(total // 5 + 1 AS BIGINT), 'DEFAULT', total % 5 FROM r WHERE rn = 1 AND total % 5 > 0""",
 )
 def pageview_counter(t):
-    out = ops.early_panes(t.page_view, ["user_id"], "ts", ["ts", "event_id"], "1 day", 5, False)
+    out = ops.early_panes(t.page_view, ["user_id"], "ts", "1 day", 5, False)
     return out.withColumns(us("window_start"))
 
 
