@@ -14,10 +14,12 @@ def epochs(lines: DataFrame, executor: str, col: str, epoch_ms: int = 100) -> Da
 
     The last epoch of an executor is left out, as the log may end within it.
     """
-    times = lines.filter(F.col(col).rlike(LATENCY_LINE)).select(
-        executor, F.regexp_extract(col, LATENCY_LINE, 1).cast("bigint").alias("a"),
-        F.regexp_extract(col, LATENCY_LINE, 2).cast("bigint").alias("c"),
+    # Null for any other line: the marker is looked for first, as it is cheaper than the pattern.
+    ours = lines.filter(F.col(col).startswith("stock_id:")).select(
+        executor, F.regexp_extract(col, LATENCY_LINE, 1).try_cast("bigint").alias("a"),
+        F.regexp_extract(col, LATENCY_LINE, 2).try_cast("bigint").alias("c"),
     )
+    times = ours.filter("c IS NOT NULL")
     bounds = times.groupBy(executor).agg(F.min("c").alias("first"), F.max("c").alias("last"))
     placed = times.join(bounds, executor).withColumn("epoch", F.expr(f"(c - first) div {epoch_ms}"))
     whole = placed.filter(F.expr(f"epoch < (last - first) div {epoch_ms}"))

@@ -119,13 +119,18 @@ def user_aggregate(
     fields = ", ".join(f"`{s}` double" for s in state)
     schema = f"`{key}` {key_type}, {fields}"
 
+    def merged(states: list) -> list:
+        return states[0] if len(states) == 1 else merge(pd.DataFrame(states, columns=state))
+
     def per_partition(batches):
         held: dict = {}
         for batch in batches:
-            for k, values in batch.groupby(key, sort=False)[value]:
-                row = accumulate(values)
-                held[k] = row if k not in held else merge(pd.DataFrame([held[k], row], columns=state))
-        yield pd.DataFrame([[k, *row] for k, row in held.items()], columns=[key, *state])
+            for k, values in batch.groupby(key, sort=False, dropna=False)[value]:
+                states = held.setdefault(k, [])
+                states.append(accumulate(values))
+                if len(states) == fan_in:
+                    held[k] = [merged(states)]
+        yield pd.DataFrame([[k, *merged(states)] for k, states in held.items()], columns=[key, *state])
 
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[frame[key].iloc[0], *merge(frame[state])]], columns=[key, *state])

@@ -149,7 +149,7 @@ def join_interval_stream(t):
     joined = joins.interval_join_stream(
         views.withWatermark("view_ts", "1 day"), clicks.withWatermark("click_ts", "1 day"),
         F.expr("page_id = c_page"), "view_ts", "click_ts", "6 HOURS",
-    ).withColumnRenamed("click_ts", "at")
+    )
     return run_append(joined.select("page_id", "view_id", "click_id"))
 
 

@@ -13,12 +13,16 @@ from pyspark.sql.types import StructType
 from tidegate.operators.ordered import number_rows
 
 
-def topic_stream(spark: SparkSession, servers: str, topics: str, *, pattern: bool = False, start: str = "latest", **options):
+def topic_stream(
+    spark: SparkSession, servers: str, topics: str, *, pattern: bool = False, static: list[str] = (), start: str = "latest", **options: str
+) -> DataFrame:
     """A Kafka topic, or all topics that match a pattern; needs the Kafka connector package.
 
     ``start`` is earliest or latest, used where there is no checkpoint. A service that speaks
     the Kafka protocol is read the same way, with its security settings in ``options``.
     """
+    if pattern:
+        not_twice(topics, static)
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
     reader = reader.option("subscribePattern" if pattern else "subscribe", topics).option("startingOffsets", start)
     return reader.options(**options).load()
@@ -46,11 +50,16 @@ def keep_files(df: DataFrame, whitelist: str = ".*", blacklist: str | None = Non
 def regex_paths(df: DataFrame, pattern: str, static: list[str] = ()) -> DataFrame:
     """Rows of every stream folder whose name matches; ``stream`` holds the name. A stream that is also
     configured by name would be read twice, so that is an error."""
+    not_twice(pattern, static)
+    named = df.withColumn("stream", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return named.filter(F.col("stream").rlike(f"^(?:{pattern})$"))
+
+
+def not_twice(pattern: str, static: list[str]) -> None:
+    """Fail if a stream that matches the pattern is also configured by its name."""
     twice = [s for s in static if re.fullmatch(pattern, s)]
     if twice:
         raise ValueError(f"streams configured twice: {twice}")
-    named = df.withColumn("stream", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    return named.filter(F.col("stream").rlike(f"^(?:{pattern})$"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
