@@ -31,15 +31,16 @@ def filled(series: DataFrame, executor: str) -> DataFrame:
 
     A window holds one row per known epoch of an executor.
     """
-    starts = series.groupBy(executor).agg(F.min("epoch").alias("_first")).filter("_first > 0")
-    points = series.select(executor, "epoch", "latency").unionByName(
-        starts.select(executor, F.lit(0).cast("bigint").alias("epoch"), F.lit(0.0).alias("latency"))
-    )
     order = Window.partitionBy(executor).orderBy("epoch")
-    spans = points.withColumns({"_e": F.lead("epoch").over(order), "_l": F.lead("latency").over(order)}).filter("_e IS NOT NULL")
-    steps = spans.withColumn("t", F.explode(F.sequence(F.col("epoch"), F.col("_e") - 1)))
-    slope = (F.col("_l") - F.col("latency")) / (F.col("_e") - F.col("epoch"))
-    return steps.select(executor, F.col("t").alias("epoch"), (F.col("latency") + (F.col("t") - F.col("epoch")) * slope).alias("latency"))
+    spans = series.withColumns(
+        {
+            "_e": F.coalesce(F.lag("epoch").over(order), F.lit(0).cast("bigint")),
+            "_l": F.coalesce(F.lag("latency").over(order), F.lit(0.0)),
+        }
+    ).filter(F.col("epoch") > F.col("_e"))
+    steps = spans.withColumn("t", F.explode(F.sequence(F.col("_e"), F.col("epoch") - 1)))
+    slope = (F.col("latency") - F.col("_l")) / (F.col("epoch") - F.col("_e"))
+    return steps.select(executor, F.col("t").alias("epoch"), (F.col("_l") + (F.col("t") - F.col("_e")) * slope).alias("latency"))
 
 
 def worst(series: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def price_levels(orders: DataFrame) -> DataFrame:
     return orders.groupBy("security", "cents").agg(F.count(F.lit(1)).alias("orders"), F.sum("volume").alias("volume"))
 
 
-TRADES = "security bigint, session string, buy_order bigint, sell_order bigint, cents bigint, volume bigint"
+TRADES = "security bigint, session int, buy_order bigint, sell_order bigint, cents bigint, volume bigint"
 
 
 def match_orders(orders: DataFrame, session: str = "month") -> DataFrame:
@@ -83,9 +83,10 @@ def match_orders(orders: DataFrame, session: str = "month") -> DataFrame:
     session ends. Books do not outlive a session, so (security, session) is the unit of work.
     A task reads its orders as a stream in arrival order and holds only the open books.
     """
-    dated = orders.withColumn("session", F.date_format(F.date_trunc(session, F.col("ts")), "yyyy-MM-dd"))
+    dated = orders.withColumn("session", F.unix_date(F.date_trunc(session, F.col("ts")).cast("date")))
     placed = dated.repartition("security", "session").sortWithinPartitions("security", "session", *ARRIVAL)
-    return placed.select("security", "session", "order_no", "cents", "volume", "side").mapInPandas(_match, TRADES)
+    trades = placed.select("security", "session", "order_no", "cents", "volume", "side").mapInPandas(_match, TRADES)
+    return trades.withColumn("session", F.date_format(F.date_from_unix_date("session"), "yyyy-MM-dd"))
 
 
 def _match(batches):
