@@ -480,3 +480,19 @@ def test_hot_key_with_crowded_positions(spark, tables):
         assert all_results() == plain
     finally:
         spark.conf.unset(ROWS_PER_TASK_CONF)
+
+
+def test_functions_travel_by_value(folder):
+    """Workers have no copy of the package: what they run must not import it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tidegate.operators.median import _fold
+    from tidegate.streaming.processors import LatestTtlJoin, MatchOrders
+
+    with open(f"{folder}/code", "wb") as f:
+        cloudpickle.dump((stock._match, MatchOrders(), LatestTtlJoin(1), _fold(["k"], "v", "m")), f)
+    check = "import pickle, sys; got = pickle.load(open(sys.argv[1], 'rb')); list(got[0]([])); assert 'tidegate' not in sys.modules"
+    subprocess.run([sys.executable, "-c", check, f"{folder}/code"], cwd=folder, check=True)
