@@ -11,9 +11,9 @@ load_all()
 
 # Queries on operators that cut a hot key.
 ORDERED = (
-    "join_ttl_latest ad_click_join trig_count trig_repeat_count trig_any win_acc_discarding win_acc_accumulating "
-    "pageview_counter task_process stock_running_sum stock_running_avg stock_pool stop_detect spike_detect "
-    "markov_train fraud_score stat_ewma stat_running_median sort_total sort_key_fields sort_secondary src_nline grep"
+    "join_ttl_latest ad_click_join trig_any "
+    "task_process stock_running_sum stock_running_avg stock_pool stop_detect spike_detect "
+    "markov_train fraud_score stat_ewma stat_running_median sort_secondary src_nline"
 ).split()
 
 

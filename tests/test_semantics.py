@@ -11,6 +11,7 @@ from tidegate.apps.book import Book
 from tidegate.functions import scalar
 from tidegate.operators import aggs, dataflow, joins, ordering, stats, windows
 from tidegate.operators.ordered import micros
+from tidegate.session import ROWS_PER_TASK_CONF
 from tidegate.sinks.tables import KeyedTable
 from tidegate.sources import readers
 from tidegate.sources.catalog import StreamCatalog, script_statements
@@ -496,3 +497,93 @@ def test_functions_travel_by_value(folder):
         cloudpickle.dump((stock._match, MatchOrders(), LatestTtlJoin(1), _fold(["k"], "v", "m")), f)
     check = "import pickle, sys; got = pickle.load(open(sys.argv[1], 'rb')); list(got[0]([])); assert 'tidegate' not in sys.modules"
     subprocess.run([sys.executable, "-c", check, f"{folder}/code"], cwd=folder, check=True)
+
+
+def test_running_totals_of_a_hot_security_with_times_of_day(small_tasks):
+    """Slices follow the arrival order, so a split security has the same sums as a whole one."""
+    spark = small_tasks
+    orders = spark.range(200).select(
+        F.lit(1).alias("security"), ((F.col("id") * 7919) % 1000).alias("order_no"), F.lit(1).alias("line"),
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("id") * 37) % 86400).alias("ts"), F.lit(1).alias("part_id"),
+        (F.col("id") + 1).alias("cents"), F.lit(1).alias("volume"), F.lit("B").alias("side"),
+    )
+    got = stock.running_totals(orders).select("ts", "order_no", "cents", "running_sum").collect()
+    total = 0
+    for r in sorted(got, key=lambda r: (r.ts, r.order_no)):
+        total += r.cents
+        assert r.running_sum == total
+
+
+def test_pipe_takes_named_exit_codes_and_skips_empty_partitions(spark):
+    from tidegate.functions.pipes import piped_map
+
+    words = spark.createDataFrame([(w,) for w in ("a", "b", "c", "a")], "w string").repartition(8)
+    assert rows(piped_map(words, "grep a", "w", accept=(0, 1))) == [("a",), ("a",)]
+    assert rows(piped_map(words.filter("w = 'a'"), "grep a", "w")) == [("a",), ("a",)]
+    with pytest.raises(Exception, match="exit"):
+        piped_map(words, "grep a", "w").collect()
+
+
+@pytest.mark.parametrize("limit", ["3", "1000"])
+def test_median_of_null_keys_and_values(spark, limit):
+    from tidegate.operators.median import running_median
+
+    data = [(None, 1, 0.0), (None, 2, 1.0), (None, 3, None), (None, 4, 2.0), ("k", 1, None), ("k", 2, 5.0)]
+    df = spark.createDataFrame(data, "k string, t int, v double")
+    spark.conf.set(ROWS_PER_TASK_CONF, limit)  # 3: the null key is split into slices
+    try:
+        got = {(r.k, r.t): r.median for r in running_median(df, ["k"], ["t"], F.col("t"), "v").collect()}
+    finally:
+        spark.conf.unset(ROWS_PER_TASK_CONF)
+    assert [got[None, t] for t in (1, 2, 3, 4)] == [0.0, 0.5, 0.5, 1.0]
+    assert got["k", 1] is None and got["k", 2] == 5.0
+
+
+def test_fold_with_its_own_combination(spark):
+    from tidegate.operators.aggs import fold
+
+    df = spark.createDataFrame([("a", 5), ("a", 7)], "k string, v int")
+    assert rows(fold(df, ["k"], {"m": 100}, {"m": F.max("v")}, {"m": F.greatest})) == [("a", 100)]
+
+
+def test_total_rank_needs_no_single_task(spark):
+    from tidegate.operators.ordering import total_rank
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    ranked = total_rank(df, ["v"])
+    assert rows(ranked) == [(i, i + 1) for i in sorted(range(1000), key=lambda i: repr((i, i + 1)))]
+
+
+def test_keyed_table_opened_again(spark, folder):
+    table = KeyedTable(spark, folder, ["k"])
+    table.put_all(spark.createDataFrame([], "k int, v int"))
+    again = KeyedTable(spark, folder, ["k"])
+    again.put_all(spark.createDataFrame([(1, 1)], "k int, v int"))
+    again.put_all(spark.createDataFrame([(1, 2)], "k int, v int"))
+    again.compact()
+    last = KeyedTable(spark, folder, ["k"])
+    assert last.base == again.base > 0 and rows(last.read()) == [(1, 2)]
+
+
+def test_text_and_sequence_files_side_by_side(spark, folder):
+    from tidegate.sources.readers import auto_text
+
+    spark.createDataFrame([("a\t1",)], "value string").coalesce(1).write.text(f"{folder}/text")
+    spark.sparkContext.parallelize([("b", "2")], 1).saveAsSequenceFile(f"{folder}/seq")
+    assert rows(auto_text(spark, f"{folder}/*")) == [("a", "1"), ("b", "2")]
+
+
+def test_interval_join_of_equal_times(spark):
+    from tidegate.operators.joins import interval_join
+
+    df = spark.createDataFrame([(1, 10), (1, 11)], "k int, s int").select("k", F.timestamp_seconds("s").alias("t"))
+    assert interval_join(df, df.withColumnRenamed("t", "u"), "k", "t", "u", 0).count() == 2
+
+
+def test_own_functions_of_sql_text():
+    from tidegate.sources.catalog import own_functions
+
+    assert own_functions("SELECT SUM0(a + f(b, ')')) FROM t") == "SELECT coalesce(sum(a + f(b, ')')), 0) FROM t"
+    assert own_functions("GROUP BY TUMBLE(ts, INTERVAL '5' SECOND)") == "GROUP BY window(ts, '5 SECOND')"
+    with pytest.raises(ValueError):
+        own_functions("SELECT flatten(a), flatten(b) FROM t")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 LATENCY_LINE = r"^stock_id:[^:]*: (\d+) completion_ts: (\d+)"
 
 
-def epochs(lines: DataFrame, executor: str, col: str, epoch_ms: int = 100) -> DataFrame:
+def epochs(lines: DataFrame, executor: str, col: str, epoch_ms: int = 100, open_end: bool = True) -> DataFrame:
     """Average latency per executor and epoch, counted from the executor's first completion.
 
-    The last epoch of an executor is left out, as the log may end within it.
+    With ``open_end`` the last epoch of an executor is left out, as the log may end within it.
     """
     # Null for any other line: the marker is looked for first, as it is cheaper than the pattern.
     ours = lines.filter(F.col(col).startswith("stock_id:")).select(
@@ -22,12 +22,16 @@ def epochs(lines: DataFrame, executor: str, col: str, epoch_ms: int = 100) -> Da
     times = ours.filter("c IS NOT NULL")
     bounds = times.groupBy(executor).agg(F.min("c").alias("first"), F.max("c").alias("last"))
     placed = times.join(bounds, executor).withColumn("epoch", F.expr(f"(c - first) div {epoch_ms}"))
-    whole = placed.filter(F.expr(f"epoch < (last - first) div {epoch_ms}"))
+    whole = placed.filter(F.expr(f"epoch < (last - first) div {epoch_ms}")) if open_end else placed
     return whole.groupBy(executor, "epoch").agg(F.avg(F.col("c") - F.col("a")).alias("latency"))
 
 
-def filled(series: DataFrame, executor: str) -> DataFrame:
+RUN = 10_000
+
+
+def filled(series: DataFrame, executor: str, starts_at: tuple[int, int] | None = None) -> DataFrame:
     """Linear interpolation between an executor's known epochs, from (0, 0); the last one is not included.
+    With ``starts_at`` only runs of epochs that touch this range are filled.
 
     A window holds one row per known epoch of an executor.
     """
@@ -38,7 +42,12 @@ def filled(series: DataFrame, executor: str) -> DataFrame:
             "_l": F.coalesce(F.lag("latency").over(order), F.lit(0.0)),
         }
     ).filter(F.col("epoch") > F.col("_e"))
-    steps = spans.withColumn("t", F.explode(F.sequence(F.col("_e"), F.col("epoch") - 1)))
+    # A gap is cut into runs first, so that no row holds a long array.
+    last = F.col("epoch") - 1
+    starts = spans.withColumn("_run", F.explode(F.sequence(F.col("_e"), last, F.lit(RUN).cast("bigint"))))
+    if starts_at is not None:
+        starts = starts.filter((F.col("_run") + RUN > starts_at[0]) & (F.col("_run") < starts_at[1]))
+    steps = starts.withColumn("t", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + (RUN - 1), last))))
     slope = (F.col("latency") - F.col("_l")) / (F.col("epoch") - F.col("_e"))
     return steps.select(executor, F.col("t").alias("epoch"), (F.col("_l") + (F.col("t") - F.col("_e")) * slope).alias("latency"))
 

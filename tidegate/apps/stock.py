@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.apps.book import Book
-from tidegate.operators.ordered import number_rows, running
+from tidegate.operators.ordered import Position, at, number_rows, running
 
 # Positions of the fields in a pipe-delimited order line.
 ORDER_NO, CODE, PRICE, EXEC_VOLUME, VOLUME, SECURITY, DIRECTION = 0, 1, 8, 9, 10, 11, 22
@@ -15,9 +15,9 @@ ORDER_NO, CODE, PRICE, EXEC_VOLUME, VOLUME, SECURITY, DIRECTION = 0, 1, 8, 9, 10
 ARRIVAL = ["ts", "order_no", "line", "part_id", "cents", "volume", "side"]
 
 
-def arrival_pos() -> Column:
-    """Day first, order number within the day."""
-    return F.unix_date(F.to_date("ts")) * F.lit(2**36) + F.pmod("order_no", F.lit(2**36))
+def arrival_pos() -> Position:
+    """Time first, order number within a time: the first two columns of ARRIVAL."""
+    return at("ts", "order_no")
 
 
 def parse_orders(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -74,20 +74,24 @@ def price_levels(orders: DataFrame) -> DataFrame:
     return orders.groupBy("security", "cents").agg(F.count(F.lit(1)).alias("orders"), F.sum("volume").alias("volume"))
 
 
-TRADES = "security bigint, session int, buy_order bigint, sell_order bigint, cents bigint, volume bigint"
+TRADES = "security bigint, session string, buy_order bigint, sell_order bigint, cents bigint, volume bigint"
 
 
-def match_orders(orders: DataFrame, session: str = "month") -> DataFrame:
-    """Continuous matching by price, then time, per security and trading session.
+def session_of(ts: Column, session: str | None) -> Column:
+    """First day of the trading session (a unit of ``date_trunc``) as text; without sessions, an empty text."""
+    return F.lit("") if session is None else F.date_format(F.date_trunc(session, ts), "yyyy-MM-dd")
 
-    An order trades at the price of the resting order it meets; what is left rests until the
-    session ends. Books do not outlive a session, so (security, session) is the unit of work.
-    A task reads its orders as a stream in arrival order and holds only the open books.
+
+def match_orders(orders: DataFrame, session: str | None = None) -> DataFrame:
+    """Continuous matching by price, then time, per security.
+
+    An order trades at the price of the resting order it meets; what is left rests until it is met. A market that
+    closes its books gives the unit of its ``session`` (such as "month"): then (security, session) is the unit of
+    work. A task reads its orders as a stream in arrival order and holds only the open books.
     """
-    dated = orders.withColumn("session", F.unix_date(F.date_trunc(session, F.col("ts")).cast("date")))
+    dated = orders.withColumn("session", session_of(F.col("ts"), session))
     placed = dated.repartition("security", "session").sortWithinPartitions("security", "session", *ARRIVAL)
-    trades = placed.select("security", "session", "order_no", "cents", "volume", "side").mapInPandas(_match, TRADES)
-    return trades.withColumn("session", F.date_format(F.date_from_unix_date("session"), "yyyy-MM-dd"))
+    return placed.select("security", "session", "order_no", "cents", "volume", "side").mapInPandas(_match, TRADES)
 
 
 def _match(batches):

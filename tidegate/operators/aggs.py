@@ -21,7 +21,7 @@ AGGREGATORS: dict[str, Callable[[str], Column]] = {
     "LongValueSum": lambda c: F.sum(F.col(c).cast("bigint")),
     "LongValueMax": lambda c: F.max(F.col(c).cast("bigint")),
     "LongValueMin": lambda c: F.min(F.col(c).cast("bigint")),
-    "DoubleValueSum": lambda c: F.sum(F.col(c).cast("decimal(38,6)")),
+    "DoubleValueSum": lambda c: F.sum(F.col(c).cast("double")),
     "StringValueMax": lambda c: F.max(F.col(c).cast("string")),
     "StringValueMin": lambda c: F.min(F.col(c).cast("string")),
     "UniqValueCount": lambda c: F.count_distinct(F.col(c)),
@@ -92,11 +92,16 @@ def matrix_margins(df: DataFrame, row: str, col: str) -> DataFrame:
     return df.cube(row, col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fold(df: DataFrame, keys: list[str], initial: dict[str, int], steps: dict[str, Column]) -> DataFrame:
+def fold(
+    df: DataFrame, keys: list[str], initial: dict[str, int], steps: dict[str, Column],
+    combine: dict[str, Callable[[Column, Column], Column]] | None = None,
+) -> DataFrame:
     """Fold each key's rows onto an initial value. The steps are aggregate expressions, so that Spark
-    folds parts of a key on the map side; the initial value joins in once at the end."""
+    folds parts of a key on the map side; the initial value joins in once at the end, by the column's
+    ``combine`` (such as ``F.greatest`` for a maximum), or by addition."""
     folded = df.groupBy(*keys).agg(*[step.alias(name) for name, step in steps.items()])
-    return folded.withColumns({name: F.col(name) + value for name, value in initial.items()})
+    join_in = {name: (combine or {}).get(name, lambda a, b: a + b) for name in initial}
+    return folded.withColumns({name: join_in[name](F.lit(value), F.col(name)) for name, value in initial.items()})
 
 
 def user_aggregate(

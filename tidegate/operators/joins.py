@@ -54,7 +54,7 @@ def interval_join(
     its interval touches; a left row stays in one, so a left outer join is exact.
     """
     d = seconds * 1_000_000
-    width = 2 * d
+    width = max(2 * d, 1)
 
     def bucket(t: Column) -> Column:
         return t - F.pmod(t, F.lit(width))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidegate.operators.ordered import SLICE, Position, same_keys, slice_hot_keys
 
@@ -19,6 +20,8 @@ def running_median(
     """Median of all values of the key up to and including each row; an even count takes the mean
     of the middle two.
 
+    Null values count for nothing: their rows repeat the median so far. Null keys are a key.
+
     A key that fits a task is folded with two heaps. A hot key is cut into slices of its
     order. A slice of m rows can move the median by at most m places in the values seen
     before it, so besides its own rows it only needs the earlier values ranked within m of
@@ -26,7 +29,7 @@ def running_median(
     """
     base = df.withColumn(value, F.col(value).cast("double"))
     sliced, split = slice_hot_keys(base, keys, pos)
-    schema = base.withColumn(name, F.lit(0.0)).schema
+    schema = StructType([*base.schema.fields, StructField(name, DoubleType())])
     if not split:
         # The number of partitions is fixed, as the work is in Python and small data would be
         # coalesced into few tasks.
@@ -48,7 +51,8 @@ def _fold(keys: list[str], value: str, name: str):
         current, medians = None, None
         for batch in batches:
             result = np.empty(len(batch))
-            for i, (key, v) in enumerate(zip(batch[keys].itertuples(index=False, name=None), batch[value])):
+            names = batch[keys].astype(object).where(batch[keys].notna(), None)  # a missing key equals itself
+            for i, (key, v) in enumerate(zip(names.itertuples(index=False, name=None), batch[value])):
                 if key != current:
                     current, medians = key, Medians()
                 result[i] = medians.add(v)
@@ -94,7 +98,15 @@ class Medians:
         self.high = list(near[half:])
         self.even = total % 2 == 0
 
+    def now(self) -> float:
+        """The median of the values so far; not a number without any."""
+        if not self.low:
+            return float("nan")
+        return (self.high[0] - self.low[0]) / 2 if self.even else -self.low[0]
+
     def add(self, v: float) -> float:
+        if v is None or v != v:
+            return self.now()
         if self.even:
             heappush(self.low, -heappushpop(self.high, v))
             result = -self.low[0]
@@ -112,18 +124,18 @@ def _seeds(sliced: DataFrame, keys: list[str], value: str) -> DataFrame:
     Equal values of one slice are one row throughout. The value axis is cut into about two
     bins per slice, and counts per (slice, bin) say which bins a slice needs.
     """
-    per_value = sliced.groupBy(*keys, F.col(SLICE).alias("s"), F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    known = sliced.filter(F.col(value).isNotNull())
+    per_value = known.groupBy(*keys, F.col(SLICE).alias("s"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     last = sliced.agg(F.max(SLICE)).first()[0]
     n_bins = 2 * (last + 1)
     cuts = sliced.approxQuantile(value, [i / n_bins for i in range(1, n_bins)], 1 / (4 * n_bins))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     binned = Bucketizer(splits=splits, inputCol="v", outputCol="bin").transform(per_value)
 
-    sizes = binned.groupBy(*keys, "s").agg(F.sum("n").alias("m"))
+    # Slices without a value have a size too: their rows repeat the median before them.
+    sizes = sliced.groupBy(*keys, F.col(SLICE).alias("s")).agg(F.count(value).alias("m"))
     earlier = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("total", F.sum("m").over(earlier)).filter("total IS NOT NULL").withColumnRenamed("s", "slice")
+    sizes = sizes.withColumn("total", F.sum("m").over(earlier)).filter("total > 0").withColumnRenamed("s", "slice")
 
     # What slices before each one hold per bin: a running count, carried on to the bin's next slice.
     through = Window.partitionBy(*keys, "bin").orderBy("s")
@@ -133,7 +145,8 @@ def _seeds(sliced: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.sum("n").over(through).alias("n"), F.coalesce(F.lead("s").over(through), F.lit(last)).alias("next"),
     ).filter("s < next")
     prefix = held.withColumn("slice", F.explode(F.sequence(F.col("s") + 1, F.col("next")))).drop("s", "next")
-    prefix = prefix.join(sizes, [*keys, "slice"])
+    sizes = sizes.withColumnsRenamed({k: f"_z_{k}" for k in [*keys, "slice"]})
+    prefix = prefix.join(sizes, same_keys([*keys, "slice"], "", "_z_")).drop(*[f"_z_{k}" for k in [*keys, "slice"]])
     by_bin = Window.partitionBy(*keys, "slice").orderBy("bin")
     prefix = prefix.withColumn("upto", F.sum("n").over(by_bin)).withColumn("below", F.col("upto") - F.col("n"))
     reach = F.col("m") + 2

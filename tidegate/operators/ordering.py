@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.operators.ordered import Position, number_rows
+from tidegate.session import materialized
 
 
 def range_partitioned(df: DataFrame, parts: int, *order: str) -> DataFrame:
@@ -18,16 +19,21 @@ def range_partitioned(df: DataFrame, parts: int, *order: str) -> DataFrame:
     return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
-def total_rank(df: DataFrame, order: list[str], pos: Position, name: str = "rank") -> DataFrame:
-    """1-based place of each row in the total order. The table counts as one key, so a large one
-    is cut into slices of the order and numbered slice by slice."""
-    return number_rows(df.withColumn("_all", F.lit(0)), ["_all"], order, pos, name).drop("_all")
+def total_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """1-based place of each row in the total order.
 
-
-def text_pos(col: str) -> Column:
-    """Numeric position of a string: its first six bytes."""
-    head = F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("bigint")
+    Range partitions are sorted and numbered inside, and written once; the numbers of rows of the partitions, one
+    small row each, are summed up and added. No task sees more than its range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialized(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = numbered.withColumn("_part", part).join(offsets, "_part")
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.select(*df.columns, rank.alias(name))
 
 
 def sort_report(sorted_df: DataFrame, key: str) -> DataFrame:

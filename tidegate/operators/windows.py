@@ -108,6 +108,11 @@ def early_panes(df: DataFrame, keys: list[str], ts: str, width: str, n: int, acc
     )
 
 
+def in_pane(fired: DataFrame, width: str) -> DataFrame:
+    """Early firings up to the pane's end; what would fire later does not, as the pane is closed."""
+    return fired.filter(F.col("fire_ts") <= F.col("window_start") + F.expr(f"INTERVAL {width}"))
+
+
 def since_first_trigger(df: DataFrame, keys: list[str], ts: str, width: str, delay: str) -> DataFrame:
     """Firing time of timeSinceFirstMessage(delay) per (key, window), and what it sees.
 
@@ -117,7 +122,7 @@ def since_first_trigger(df: DataFrame, keys: list[str], ts: str, width: str, del
     tagged = panes(df, ts, width)
     window_keys = [*keys, "window_start"]
     first = tagged.groupBy(*window_keys).agg(F.min(ts).alias("first_ts"))
-    first = first.withColumn("fire_ts", F.col("first_ts") + F.expr(f"INTERVAL {delay}"))
+    first = in_pane(first.withColumn("fire_ts", F.col("first_ts") + F.expr(f"INTERVAL {delay}")), width)
     joined = tagged.join(first, window_keys)
     return joined.groupBy(*window_keys, "fire_ts").agg(
         F.count(F.when(F.col(ts) <= F.col("fire_ts"), 1)).alias("seen"), F.count(F.lit(1)).alias("total")
@@ -128,18 +133,19 @@ def since_last_trigger(
     df: DataFrame, keys: list[str], ts: str, width: str, delay_seconds: int
 ) -> DataFrame:
     """Firing of timeSinceLastMessage per (key, window): the first moment the pane has been
-    quiet for the delay. Each message resets the timer; the trigger fires once."""
+    quiet for the delay. Each message resets the timer; the trigger fires once, and never after the pane's end."""
     window_keys = [*keys, "window_start"]
     runs = sessions(panes(df, ts, width), ts, delay_seconds, window_keys, {"count": ("count", ts)})
     # Runs of a pane are bounded by its length over the delay; the first is the firing.
     first = F.min_by(F.struct(F.col("session_end").alias("fire_ts"), F.col("count").alias("seen")), "session_start")
-    return runs.groupBy(*window_keys).agg(first.alias("f")).select(*window_keys, "f.fire_ts", "f.seen")
+    return in_pane(runs.groupBy(*window_keys).agg(first.alias("f")).select(*window_keys, "f.fire_ts", "f.seen"), width)
 
 
 def any_trigger(
     df: DataFrame, keys: list[str], ts: str, order: list[str], width: str, n: int, delay: str
 ) -> DataFrame:
-    """any(count(n), timeSinceFirstMessage(delay)): whichever fires first cancels the other.
+    """any(count(n), timeSinceFirstMessage(delay)): whichever fires first cancels the other. Neither
+    fires after the pane's end.
 
     One pass: each message gets its number and the time of the first one in its pane.
     """
@@ -152,9 +158,10 @@ def any_trigger(
         F.count(F.when(F.col(ts) <= due, 1)).alias("in_time"),
     )
     by_count = F.col("count_ts") <= F.col("due")
-    return both.select(
+    fired = both.select(
         *window_keys,
         F.when(by_count, F.col("count_ts")).otherwise(F.col("due")).alias("fire_ts"),
         F.when(by_count, F.lit("count")).otherwise(F.lit("time")).alias("fired_by"),
         F.when(by_count, F.lit(n)).otherwise(F.col("in_time")).cast("bigint").alias("seen"),
     )
+    return in_pane(fired, width)

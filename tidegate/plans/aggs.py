@@ -23,6 +23,27 @@ def agg_fold(t):
     return ops.fold(t.bid_s, ["bidder"], {"n": 100, "total": 1000}, {"n": F.count(F.lit(1)), "total": F.sum("price")})
 
 
+@query(
+    "agg_fold_max",
+    """SELECT bidder, greatest(50000, max(price)) AS top, least(300, min(price)) AS low FROM bid_s GROUP BY bidder""",
+)
+def agg_fold_max(t):
+    return ops.fold(
+        t.bid_s, ["bidder"], {"top": 50000, "low": 300}, {"top": F.max("price"), "low": F.min("price")},
+        {"top": F.greatest, "low": F.least},
+    )
+
+
+@query(
+    "agg_double_sum_small",
+    """SELECT user_id, round(sum(value / 1e9) * 1e6, 6) AS total FROM events GROUP BY user_id""",
+)
+def agg_double_sum_small(t):
+    tiny = t.events.withColumn("tiny", F.col("value") / 1e9)
+    total = F.round(ops.AGGREGATORS["DoubleValueSum"]("tiny") * 1e6, 6)
+    return tiny.groupBy("user_id").agg(total.alias("total"))
+
+
 @query("agg_long_sum", "SELECT auction, CAST(sum(price) AS BIGINT) AS total FROM bid_s GROUP BY auction")
 def agg_long_sum(t):
     return t.bid_s.groupBy("auction").agg(ops.AGGREGATORS["LongValueSum"]("price").alias("total"))
@@ -34,8 +55,8 @@ def agg_long_sum(t):
     FROM lineitem GROUP BY l_suppkey""",
 )
 def agg_double_sum(t):
-    # Summed as decimals: the same total whatever order the parts of a key are merged in.
-    total = F.round(ops.AGGREGATORS["DoubleValueSum"]("l_extendedprice").cast("double"), 2)
+    # Rounded, as a sum of doubles depends in its last digits on the order in which parts of a key are merged.
+    total = F.round(ops.AGGREGATORS["DoubleValueSum"]("l_extendedprice"), 2)
     return t.lineitem.groupBy("l_suppkey").agg(total.alias("total"))
 
 
@@ -90,10 +111,10 @@ def agg_value_hist(t):
     UNION ALL SELECT 'StringValueMax', 'flag', max(l_returnflag) FROM lineitem
     UNION ALL SELECT 'StringValueMin', 'flag_min', min(l_returnflag) FROM lineitem
     UNION ALL SELECT 'UniqValueCount', 'parts', CAST(count(DISTINCT l_partkey) AS VARCHAR) FROM lineitem
-    UNION ALL SELECT 'DoubleValueSum', 'price', CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,6)) AS VARCHAR) FROM lineitem""",
+    UNION ALL SELECT 'DoubleValueSum', 'price', CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS VARCHAR) FROM lineitem""",
 )
 def agg_descriptor(t):
-    return ops.by_descriptor(
+    found = ops.by_descriptor(
         t.lineitem,
         {
             "qty": ("LongValueSum", "l_quantity"),
@@ -105,6 +126,8 @@ def agg_descriptor(t):
             "price": ("DoubleValueSum", "l_extendedprice"),
         },
     )
+    hundredths = F.round(F.col("value").cast("double"), 2).cast("decimal(38,2)").cast("string")
+    return found.withColumn("value", F.when(F.col("type") == "DoubleValueSum", hundredths).otherwise(F.col("value")))
 
 
 @query(

@@ -156,7 +156,7 @@ LEXICON = {
 def sentiment(t):
     # From a pandas frame, so that Spark knows how small the lexicon is.
     lexicon = t.spark.createDataFrame(pd.DataFrame(LEXICON.items(), columns=["word", "score"]), "word string, score bigint")
-    return text.sentiment(t.spread("documents", "doc_id"), "doc_id", "text", lexicon)
+    return text.sentiment(t.documents, "doc_id", "text", lexicon)
 
 
 @query(

@@ -18,8 +18,7 @@ PARTS = 16
 )
 def sort_total(t):
     rows = t.lineitem.select("l_extendedprice", "l_orderkey", "l_partkey")
-    pos = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    return ops.total_rank(rows, ["l_extendedprice", "l_orderkey", "l_partkey"], (pos, F.col("l_orderkey")))
+    return ops.total_rank(rows, ["l_extendedprice", "l_orderkey", "l_partkey"])
 
 
 @query("sort_validate", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM lineitem")
@@ -47,8 +46,7 @@ def sort_key_fields(t):
     lines = t.lineitem.select(F.expr(LINE).alias("line"))
     (mid, _), (qty, _) = ops.key_fields(F.col("line"), "-k3.2,3.3n -k2,2nr", " ")
     keyed = lines.select("line", mid.alias("k1"), (-qty).alias("k2"))
-    pos = F.col("k1") * 1_000_000 + F.col("k2")
-    return ops.total_rank(keyed, ["k1", "k2", "line"], (pos, ops.text_pos("line"))).select("rank", "line")
+    return ops.total_rank(keyed, ["k1", "k2", "line"]).select("rank", "line")
 
 
 def _spread(placed, key):

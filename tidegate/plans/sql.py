@@ -55,9 +55,9 @@ sql_query(
 
 sql_query(
     "sql_tumble",
-    """SELECT unix_micros(w.start) AS tumble_start, unix_micros(w.end) AS tumble_end, n, cents FROM
-    (SELECT window(ts, '6 hours') AS w, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents
-    FROM kafka.events GROUP BY window(ts, '6 hours'))""",
+    """SELECT unix_micros(TUMBLE_START(ts, INTERVAL '6' HOUR)) AS tumble_start,
+    unix_micros(TUMBLE_END(ts, INTERVAL '6' HOUR)) AS tumble_end, count(*) AS n,
+    sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM kafka.events GROUP BY TUMBLE(ts, INTERVAL '6' HOUR)""",
     """SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS tumble_start,
     epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR) AS tumble_end, count(*) AS n,
     CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL""",
@@ -122,8 +122,8 @@ sql_query(
 )
 def sql_flatten(t):
     long_words = F.filter(F.split("text", " "), lambda x: F.length(x) > 12)
-    rows = t.documents.select("doc_id", F.when(F.col("lang") != "en", long_words).alias("word"))
-    return scalar.flatten_rows(rows, "word")
+    rows = t.documents.select("doc_id", F.when(F.col("lang") != "en", long_words).alias("words"))
+    return catalog(t, kafka__texts=rows).query("SELECT doc_id, flatten(words) AS word FROM kafka.texts")
 
 
 @query("sql_key_col", "SELECT c_custkey AS __key__, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -273,10 +273,10 @@ def fn_dot(t):
     CAST(coalesce(sum(CASE WHEN value < 0 THEN user_id END), 0) AS BIGINT) AS s0 FROM events GROUP BY event_type""",
 )
 def agg_sql(t):
-    return t.events.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("value") < 25, 1)).alias("small"),
-        F.sum(F.when(F.col("value") < 1, F.col("user_id"))).alias("s"),
-        scalar.sum0(F.when(F.col("value") < 0, F.col("user_id"))).alias("s0"),
+    return catalog(t, kafka__events=t.events).query(
+        """SELECT event_type, count(*) AS n, count(CASE WHEN value < 25 THEN 1 END) AS small,
+        sum(CASE WHEN value < 1 THEN user_id END) AS s, SUM0(CASE WHEN value < 0 THEN user_id END) AS s0
+        FROM kafka.events GROUP BY event_type"""
     )
 
 
@@ -308,16 +308,23 @@ def json_roundtrip(t):
 
 @query("udf_pipe", "SELECT event_type || chr(9) || CAST(user_id AS VARCHAR) AS value FROM events WHERE event_type <> 'view'")
 def udf_pipe(t):
-    return piped_map(t.events, "grep -v ^view", "event_type", "user_id")
+    return piped_map(t.events, "grep -v ^view", "event_type", "user_id", accept=(0, 1))
 
 
 @query("pipe_uniq", "SELECT DISTINCT event_type || chr(9) || CAST(user_id AS VARCHAR) AS value FROM events")
 def pipe_uniq(t):
-    # Repeats are dropped before the shuffle; the program sees each sorted run once more.
-    return piped_reduce(t.events.select("event_type", "user_id").distinct(), "uniq", "event_type", "user_id")
+    # The program runs twice: as a combiner over sorted partitions, then over all rows of a key.
+    rows = t.events.select("event_type", "user_id").sortWithinPartitions("event_type", "user_id")
+    kind = F.split("value", "\t")
+    once = piped_map(rows, "uniq", "event_type", "user_id").select(kind[0].alias("event_type"), kind[1].cast("bigint").alias("user_id"))
+    return piped_reduce(once, "uniq", "event_type", "user_id")
 
 
 @query("pipe_value_count", "SELECT event_type AS key, count(*) AS n FROM events GROUP BY event_type")
 def pipe_value_count(t):
-    lines = t.events.select(F.concat_ws("\t", "event_type", "user_id").alias("value"))
-    return lines.groupBy(F.substring_index("value", "\t", 1).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    # A program counts the lines of each key in its partition; a second one adds up the few counts of a key.
+    count = "awk -F'\t' '{ n[$1]++ } END { for (k in n) print k \"\t\" n[k] }'"
+    add = "awk -F'\t' '{ n[$1] += $2 } END { for (k in n) print k \"\t\" n[k] }'"
+    cells = F.split("value", "\t")
+    counted = piped_map(t.events, count, "event_type").select(cells[0].alias("key"), cells[1].alias("n"))
+    return piped_reduce(counted, add, "key", "n").select(cells[0].alias("key"), cells[1].cast("bigint").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidegate.apps.stock import session_of
 from tidegate.operators import joins, windows
 from tidegate.plans.nexmark import SELECTED, euros
 from tidegate.registry import ORACLES, query
@@ -132,7 +133,8 @@ def stream_eos(t):
         stream(t).select("event_id").writeStream.format("parquet").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    ended = bool(run.awaitTermination(3600)) and not run.isActive
+    run.awaitTermination()
+    ended = not run.isActive
     out = t.spark.read.parquet(path)
     return out.agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"), F.lit(ended).alias("ended"))
 
@@ -255,7 +257,7 @@ def stock_match_stream(t):
         F.col("l_suppkey").alias("security"), F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_quantity").cast("bigint").alias("volume"),
         F.when(F.col("l_returnflag") == "A", "B").otherwise("S").alias("side"), F.unix_micros("l_shipdate").alias("ts"),
-        F.col("l_partkey").alias("part_id"), F.date_format(F.date_trunc("year", "l_shipdate"), "yyyy-MM-dd").alias("session"),
+        F.col("l_partkey").alias("part_id"), session_of(F.col("l_shipdate"), None).alias("session"),
     )
     with state_store(t.spark):
         return run_append(ps.stateful(orders, ["security", "session"], ps.MatchOrders(), ps.MatchOrders.SCHEMA))
@@ -270,6 +272,24 @@ def sql_stream_insert(t):
     return cat.read("kafka.large")
 
 
+@query(
+    "sql_stream_insert_twice",
+    """SELECT event_id, event_type AS kind FROM events WHERE value > 10 UNION ALL
+    SELECT event_id, upper(event_type) FROM events WHERE value < 5 UNION ALL SELECT event_id, 'batch' FROM events WHERE event_type = 'view'""",
+)
+def sql_stream_insert_twice(t):
+    # Two streams and a batch into one sink; the last statement once more finds nothing new.
+    cat = StreamCatalog(t.spark)
+    cat.source("kafka.clicks", stream(t))
+    cat.source("store.clicks", t.events)
+    cat.sink("kafka.all")
+    cat.insert("INSERT INTO kafka.all SELECT event_id, event_type AS kind FROM kafka.clicks WHERE value > 10")
+    cat.insert("INSERT INTO kafka.all SELECT event_id, 'batch' AS kind FROM store.clicks WHERE event_type = 'view'")
+    for _ in range(2):
+        cat.insert("INSERT INTO kafka.all SELECT event_id, upper(event_type) AS kind FROM kafka.clicks WHERE value < 5")
+    return cat.read("kafka.all")
+
+
 @query("sql_stream_upsert", "SELECT user_id AS __key__, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
 def sql_stream_upsert(t):
     # The newest row per key of each micro-batch, put into the table under the batch's number.

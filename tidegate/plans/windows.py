@@ -116,13 +116,14 @@ def pageview_counter(t):
     return out.withColumns(us("window_start"))
 
 
+IN_PANE = "epoch_us(fire_ts) <= window_start + 604800000000"
 FIRST = f"""f AS (SELECT auction, window_start, first_ts + INTERVAL 1 DAY AS fire_ts,
     count(*) FILTER (date_time <= first_ts + INTERVAL 1 DAY) AS seen, count(*) AS total FROM r GROUP BY ALL)"""
 
 
 @query(
     "trig_since_first",
-    f"WITH {RANKED}, {FIRST} SELECT auction, window_start, epoch_us(fire_ts) AS fire_ts, seen, total FROM f",
+    f"WITH {RANKED}, {FIRST} SELECT auction, window_start, epoch_us(fire_ts) AS fire_ts, seen, total FROM f WHERE {IN_PANE}",
 )
 def trig_since_first(t):
     out = ops.since_first_trigger(t.bid_s, ["auction"], "date_time", WEEK, "1 day")
@@ -134,7 +135,8 @@ def trig_since_first(t):
     f"""WITH {RANKED}, g AS (SELECT *, lead(date_time) OVER (PARTITION BY auction, window_start ORDER BY rn) AS nxt FROM r),
     q AS (SELECT auction, window_start, date_time, rn, row_number() OVER (PARTITION BY auction, window_start ORDER BY rn) AS first_gap
       FROM g WHERE nxt IS NULL OR nxt - date_time > INTERVAL 12 HOUR)
-    SELECT auction, window_start, epoch_us(date_time + INTERVAL 12 HOUR) AS fire_ts, rn AS seen FROM q WHERE first_gap = 1""",
+    SELECT auction, window_start, epoch_us(date_time + INTERVAL 12 HOUR) AS fire_ts, rn AS seen FROM q
+    WHERE first_gap = 1 AND epoch_us(date_time + INTERVAL 12 HOUR) <= window_start + 604800000000""",
 )
 def trig_since_last(t):
     out = ops.since_last_trigger(t.bid_s, ["auction"], "date_time", WEEK, 12 * 3600)
@@ -146,7 +148,7 @@ def trig_since_last(t):
     f"""WITH {RANKED}, {FIRST}, c AS (SELECT auction, window_start, date_time AS cts FROM r WHERE rn = 3)
     SELECT auction, window_start, epoch_us(CASE WHEN cts <= fire_ts THEN cts ELSE fire_ts END) AS fire_ts,
     CASE WHEN cts <= fire_ts THEN 'count' ELSE 'time' END AS fired_by, CASE WHEN cts <= fire_ts THEN 3 ELSE seen END AS seen
-    FROM f LEFT JOIN c USING (auction, window_start)""",
+    FROM f LEFT JOIN c USING (auction, window_start) WHERE cts <= fire_ts OR {IN_PANE}""",
 )
 def trig_any(t):
     out = ops.any_trigger(t.bid_s, ["auction"], "date_time", ORDER, WEEK, 3, "1 day")

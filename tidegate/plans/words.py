@@ -11,14 +11,16 @@ from tidegate.plans.aggs import HIST_SELECT, rounded
 from tidegate.registry import query
 from tidegate.session import materialized
 
+SPLIT = r"unnest(regexp_split_to_array(text, '[ \t\n\r\f]+'))"
+
+
 def rows_seen():
     return F.count(F.lit(1))
-SPLIT = r"unnest(regexp_split_to_array(text, '[ \t\n\r\f]+'))"
 
 
 @query("word_count", f"SELECT token, count(*) AS n FROM (SELECT {SPLIT} AS token FROM documents) WHERE token <> '' GROUP BY token")
 def word_count(t):
-    return tokens(t.spread("documents", "doc_id"), "text").groupBy("token").agg(rows_seen().alias("n"))
+    return tokens(t.documents, "text").groupBy("token").agg(rows_seen().alias("n"))
 
 
 @query(
@@ -27,7 +29,7 @@ def word_count(t):
     GROUP BY ALL) """ + HIST_SELECT.format(id="lang"),
 )
 def word_hist(t):
-    return rounded(value_histogram(tokens(t.spread("documents", "doc_id").select("lang", "text"), "text"), "lang", "token"))
+    return rounded(value_histogram(tokens(t.documents.select("lang", "text"), "text"), "lang", "token"))
 
 
 @query(
@@ -37,7 +39,7 @@ def word_hist(t):
 )
 def word_len_stats(t):
     # The statistics run on one row per distinct length, which a longest word bounds.
-    lengths = tokens(t.spread("documents", "doc_id"), "text").groupBy(F.length("token").alias("len")).agg(rows_seen().alias("f"))
+    lengths = tokens(t.documents, "text").groupBy(F.length("token").alias("len")).agg(rows_seen().alias("f"))
     total = F.sum("f")
     mean = F.sum(F.col("len") * F.col("f")) / total
     square = F.sum(F.col("len") * F.col("len") * F.col("f"))
@@ -68,11 +70,11 @@ def word_count_multi(t):
     FROM (SELECT unnest(regexp_extract_all(text, '[a-z]*tion')) AS m FROM documents) GROUP BY m)""",
 )
 def grep(t):
-    from tidegate.operators.ordering import text_pos, total_rank
+    from tidegate.operators.ordering import total_rank
 
-    counts = regex_matches(t.spread("documents", "doc_id"), "text", "[a-z]*tion").groupBy("match").agg(rows_seen().alias("n"))
-    counts = materialized(counts, "grep")  # the ranking reads the counts more than once
-    ranked = total_rank(counts.withColumn("_down", -F.col("n")), ["_down", "match"], (F.col("_down"), text_pos("match")), "place")
+    counts = regex_matches(t.documents, "text", "[a-z]*tion").groupBy("match").agg(rows_seen().alias("n"))
+    counts = materialized(counts, "grep")  # the ranking samples its ranges first
+    ranked = total_rank(counts.withColumn("_down", -F.col("n")), ["_down", "match"], "place")
     return ranked.select("match", "n", "place")
 
 
@@ -103,25 +105,3 @@ def db_pageview(t):
     # Accesses are counted per page first, so a page with most of them is one row in the join.
     counts = t.events.groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("page_id")).agg(rows_seen().alias("views"))
     return t.pages.select("page_id", "url").join(counts, "page_id")
-
-
-def inverse_sql(base: int, div: str) -> str:
-    """The digits of n in a base, mirrored at the point, as SQL; enough of them for any bigint in use."""
-    places = range(40 if base == 2 else 26)
-    return " + ".join(f"CAST((id {div} {base**i}) % {base} AS DOUBLE) / {float(base ** (i + 1))!r}" for i in places)
-
-
-@query(
-    "pi_halton",
-    f"""WITH p AS (SELECT {inverse_sql(2, '//')} AS x, {inverse_sql(3, '//')} AS y FROM
-    (SELECT range AS id FROM range((SELECT count(*) FROM lineitem))))
-    SELECT count(*) AS points, 4 * avg(CASE WHEN (x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) <= 0.25 THEN 1.0 ELSE 0.0 END) AS pi FROM p""",
-)
-def pi_halton(t):
-    """Pi from a Halton sequence, one point per row of lineitem."""
-    points = t.spark.range(t.lineitem.count()).select(
-        F.expr(inverse_sql(2, "div")).alias("x"), F.expr(inverse_sql(3, "div")).alias("y")
-    )
-    x, y = F.col("x") - 0.5, F.col("y") - 0.5
-    inside = F.avg(F.when(x * x + y * y <= 0.25, 1.0).otherwise(0.0))
-    return points.agg(F.count(F.lit(1)).alias("points"), (inside * 4).alias("pi"))

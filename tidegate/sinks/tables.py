@@ -33,16 +33,22 @@ class KeyedTable:
             return 0
         fields = [f for f in stored.schema if f.name not in (DELETED, "batch")]
         self.schema = StructType(fields) if len(fields) > len(self.keys) else None
-        return stored.agg(F.max("batch")).first()[0] + 1
+        last = stored.agg(F.max("batch")).first()[0]  # null if all batches are empty: they may be written over
+        try:
+            self.base = self.spark.read.schema("base bigint").json(f"{self.path}/_base").first()[0]
+        except (AnalysisException, TypeError):  # never compacted
+            self.base = 0
+        return 0 if last is None else last + 1
 
     def put_all(self, rows: DataFrame, order: list[str] | None = None, batch: int | None = None) -> None:
-        """Insert or replace by key. Of several rows of one key the last by ``order`` counts."""
+        """Insert or replace by key. Of several rows of one key the last by ``order`` counts, without
+        an order the greatest."""
         self.schema = self.schema or rows.schema
         rest = [c for c in rows.columns if c not in self.keys]
         if order:
             newest = F.max_by(F.struct(*rest), F.struct(*order))
-        else:
-            newest = F.any_value(F.struct(*rest))
+        else:  # the greatest, so that a repeated write has the same result
+            newest = F.max(F.struct(*rest))
         last = rows.groupBy(*self.keys).agg(newest.alias("_v")).select(*self.keys, "_v.*")
         self._append(last.withColumn(DELETED, F.lit(False)), batch)
 
@@ -70,4 +76,5 @@ class KeyedTable:
         """Fold all batches into one, which readers then start from."""
         number = self.next_batch
         self._append(self.read().withColumn(DELETED, F.lit(False)), number)
+        self.spark.range(1).select(F.lit(number).alias("base")).write.mode("overwrite").json(f"{self.path}/_base")
         self.base = number

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,6 @@ from tidegate.functions import scalar
 from tidegate.session import work_path
 from tidegate.sinks.tables import KeyedTable
 from tidegate.sinks.writers import each_batch
-from tidegate.streaming.harness import run_append
 
 
 class StreamCatalog:
@@ -18,6 +18,9 @@ class StreamCatalog:
 
     A source is a DataFrame, batch or streaming. A sink is a folder of parquet files; a name
     that ends in ``$table`` is a keyed table, and inserting into it is an upsert on ``__key__``.
+    Each streaming INSERT keeps its place in its input with the sink, under its own text, so several
+    of them and batch INSERTs add to one sink, and one that is run again goes on where it ended.
+    SQL text may use SUM0, flatten, TUMBLE, TUMBLE_START and TUMBLE_END.
     """
 
     def __init__(self, spark: SparkSession):
@@ -36,11 +39,13 @@ class StreamCatalog:
 
     def query(self, sql: str) -> DataFrame:
         """Run a SELECT whose FROM and JOIN items may be dotted names."""
-        return self.spark.sql(self._quoted(sql))
+        return self.spark.sql(own_functions(self._quoted(sql)))
 
     def read(self, name: str) -> DataFrame:
         target = self._target(name)
-        return target.read() if isinstance(target, KeyedTable) else self.spark.read.parquet(target)
+        if isinstance(target, KeyedTable):
+            return target.read()
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(target)
 
     def insert(self, statement: str) -> str:
         """Run one ``INSERT INTO name SELECT ...`` or ``UPSERT INTO ...``; returns the sink's name.
@@ -60,13 +65,22 @@ class StreamCatalog:
             sink = each_batch(df, lambda rows, n: target.put_all(rows, batch=first + n), work_path(self.spark, "checkpoint"))
             sink.awaitTermination()
         elif df.isStreaming:
-            run_append(df, target)
+            self._append_stream(df, target, statement)
         elif isinstance(target, KeyedTable):
             target.put_all(df)
         else:
             df.write.mode("append").parquet(target)
         return name
 
+    def _append_stream(self, df: DataFrame, folder: str, statement: str) -> None:
+        """Write each micro-batch to a folder of the statement and the batch; a batch that is retried replaces its own."""
+        own = hashlib.sha256(" ".join(statement.split()).encode()).hexdigest()[:16]
+
+        def write(rows: DataFrame, number: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{folder}/{own}-{number}")
+
+        each_batch(df, write, f"{folder}/_checkpoint-{own}").awaitTermination()
+
     def run_script(self, text: str) -> list[str]:
         """Run every INSERT of a script; statements may span lines and ``--`` lines are comments."""
         return [self.insert(s) for s in script_statements(text)]
@@ -95,6 +109,51 @@ class StreamCatalog:
         return re.sub(rf"(?<![\w`.])({'|'.join(map(re.escape, names))})(?![\w`$])", r"`\1`", sql)
 
 
+def _call(sql: str, name: str) -> tuple[int, int, list[str]] | None:
+    """The first call of a function in a text: its start, its end and its arguments."""
+    found = re.search(rf"(?<![\w.`']){name}\s*\(", sql, re.I)
+    if not found:
+        return None
+    depth, quote, at, arguments = 1, "", found.end(), [""]
+    while at < len(sql) and depth:
+        c = sql[at]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        else:
+            depth += (c == "(") - (c == ")")
+        if depth == 1 and c == "," and not quote:
+            arguments.append("")
+        elif depth:
+            arguments[-1] += c
+        at += 1
+    return found.start(), at, [a.strip() for a in arguments]
+
+
+def own_functions(sql: str) -> str:
+    """Spell functions that Spark lacks, or gives another meaning, in Spark's own ones."""
+    meaning = {
+        "sum0": lambda x: f"coalesce(sum({x}), 0)",
+        "flatten": lambda x: f"explode(coalesce({x}, array(NULL)))",
+        "tumble_start": lambda ts, width: f"window({ts}, '{_width(width)}').start",
+        "tumble_end": lambda ts, width: f"window({ts}, '{_width(width)}').end",
+        "tumble": lambda ts, width: f"window({ts}, '{_width(width)}')",
+    }
+    if len(re.findall(r"(?<![\w.`'])flatten\s*\(", sql, re.I)) > 1:
+        raise ValueError("exactly one flatten per query is supported")
+    for name, spelled in meaning.items():
+        while call := _call(sql, name):
+            start, end, arguments = call
+            sql = sql[:start] + spelled(*arguments) + sql[end:]
+    return sql
+
+
+def _width(interval: str) -> str:
+    """``INTERVAL '5' SECOND`` as Spark's window takes it."""
+    return " ".join(re.sub(r"(?i)\binterval\b|'", " ", interval).split())
+
+
 def script_statements(text: str) -> list[str]:
     """Split a script into its statements: each starts at a line beginning with INSERT or UPSERT."""
     statements: list[str] = []

@@ -99,11 +99,30 @@ def sequence_file(spark: SparkSession, path: str, schema: str, decode: Callable
 
 
 def auto_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text or sequence files as (key, value) text, told apart by how the first file begins."""
-    head = spark.read.text(path).head(1)
-    if head and head[0][0].startswith("SEQ\x06"):
-        return sequence_file(spark, path, "key string, value string", lambda k, v: (str(k), str(v)))
-    return kv_lines(spark, path)
+    """Text and sequence files, also side by side, as (key, value) text: each file is told by its first three bytes."""
+    of_kind: dict[bool, list[str]] = {True: [], False: []}
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(system.globStatus(where) or [])
+    while found:
+        file = found.pop()
+        if file.getPath().getName()[0] in "._":
+            continue
+        if file.isDirectory():
+            found += list(system.listStatus(file.getPath()))
+            continue
+        stream = system.open(file.getPath())
+        try:
+            head = [stream.read() for _ in range(3)]
+        finally:
+            stream.close()
+        of_kind[head == list(b"SEQ")].append(file.getPath().toString())
+    parts = []
+    if of_kind[False] or not of_kind[True]:
+        parts.append(kv_lines(spark, of_kind[False] or path))
+    if of_kind[True]:
+        parts.append(sequence_file(spark, ",".join(sorted(of_kind[True])), "key string, value string", lambda k, v: (str(k), str(v))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 @contextmanager

@@ -90,13 +90,6 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, name: str, key: str) -> DataFrame:
-        """A table for work that costs far more than its scan. A large table has more splits than the
-        cluster has cores and is used as it is; a table in fewer splits is first spread by ``key``."""
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, key)
-
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]
         text = text[0] if isinstance(text, tuple) else text
