@@ -18,7 +18,7 @@ BLOCKS = "file_no int, block_no int, n_docs bigint, n_tokens bigint, payload bin
 DOCUMENTS = "file_no int, block_no int, doc_id bigint, before bigint, n_tokens bigint, ids binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 2_000_000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 4_000_000) -> None:
     """Write all documents' ids to ``path``, in ascending order of doc_id over the files and within each.
 
     A file holds the blocks of one range of doc_ids (see ``codec`` for their bytes); a block holds whole documents,
@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             block_no, held_docs, held = block_no + 1, [], []
             return row
 
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", 6_000_000):
             ids, counts = with_end(*encoder.encode(batch.column(1).to_pylist()), end_id)
             held_docs += batch.column(0).to_pylist()
             held.append((ids, counts))

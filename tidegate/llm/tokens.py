@@ -85,13 +85,13 @@ class TextEncoder:
         return np.concatenate(parts), np.diff(np.concatenate(upto).take(words.offsets.to_numpy()))
 
     def _prepared(self, text: str) -> str:
-        if not self.unusual.search(text):
+        if "<|" not in text if text.isascii() else not self.unusual.search(text):
             text = self.edge.sub(r" \g<0>", text.lower())
         return text.replace("\n", " ")
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.known) + len(words) > self.room:
-            self._empty()
+            self._forget_all_but(words)
         known = self.known
         numbers = [known.get(w, -1) for w in words]
         missing = [w for w, i in zip(words, numbers) if i < 0]
@@ -107,6 +107,15 @@ class TextEncoder:
             numbers = [known[w] for w in words]
         return np.array(numbers, np.int64)
 
+    def _forget_all_but(self, words: list[str]) -> None:
+        """Start anew with those of these words that are known: the frequent ones are among them."""
+        kept = [w for w in words if w and w in self.known]
+        at = np.array([self.known[w] for w in kept], np.int64)
+        flat, start, lengths = self.flat, self.start[at], self.length[at]
+        self._empty()
+        ends = np.cumsum(lengths)
+        self._put(kept, flat[np.repeat(start - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], lengths)
+
     def _add_words(self, words: list[str]) -> None:
         """Words of letters only are one unit each: encoded in one text, each ends at a token with the suffix."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
