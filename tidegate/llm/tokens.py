@@ -30,7 +30,7 @@ class TextEncoder:
     most ``room`` entries. Any other tokenizer gets the texts as they are.
     """
 
-    def __init__(self, file: str, room: int = 500_000):
+    def __init__(self, file: str, room: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
