@@ -67,7 +67,8 @@ def confirmed(text: str) -> list[tuple[int, int, int]]:
     """(start, end, number of the kind) of all spans of a text, by start, then kind."""
     found = [(s, e, 0) for s, e in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             found.append((m.start(), m.end(), 1))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
