@@ -188,6 +188,8 @@ def test_personal_data(spark, odd, none):
     got = pii.find_personal_data(odd)
     assert got.count() == 7 and got.filter("spans != ''").count() == 0 and pii.find_personal_data(none).count() == 0
     text = "pay by card 4111 1111 1111 1111, iban DE89 3704 0044 0532 0130 00; a@b@c.de x@y.z.@q.r 1.2.3.4.5.6.7.8 256.1.1.1 ssn 123-45-6789 +1 (555) 123-4567"
+    zeros = "0" * 5000
+    assert pii.confirmed(f"{zeros}1.{zeros}.0.255")[0] == (0, 10008, 1) and not pii.confirmed(f"{zeros}256.1.1.1")
     kinds = [pii.KINDS[k] for _, _, k in pii.confirmed(text)]
     assert kinds.count("iban") == 1 and kinds.count("card") == 1 and kinds.count("ssn") == 1 and kinds.count("phone") == 1
     assert not any(pii.KINDS[k] == "iban" for _, _, k in pii.confirmed(text.replace("DE89", "DE88")))
@@ -214,6 +216,7 @@ def test_pages(spark):
     for broken in ("", "<", "<p", "<!-- x", "</p></b>", "plain", "<a href='", "<script>x", "<table><td><p>x</table>y", "&#0;&nosuch;&#x110000;"):
         assert isinstance(html.extract(broken), str)
     assert html.extract("plain <b>text") == "plain text"
+    assert html.extract("<p title=it's>One.</p><p id = 'a>b'>Two isn't.</p><p \"x>Three</p>") == "One.\nTwo isn't.\nThree"
     assert html.extract("<div>" * 5000 + "deep") == "deep"
     df = spark.createDataFrame([(1, "u", None, 1), (None, None, PAGE, 2), (2, "u", "", 3), (2, "u", "", 3)], "page_id bigint, url string, html string, text int")
     assert rows(html.extract_pages(df), "page_id", "n_chars") == sorted([(1, 0), (None, len(want)), (2, 0), (2, 0)], key=repr)
