@@ -40,10 +40,7 @@ class TextEncoder:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_word = bool(suffix) and self._drops_blanks()
-        if self.by_word:
-            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.letters = self._whole_letters() if self.by_word else {}
         # Latin letters whose lower case is the same character by character here and in the library.
         self.unusual = re.compile("[^\x00-įı-ɏ]|<\\|")
         self.edge = re.compile("[.,](?=[ \n])(?<=[a-zß-öø-į][.,])")
@@ -53,6 +50,19 @@ class TextEncoder:
         ids = self._one("a b\n\nc")
         return ids == self._one("a") + self._one("b") + self._one("c")
 
+    def _whole_letters(self) -> dict[int, str]:
+        """Latin letters that need no normalising and stay in one unit, each with the form it has in the model. A word
+        of these alone goes to the model without the library's other steps."""
+        change, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if change is None or cut is None:
+            return {}
+        same = [c for c in map(chr, range(0x250)) if c.isalpha() and change.normalize_str(c) == c]
+        found = {c: cut.pre_tokenize_str(c) for c in same}
+        forms = {c: pieces[0][0] for c, pieces in found.items() if len(pieces) == 1}
+        both = "".join(forms) + "".join(reversed(forms))
+        whole = [form for form, _ in cut.pre_tokenize_str(both)] == ["".join(forms[c] for c in both)]
+        return {ord(c): form for c, form in forms.items()} if whole and change.normalize_str(both) == both else {}
+
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -93,19 +103,21 @@ class TextEncoder:
         if len(self.known) + len(words) > self.room:
             self._forget_all_but(words)
         known = self.known
-        numbers = [known.get(w, -1) for w in words]
-        missing = [w for w, i in zip(words, numbers) if i < 0]
-        if missing:
-            plain, others = [], []
+        numbers = np.array([known.get(w, -1) for w in words], np.int64)
+        places = np.flatnonzero(numbers < 0)
+        if len(places):
+            missing = [words[i] for i in places.tolist()]
+            whole = {chr(c) for c in self.letters}
+            simple, others = [], []
             for w in missing:
-                (plain if w.isalpha() and (w.isascii() or not self.unusual.search(w)) else others).append(w)
-            for at in range(0, len(plain), 256):
-                self._add_words(plain[at : at + 256])
+                (simple if whole.issuperset(w) else others).append(w)
+            tokenize, forms = self.tokenizer.model.tokenize, self.letters
+            self._add(simple, [[t.id for t in tokenize(w if w.isascii() else w.translate(forms))] for w in simple])
             for at in range(0, len(others), 1024):
                 part = others[at : at + 1024]
                 self._add(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
-            numbers = [known[w] for w in words]
-        return np.array(numbers, np.int64)
+            numbers[places] = [known[w] for w in missing]
+        return numbers
 
     def _forget_all_but(self, words: list[str]) -> None:
         """Start anew with those of these words that are known: the frequent ones are among them."""
@@ -116,15 +128,6 @@ class TextEncoder:
         ends = np.cumsum(lengths)
         self._put(kept, flat[np.repeat(start - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], lengths)
 
-    def _add_words(self, words: list[str]) -> None:
-        """Words of letters only are one unit each: encoded in one text, each ends at a token with the suffix."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words) and cuts[-1] == len(ids):
-            self._put(words, ids, np.diff(cuts, prepend=0))
-        else:
-            self._add(words, [self._one(w) for w in words])
-
     def _add(self, words: list[str], found: list[list[int]]) -> None:
         self._put(words, np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
