@@ -27,10 +27,28 @@ def sort_validate(t):
     return ops.sort_report(ops.range_partitioned(t.lineitem.select(key), PARTS, "key"), "key")
 
 
-@query("sort_checksum")
+# CRC32 byte by byte, with its table built from the polynomial; all bytes are ASCII.
+CRC_SUM = """WITH RECURSIVE steps AS (SELECT i AS byte, i AS c, 0 AS k FROM range(256) r(i)
+      UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY byte) AS tab FROM steps WHERE k = 8),
+    bytes AS (SELECT list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split({text}, '')]) AS b FROM lineitem),
+    sums AS (SELECT xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[CAST(xor(c & 255, x) AS BIGINT) + 1])), 4294967295) AS v FROM bytes, crc)
+    SELECT count(*) AS n, CAST(sum(v) AS VARCHAR) AS checksum FROM sums"""
+
+
+@query(
+    "sort_checksum",
+    CRC_SUM.format(
+        text="""concat_ws(chr(1), l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT),
+        epoch_us(CAST(l_shipdate AS TIMESTAMP)))"""
+    ),
+)
 def sort_checksum(t):
-    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
-    return ops.row_checksum(t.lineitem, *cols)
+    rows = t.lineitem.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("shipped"),
+    )
+    return ops.row_checksum(rows, *rows.columns).withColumn("checksum", F.col("checksum").cast("string"))
 
 
 LINE = "concat_ws(' ', l_returnflag, CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT), l_orderkey)"
