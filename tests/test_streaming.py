@@ -42,13 +42,15 @@ def test_tumbling_counts(spark, tables, split_events):
     assert rows(got, "window_start", "user_id", "n") == rows(counts(tables.events), "window_start", "user_id", "n")
 
 
-def test_ttl_join(spark, tables, split_events):
+@pytest.mark.parametrize("timers", [False, True])
+def test_ttl_join(spark, tables, split_events, timers):
     side = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1)
-    arrivals = page(stream(spark, split_events)).select(
-        F.col("page").alias("key"), F.unix_micros("ts").alias("ts"), side.alias("side"), F.col("event_id").alias("id")
+    arrivals = page(stream(spark, split_events).withWatermark("ts", "1 hour")).select(
+        F.col("page").alias("key"), F.unix_micros("ts").alias("ts"), side.alias("side"), F.col("event_id").alias("id"), F.col("ts").alias("at")
     )
     with state_store(spark):
-        got = run_append(ps.stateful(arrivals.filter("side IS NOT NULL"), ["key"], ps.LatestTtlJoin(86_400_000_000), ps.LatestTtlJoin.SCHEMA))
+        join = ps.LatestTtlJoin(86_400_000_000, timers)
+        got = run_append(ps.stateful(arrivals.filter("side IS NOT NULL"), ["key"], join, ps.LatestTtlJoin.SCHEMA, timers))
     batch = joins.latest_ttl_join(tables.page_view, tables.ad_click, "page_id", "ts", "event_id", 86_400)
     want = batch.select("page_id", F.unix_micros("ts"), "l.event_id", "r.event_id")
     assert rows(got) == rows(want)

@@ -19,10 +19,11 @@ from tidegate.views import SCHEMAS
 
 HOUR_US = 3_600_000_000
 DAY_MS = 86_400_000
+FILES_PER_BATCH = 1_000  # bounds a micro-batch, and with it what a stateful task holds of a key
 
 
 def stream(t, table="events"):
-    return file_stream(t.spark, t.sf_dir, StructType.fromDDL(SCHEMAS[table]), glob=f"{table}.parquet")
+    return file_stream(t.spark, t.sf_dir, StructType.fromDDL(SCHEMAS[table]), files_per_batch=FILES_PER_BATCH, glob=f"{table}.parquet")
 
 
 def bids(t):
@@ -175,12 +176,13 @@ def join_stream_table_stream(t):
 )
 def join_ttl_latest_stream(t):
     side = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1)
-    rows = stream(t).select(
+    rows = stream(t).withWatermark("ts", "1 day").select(
         F.get_json_object("props", "$.k").cast("bigint").alias("key"), F.unix_micros("ts").alias("ts"),
-        side.alias("side"), F.col("event_id").alias("id"),
+        side.alias("side"), F.col("event_id").alias("id"), F.col("ts").alias("at"),
     ).filter("side IS NOT NULL")
     with state_store(t.spark):
-        return run_append(ps.stateful(rows, ["key"], ps.LatestTtlJoin(24 * HOUR_US), ps.LatestTtlJoin.SCHEMA))
+        join = ps.LatestTtlJoin(24 * HOUR_US, timers=True)
+        return run_append(ps.stateful(rows, ["key"], join, ps.LatestTtlJoin.SCHEMA, timers=True))
 
 
 @query(

@@ -23,18 +23,21 @@ def arrivals(rows, *order: str) -> pd.DataFrame:
 
 
 class LatestTtlJoin(StatefulProcessor):
-    """State: the latest (time, id) of each side of a key."""
+    """State: the latest (time, id) of each side of a key. With timers, and so a watermark, a side's state ends when the
+    watermark passes its time to live, as no later row can meet it; without, it stays."""
 
     SCHEMA = "key bigint, ts bigint, left_id bigint, right_id bigint"
 
-    def __init__(self, ttl_us: int):
-        self.ttl = ttl_us
+    def __init__(self, ttl_us: int, timers: bool = False):
+        self.ttl, self.timers = ttl_us, timers
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.sides = [handle.getValueState(name, "ts bigint, id bigint") for name in ("left", "right")]
 
     def handleInputRows(self, key, rows, timerValues):
         last = [s.get() if s.exists() else None for s in self.sides]
+        due = self._dues(last)
         out = []
         for row in arrivals(rows, "ts", "side", "id").itertuples(index=False):
             last[row.side] = (int(row.ts), int(row.id))
@@ -45,8 +48,23 @@ class LatestTtlJoin(StatefulProcessor):
         for state, value in zip(self.sides, last):
             if value is not None:
                 state.update(tuple(value))
+        if self.timers:
+            for old in due - self._dues(last):
+                self.handle.deleteTimer(old)
+            for new in self._dues(last) - due:
+                self.handle.registerTimer(new)
         yield pd.DataFrame(out, columns=["key", "ts", "left_id", "right_id"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        for state in self.sides:
+            if state.exists() and max(self._dues([state.get()])) <= passed:
+                state.clear()
+        yield pd.DataFrame([], columns=["key", "ts", "left_id", "right_id"])
+
+    def _dues(self, last) -> set[int]:
+        return {(int(v[0]) + self.ttl) // 1000 + 1 for v in last if v is not None}
+
     def close(self) -> None:
         pass
 
