@@ -277,3 +277,17 @@ def test_neighbours(spark):
 
 def test_digest_of_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_words_reach_the_model_as_in_the_library():
+    encoder = tokens.TextEncoder(tokens.public_tokenizer())
+    assert len(encoder.letters) > 200
+    letters = "".join(map(chr, encoder.letters))
+    texts = [
+        letters, " ".join(letters), letters[::-1], "plain words, again plain words.", "don't it's A'S re ve ll", "Ünï ÀB ñçß æœ øå ǆ Ǆ ǅ",
+        "éä ño", "İstanbul ıx K ſtop", "漢字 Hello WORLD привет ΣΑΣ", "x<|endoftext|>y <|startoftext|>", "a1b2 12 3.5 x_y", "", " \n\t",
+    ]
+    ids, counts = encoder.encode(texts)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
