@@ -12,7 +12,7 @@ from tidegate.registry import ORACLES, query
 from tidegate.session import work_path
 from tidegate.sinks.writers import each_batch
 from tidegate.sources.catalog import StreamCatalog
-from tidegate.sources.readers import file_stream
+from tidegate.sources.readers import file_stream, is_folder, ordered_files
 from tidegate.streaming import processors as ps
 from tidegate.streaming.harness import run_append, run_update, state_store
 from tidegate.views import SCHEMAS
@@ -22,8 +22,34 @@ DAY_MS = 86_400_000
 FILES_PER_BATCH = 1_000  # bounds a micro-batch, and with it what a stateful task holds of a key
 
 
+# The order in which the rows of a table arrive, event time first.
+ARRIVAL = {
+    "events": ["ts", "event_id"],
+    "lineitem": ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag"],
+}
+
+
 def stream(t, table="events"):
-    return file_stream(t.spark, t.sf_dir, StructType.fromDDL(SCHEMAS[table]), files_per_batch=FILES_PER_BATCH, glob=f"{table}.parquet")
+    """A table as a stream, be it one file or a folder of part files.
+
+    Part files of a table are in no order of time. As long as one micro-batch takes them all that does not matter;
+    more of them are first copied into files in order of arrival, or rows would come behind the watermark.
+    """
+    schema, path = StructType.fromDDL(SCHEMAS[table]), f"{t.sf_dir}/{table}.parquet"
+    if not is_folder(t.spark, path):
+        return file_stream(t.spark, t.sf_dir, schema, files_per_batch=FILES_PER_BATCH, glob=f"{table}.parquet")
+    known = t.__dict__.setdefault("_arrivals", {})  # a query that reads the stream twice copies it once
+    if table not in known:
+        files, per_batch = len(t.table(table).inputFiles()), FILES_PER_BATCH
+        if files > per_batch:
+            copy = work_path(t.spark, "arrivals")
+            if ordered_files(t.table(table).select(schema.names), copy, ARRIVAL[table], files):
+                path = copy
+            else:
+                per_batch = None  # the store keeps no file times: only one micro-batch of all files is right
+        known[table] = path, per_batch
+    path, per_batch = known[table]
+    return file_stream(t.spark, path, schema, files_per_batch=per_batch)
 
 
 def bids(t):

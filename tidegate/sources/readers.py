@@ -40,6 +40,27 @@ def file_stream(
     return reader.load(path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+def ordered_files(df: DataFrame, path: str, order: list[str], files: int) -> bool:
+    """Write about ``files`` files whose rows follow each other in ``order`` from file to file, with modification times
+    in that order: a file stream takes files by these. False if the store does not keep the times."""
+    spark = df.sparkSession
+    df.repartitionByRange(files, *order).write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Names of part files begin with the number of their range.
+    parts = sorted((f for f in system.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda f: int(f.getPath().getName().split("-")[1]))
+    first = max((f.getModificationTime() for f in parts), default=0) // 1000 * 1000 - 1000 * len(parts)
+    wanted = {f.getPath().getName(): first + 1000 * i for i, f in enumerate(parts)}
+    for f in parts:
+        system.setTimes(f.getPath(), wanted[f.getPath().getName()], -1)
+    return all(f.getModificationTime() == wanted.get(f.getPath().getName(), f.getModificationTime()) for f in system.listStatus(where))
+
+
 def keep_files(df: DataFrame, whitelist: str = ".*", blacklist: str | None = None) -> DataFrame:
     """Rows of files whose name matches the whitelist and not the blacklist; ``file`` holds the name."""
     named = df.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
