@@ -42,18 +42,31 @@ BESIDE = frozenset(
 )
 # A quote opens a value only after an equals sign; elsewhere in a tag it is a sign like any other.
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*)(?:>|$)", re.S)
-NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # A header so named belongs to the text.
 OF_TEXT = frozenset("article post entry content story main page".split())
+# A name with one of these says how a part is laid out or what it has, not what it is.
+STATES = frozenset(
+    "with without has have no not non is are be show shows hide hides use uses enable enabled disable disabled open opened close closed "
+    "active inactive visible invisible hidden fixed sticky collapsed expanded on off full above below after before".split()
+)
+# Words that a name of a part beside the main text may have besides the telling ones.
+QUALIFIERS = OF_TEXT | frozenset(
+    "site web global local primary secondary sub left right top bottom upper lower center side mobile desktop small large mini big "
+    "wrapper wrap container holder inner outer box block area zone section region panel pane bar row col column columns list lists item "
+    "items group set link links button buttons btn icon icons form field text title heading body unit slot space trail path "
+    "toggle dropdown drop down tab tabs toolbox tools posts articles entries stories pages blog news user reader author "
+    "js the our your this el element component module google fb facebook twitter x count number meta info message msg us".split()
+)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "beside", "own", "chars", "tags", "link_chars", "link_tags", "density", "sum", "depth")
+    __slots__ = ("name", "parent", "children", "beside", "own", "chars", "tags", "link_chars", "link_tags", "density", "sum", "depth", "named", "plain", "mains", "bodies", "free")
 
-    def __init__(self, name: str, parent: Node | None, beside: bool):
-        self.name, self.parent, self.beside = name, parent, beside
+    def __init__(self, name: str, parent: Node | None, beside: bool, named: bool = False):
+        self.name, self.parent, self.beside, self.named = name, parent, beside, named
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
 
@@ -61,6 +74,7 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page. End tags may be missing, wrong or crossed, as browsers take them."""
     root = top = Node("#page", None, False)
+    any_named = False
     at, size = 0, len(page)
     while at < size:
         m = PIECE.search(page, at)
@@ -96,17 +110,48 @@ def parse(page: str) -> Node:
             if last:
                 top = last.parent
         attributes = m[3]
-        beside = name in NOT_TEXT or bool(attributes) and _beside(name, attributes)
-        node = Node(name, top, beside or name == "header" and not _within(top))
+        hidden, named = _said(name, attributes) if attributes else (False, False)
+        beside = hidden or name in NOT_TEXT or name == "header" and not _within(top)
+        node = Node(name, top, beside or named, named and not beside)
+        any_named = any_named or node.named
         top.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not attributes.endswith("/"):
             top = node
+    if any_named:
+        _keep_wrappers(root)
     return root
 
 
+def _keep_wrappers(root: Node) -> None:
+    """Parts that are beside the text only by a class or id stay if they hold the text: a main part, or, where no article
+    or main part stands outside, an article or most of the page's text that is no link."""
+    nodes, waiting = [], [(root, False)]
+    while waiting:
+        node, linked = waiting.pop()
+        linked = linked or node.name == "a"
+        node.plain = 0 if linked else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        nodes.append(node)
+        waiting.extend((c, linked) for c in node.children if isinstance(c, Node) and (c.named or not c.beside))
+    for node in reversed(nodes):
+        kept = [c for c in node.children if isinstance(c, Node) and (c.named or not c.beside)]
+        node.plain += sum(c.plain for c in kept)
+        node.mains = (node.name == "main") + sum(c.mains for c in kept)
+        node.bodies = (node.name in ("article", "main")) + sum(c.bodies for c in kept)
+        node.free = (node.name in ("article", "main")) + sum(c.free for c in kept if not c.named)
+    down = [(root, root.free)]
+    while down:
+        node, outside = down.pop()
+        if node.named:
+            if not (node.mains or not outside and (node.bodies or 2 * node.plain > root.plain)):
+                continue
+            node.beside = node.named = False
+            outside += node.free
+        down.extend((c, outside) for c in node.children if isinstance(c, Node) and (c.named or not c.beside))
+
+
 def _within(node: Node | None) -> bool:
     """In an article or main part: a header there is its own."""
     while node is not None and node.name not in ("article", "main"):
@@ -114,18 +159,39 @@ def _within(node: Node | None) -> bool:
     return node is not None
 
 
-def _beside(name: str, attributes: str) -> bool:
-    if HIDDEN.search(attributes):
-        return True
-    if name in ("body", "html", "article", "main"):
-        return False
-    for m in NAMES.finditer(attributes):
-        words = {w.lower() for w in WORDS.findall(m[1] or m[2] or m[3] or "")}
-        if (words & BESIDE) - ({"header"} if words & OF_TEXT else set()):
+def _said(name: str, attributes: str) -> tuple[bool, bool]:
+    """What the attributes say: the part is hidden, and its names are those of a part beside the text.
+
+    A page whose body is hidden is shown by a script later."""
+    if not TELLING.search(attributes):
+        return False, False
+    values: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        value = m[2] or m[3] or m[4] or ""
+        values.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    whole = name in ("body", "html")
+    if not whole and ("hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or "style" in values and _unseen(values["style"])):
+        return True, False
+    if whole or name in ("article", "main"):
+        return False, False
+    return False, any(_of_side(n) for key in ("class", "id", "role") for n in values.get(key, "").split())
+
+
+def _unseen(style: str) -> bool:
+    for one in style.lower().split(";"):
+        key, _, value = one.partition(":")
+        if (key.strip(), value.split("!")[0].strip()) in (("display", "none"), ("visibility", "hidden"), ("visibility", "collapse")):
             return True
     return False
 
 
+def _of_side(name: str) -> bool:
+    """One whole name: all its words are telling ones or may stand beside such, none is a state."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    telling = (words & BESIDE) - ({"header"} if words & OF_TEXT else set())
+    return bool(telling) and not words & STATES and all(w in BESIDE or w in QUALIFIERS or len(w) == 1 for w in words)
+
+
 def _in_order(root: Node) -> list[Node]:
     """Nodes of the main candidates, parents first; parts beside the text are left out."""
     found, waiting = [], [root]
