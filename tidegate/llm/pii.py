@@ -32,7 +32,20 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+IBAN_LENGTH = {
+    country: int(length)
+    for length, countries in (
+        line.split(":")
+        for line in (
+            "15:NO 16:BE 18:DK FI FO GL NL SD FK 19:MK SI 20:AT BA EE KZ LT LU XK MN 21:CH HR LI LV 22:BG BH CR DE GB GE IE ME RS VA "
+            "23:AE GI IL IQ OM SO TL 24:AD CZ ES MD PK RO SA SE SK TN VG 25:LY PT ST 26:IS TR 27:BI DJ FR GR IT MC MR SM "
+            "28:AL AZ BY CY DO GT HN HU LB NI PL SV 29:BR EG PS QA UA 30:JO KW MU YE 31:MT SC 32:LC 33:RU"
+        ).replace(" 1", "|1").replace(" 2", "|2").replace(" 3", "|3").split("|")
+    )
+    for country in countries.split()
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
@@ -49,6 +62,31 @@ def mod97(iban: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers that do not overlap. Of the readings from a country code on, each up to 34 characters and ending
+    where a word ends, the first that passes the check counts: the one of the country's length, then the longest; where the
+    country is not known, then the shorter ones."""
+    at = 0
+    while m := IBAN_START.search(text, at):
+        at = m.end()
+        rest = IBAN_REST.match(text, at)
+        if not rest:
+            continue
+        ends, plain = [], 4
+        for i in range(at, rest.end()):
+            if text[i] != " ":
+                plain += 1
+                if plain >= 15 and not (text[i + 1 : i + 2].isascii() and text[i + 1 : i + 2].isalnum()):
+                    ends.append((plain != IBAN_LENGTH.get(m[0][:2]), -plain, i + 1))
+        if m[0][:2] in IBAN_LENGTH:  # its length is known: no other reading but the longest is tried
+            ends = [e for e in ends if not e[0] or e is ends[-1]]
+        for _, _, end in sorted(ends):
+            if mod97(text[m.start() : end]):
+                yield m.start(), end
+                at = end
+                break
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches that do not overlap, found from their @ signs."""
     done, at = 0, text.find("@")
@@ -78,9 +116,7 @@ def confirmed(text: str) -> list[tuple[int, int, int]]:
     for m in PHONE.finditer(text):
         if 10 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
             found.append((m.start(), m.end(), 3))
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            found.append((m.start(), m.end(), 4))
+    found += [(s, e, 4) for s, e in ibans(text)]
     for m in SSN.finditer(text):
         if score(text, m.start(), m.end(), "ssn") >= SSN_LEAST:
             found.append((m.start(), m.end(), 5))
