@@ -141,8 +141,9 @@ def build_lists(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(place, "list_no int, id bigint, v array<double>")
 
 
-def choose_lists(queries: DataFrame, centroids: np.ndarray, most: int, within: float) -> DataFrame:
-    """(list_no, id, v): the lists to search for each query: centroids at most ``within`` times as far as the nearest."""
+def choose_lists(queries: DataFrame, centroids: np.ndarray, most: int, within: float | None) -> DataFrame:
+    """(list_no, id, v): the lists to search for each query: of the ``most`` nearest centroids those at most ``within``
+    times as far as the nearest, or all."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = CentroidGraph(centroids)
@@ -151,7 +152,7 @@ def choose_lists(queries: DataFrame, centroids: np.ndarray, most: int, within: f
                 part = batch.slice(at, 1024)
                 x = np.array(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
                 lists, squares = graph.nearest(x, most)
-                rows, which = np.nonzero(squares <= squares[:, :1] * within**2)
+                rows, which = np.nonzero(squares <= squares[:, :1] * within**2 if within else np.isfinite(squares))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lists[rows, which].astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))],
                     ["list_no", "id", "v"],
@@ -179,6 +180,30 @@ def nearest_in(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, many:
     return rows[kept], ids[at[kept]], exact[kept]
 
 
+def _compared(lists: DataFrame, searched: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(of, score, ids): the k + 1 nearest vectors to each query among its lists, with the rows that have them."""
+    parts = lists.groupBy("list_no").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    shares = searched.groupBy("list_no").agg(F.ceil(F.count("*") / PART_ROWS).alias("shares"))
+    plan = parts.join(shares, "list_no")
+    hashed = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    stored = lists.join(plan, "list_no").select("list_no", hashed("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "v")
+    sought = searched.join(plan, "list_no").select("list_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), hashed("shares").alias("share"), "id", "v")
+    by = ["list_no", "part", "share"]
+
+    def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return pd.DataFrame({"of": [], "id": [], "score": []}).astype({"of": "int64", "id": "int64", "score": "float64"})
+        x, y = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
+        asking, ids = queries["id"].to_numpy(), rows["id"].to_numpy()
+        got = [nearest_in(x[a : a + 256], ids, y, k + 1) for a in range(0, len(x), 256)]
+        of = np.concatenate([asking[a : a + 256][g[0]] for a, g in zip(range(0, len(x), 256), got)])
+        return pd.DataFrame({"of": of, "id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
+
+    found = sought.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(compare, "of bigint, id bigint, score double").distinct()
+    near = found.withColumn("p", F.row_number().over(Window.partitionBy("of").orderBy("score", "id"))).filter(F.col("p") <= k + 1)
+    return near.join(members.select("id", "ids"), "id").select("of", "score", "ids")
+
+
 def search(
     vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
     sample_rows: int = SAMPLE_ROWS, most_lists: int = SEARCH_LISTS, within: float = SEARCH_WITHIN,
@@ -190,7 +215,8 @@ def search(
     every vector is listed. Equal vectors are searched as one: the k + 1 smallest ids of each are enough for any
     query, so a vector that fills a third of the table costs no more than another. Lists longer than PART_ROWS are
     dealt into parts, as are the queries of a list, and each task compares one part with one part; only k + 1 rows
-    per query and part leave it.
+    per query and part leave it. A query whose lists hold fewer than k other rows is asked of more lists, and at last
+    of all vectors, so it gets fewer than k rows only if the table has no more.
 
     Rows with a null id or with a vector that is null, zero or not finite take no part, nor do vectors of another
     length than the most frequent (of equally frequent ones, the shortest). Rows that repeat an id and vector count
@@ -216,26 +242,18 @@ def search(
     asked = materialized(asked.join(members.select("v", F.col("id").alias("of")), "v").select("query_id", "of", "v"), "queries")
     searched = materialized(choose_lists(asked.select(F.col("of").alias("id"), "v").distinct(), centroids, most_lists, within), "sought")
 
-    parts = lists.groupBy("list_no").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
-    shares = searched.groupBy("list_no").agg(F.ceil(F.count("*") / PART_ROWS).alias("shares"))
-    plan = parts.join(shares, "list_no")
-    hashed = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
-    stored = lists.join(plan, "list_no").select("list_no", hashed("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "v")
-    sought = searched.join(plan, "list_no").select("list_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), hashed("shares").alias("share"), "id", "v")
-    by = ["list_no", "part", "share"]
-
-    def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"of": [], "id": [], "score": []}).astype({"of": "int64", "id": "int64", "score": "float64"})
-        x, y = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
-        asking, ids = queries["id"].to_numpy(), rows["id"].to_numpy()
-        got = [nearest_in(x[a : a + 256], ids, y, k + 1) for a in range(0, len(x), 256)]
-        of = np.concatenate([asking[a : a + 256][g[0]] for a, g in zip(range(0, len(x), 256), got)])
-        return pd.DataFrame({"of": of, "id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
-
-    found = sought.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(compare, "of bigint, id bigint, score double").distinct()
-    near = found.withColumn("p", F.row_number().over(Window.partitionBy("of").orderBy("score", "id"))).filter(F.col("p") <= k + 1)
-    spread = near.join(members.select("id", "ids"), "id").select("of", "score", F.explode("ids").alias("vec_id"))
+    near = materialized(_compared(lists, searched, members, k), "near")
+    # Queries whose lists hold too few: the nearest lists however far they are, then the whole table as one list.
+    for wider in (lambda q: (lists, choose_lists(q, centroids, most_lists, None)), lambda q: tuple(d.select(F.lit(0).alias("list_no"), "id", "v") for d in (members, q))):
+        held = near.groupBy("of").agg(F.sum(F.size("ids")).alias("held"))
+        wanting = asked.select("of", "v").distinct().join(held, "of", "left").filter(F.coalesce("held", F.lit(0)) < k + 1)
+        wanting = materialized(wanting.select(F.col("of").alias("id"), "v"), "wanting")
+        if wanting.isEmpty():
+            break
+        more = materialized(_compared(*wider(wanting), members, k), "near")
+        near = near.join(wanting.select(F.col("id").alias("of")), "of", "left_anti").unionByName(more)
+
+    spread = near.select("of", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("of").orderBy("score", "vec_id")
     nearest = spread.withColumn("p", F.row_number().over(best)).filter(F.col("p") <= k + 1)
     results = asked.select("query_id", "of").join(nearest, "of").filter(F.col("vec_id") != F.col("query_id"))
