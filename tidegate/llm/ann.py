@@ -18,7 +18,7 @@ LIST_ROWS = 200
 REPLICAS = 4
 WITHIN = 1.15
 SEARCH_WITHIN = 1.6
-SEARCH_LISTS = 48
+SEARCH_LISTS = 256
 PART_ROWS = 4_096
 
 
