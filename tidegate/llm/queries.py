@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import ann, chat, exact_dedup, html, mixing, packing, pii, simhash, token_files, tokens, toxicity
+from tidegate.llm import ann, chat, exact_dedup, html, lines, mixing, negatives, packing, phrases, pii, simhash, token_files, tokens, toxicity
 from tidegate.session import work_path
 from tidegate.views import Tables
 
@@ -74,11 +74,28 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(Tables(spark, sf_dir).embeddings, every=100, k=10)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(Tables(spark, sf_dir).documents, least=30, words=4, first=2_000)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.dedup_lines(Tables(spark, sf_dir).documents, least_chars=20, least_docs=3)
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("vec_id", moved.alias("label"), F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
+    return negatives.mine_negatives(whole, every=100, positives=5, negatives=10, low=30, high=90, vector_col="v")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_toxicity, op3_exact_dedup, op4_packing, op5_pii, op6_mixing, op7_html_text, op8_simhash,
-        op9_token_files, op10_neighbours,
+        op9_token_files, op10_neighbours, op11_phrases, op12_line_dedup, op13_hard_negatives,
     )
 }
 
@@ -87,4 +104,40 @@ ORACLES = {
         row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
         sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_phrases": """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\x09]+'), lambda x: x <> '') AS ws FROM p),
+        starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+          FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+        total AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+        cand AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM grams WHERE k > 1 AND f >= 30),
+        cuts AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+          FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+          JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:c.k], ' ')
+          JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.k + 1:], ' ')),
+        scored AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS lowest FROM cuts),
+        longer AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM
+          (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM cand))) GROUP BY ALL),
+        alone AS (SELECT s.* FROM scored s LEFT JOIN longer g USING (lang, phrase) WHERE lowest = 1 AND (most IS NULL OR 100 * most < 80 * a)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op12_line_dedup": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        s AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.*, s.keep_id IS NOT NULL AND s.keep_id <> k.doc_id AS gone FROM k LEFT JOIN s USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op13_hard_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+          AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+          FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER best <= 10""",
 }
