@@ -202,9 +202,9 @@ def frequent_phrases(documents: DataFrame, least: int, most: int, shards: int, t
     fewest, largest = FILTER_BITS
     bits = min(largest, max(fewest, int(seen.get["bytes"] or 0).bit_length() - 4))
     # The field after each step; a step that changes nothing since the shard's last scan has nothing to count, and
-    # neither have all later ones.
+    # neither have all later ones. Phrases of n words are complete after n cycles at most.
     admitted, live, step = [Admission(bits)], None, 0
-    while step < shards or (admitted[step].field != admitted[step - shards].field).any():
+    while step < shards or step < shards * most and (admitted[step].field != admitted[step - shards].field).any():
         earlier = admitted[step - shards] if step >= shards else None
         new = counted_step(texts.filter(F.col("shard") == step % shards), admitted[step], earlier, most)
         counts = new.select("h", "c", F.lit(step).alias("since"))
