@@ -22,15 +22,19 @@ FIRST = 2_000
 SCALE = 2_000_000
 COVERED = 80  # percent of a phrase's occurrences in a longer one that make it a part of that
 SHARDS = 4
-WINDOW_WORDS = 1_000_000
+WINDOW_WORDS = 300_000
+HELD_COUNTS = 2_000_000  # counts a task holds before it gives them out
+BUCKET_BYTES = 64_000_000  # of text, for each bucket of counts
 FILTER_BITS = 16, 28  # the admission filter has 2^16 to 2^28 bits, by the bytes of text
 RANK_BUCKETS = 64
 
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 KIND = np.zeros(256, np.uint8)
 KIND[list(BLANKS)], KIND[list(BREAKS)] = 1, 2
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[list(string.ascii_uppercase.encode())] = list(string.ascii_lowercase.encode())
+LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+# Word hashes: the sum of a random number per letter times a power per place. What the hashes decide is checked by spelling.
+LETTERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,33 +48,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of some texts in order: number of the word in ``known``, piece and language of each, and hashes by
-    the word's language and spelling. Phrases may begin at the first ``begin`` of them."""
+    """A run of words: their letters and where each begins in them, their pieces and languages, and hashes by language
+    and spelling. Phrases may begin at the first ``begin`` of them."""
 
-    known: pa.Array
-    word: np.ndarray
+    letters: np.ndarray
+    places: np.ndarray
     piece: np.ndarray
     lang: np.ndarray
     hashes: np.ndarray
     begin: int
 
+    def spelled(self) -> pa.DictionaryArray:
+        return pa.StringArray.from_buffers(len(self.lang), pa.py_buffer(self.places), pa.py_buffer(self.letters)).dictionary_encode()
+
     def phrases(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For lengths 1 to ``most``: whether a phrase of so many words begins at each word, and its hash."""
-        hashes, n = self.hashes, len(self.word)
-        whole = np.ones(n, bool)
-        yield whole, hashes
+        hashes, n = self.hashes, len(self.lang)
+        yield np.ones(n, bool), hashes
         for length in range(2, most + 1):
-            longer = np.zeros(n, np.uint64)
-            last = n - length + 1
-            if last > 0:
-                longer[:last] = mixed(hashes[:last] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[length - 1 :])
-            whole = np.zeros(n, bool)
-            if last > 0:
-                whole[:last] = self.piece[:last] == self.piece[length - 1 :]
+            longer, whole, last = np.zeros(n, np.uint64), np.zeros(n, bool), max(0, n - length + 1)
+            longer[:last] = mixed(hashes[:last] * PLACE + self.hashes[n - last :])
+            whole[:last] = self.piece[:last] == self.piece[n - last :]
             hashes = longer
             yield whole, hashes
 
 
+def word_hashes(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+    lengths = np.diff(places)
+    powers = np.full(int(lengths.max()), PLACE).cumprod()
+    place = np.arange(len(letters)) - np.repeat(places[:-1], lengths)
+    return np.add.reduceat(LETTERS[letters] * powers[place], places[:-1])
+
+
 def read_words(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[list[str], Words]]:
     """The words of a batch (lang, text), in runs of WINDOW_WORDS that share ``overlap`` words with the next run."""
     texts = pc.binary_join_element_wise(batch.column("text"), "", "\n")  # a break behind each text
@@ -78,23 +87,20 @@ def read_words(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[list[str],
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
     kind = KIND[data]
     letter = np.concatenate([[False], kind == 0, [False]])
-    starts, ends = np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(~letter[1:] & letter[:-1])
+    edges = np.flatnonzero(letter[1:] != letter[:-1])
+    starts, ends = edges[::2], edges[1::2]
     coded = batch.column("lang").dictionary_encode()
     langs = coded.dictionary.to_pylist()
-    lang_hashes = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in langs], np.uint64)
-    piece = np.searchsorted(np.flatnonzero(kind == 2), starts).astype(np.int32)
-    row = np.searchsorted(offsets[1:] - offsets[0], starts, "right")
-    lang = coded.indices.to_numpy()[row].astype(np.int64)
+    lang_hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in langs], np.uint64)
+    lang = np.repeat(coded.indices.to_numpy(), np.diff(np.searchsorted(starts, offsets - offsets[0])))
     for a in range(0, len(starts), WINDOW_WORDS):
         b = min(len(starts), a + WINDOW_WORDS + overlap)
         low, high = starts[a], ends[b - 1]
-        letters = LOWER[data[low:high][kind[low:high] == 0]]
+        letters = np.frombuffer(data[low:high].tobytes().translate(LOWER, BLANKS + BREAKS), np.uint8)
         places = np.concatenate([[0], np.cumsum(ends[a:b] - starts[a:b])]).astype(np.int32)
-        spelled = pa.StringArray.from_buffers(b - a, pa.py_buffer(places), pa.py_buffer(letters)).dictionary_encode()
-        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in spelled.dictionary.to_pylist()], np.uint64)
-        word = spelled.indices.to_numpy().astype(np.int64)
-        own = mixed(hashes[word] + lang_hashes[lang[a:b]])
-        yield langs, Words(spelled.dictionary, word, piece[a:b], lang[a:b], own, min(WINDOW_WORDS, b - a))
+        piece = np.cumsum(kind[low:high] == 2, dtype=np.int32)[starts[a:b] - low]
+        own = mixed(word_hashes(letters, places) + lang_hashes[lang[a:b]])
+        yield langs, Words(letters, places, piece, lang[a:b].astype(np.int64), own, min(WINDOW_WORDS, b - a))
 
 
 class Admission:
@@ -109,13 +115,17 @@ class Admission:
         at = hashes >> np.uint64(64 - self.bits)
         return (self.field[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-    def grown(self, hashes: DataFrame) -> Admission:
-        """With the phrases whose hashes are in column h. What comes to the driver is words of the field."""
-        at = F.shiftrightunsigned("h", 64 - self.bits)
-        bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
-        words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    def bits_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the field that the bits of sorted hashes lie in, and these bits."""
+        at = hashes >> np.uint64(64 - self.bits)
+        word, first = np.unique(at >> np.uint64(6), return_index=True)
+        return word, np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(first) else at
+
+    def grown(self, rows: pa.Table) -> Admission:
+        """With the bits of rows (h, c), packed words of the field and their bits."""
         field = self.field.copy()
-        field[words.column("word").to_numpy()] |= words.column("bits").to_numpy().view(np.uint64)
+        for word, bits in zip(*(rows.column(c).to_pylist() for c in ("h", "c"))):
+            field[np.frombuffer(word, np.uint64)] |= np.frombuffer(bits, np.uint64)
         return Admission(self.bits, field)
 
 
@@ -134,21 +144,76 @@ def active(words: Words, admission: Admission, most: int) -> Iterator[tuple[np.n
         held = admission.holds(hashes) & whole
 
 
-def counted_step(shard: DataFrame, admission: Admission, before: Admission | None, most: int) -> DataFrame:
-    """(h, c): occurrences in a shard of the phrases that are active now and were not (``before``, one cycle ago) when
-    the shard was last scanned, by hash."""
+PACKED = "bucket int, since int, h binary, c binary"  # sorted hashes of a range of hashes, and their counts
+FIELD = -1  # in place of ``since``: words of the admission field and their bits
+
+
+def packed(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())]
+    columns += [pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (2, 3)]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "since", "h", "c"])
+
+
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes, sorted, with the sums of their counts."""
+    h, c = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    return h[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def counted_step(shard: DataFrame, admission: Admission, before: Admission | None, most: int, step: int, buckets: int) -> DataFrame:
+    """Packed counts, by hash, of the phrases in a shard that are active now and were not (``before``, one cycle ago)
+    when the shard was last scanned. A bucket is a range of hashes."""
     sent = shard.sparkSession.sparkContext.broadcast((admission, before))
+    borders = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+
+    def emit(held) -> pa.RecordBatch:
+        h, c = summed(*held)
+        cuts = [0, *np.searchsorted(h, borders), len(h)]
+        return packed([(i, step, h[a:b], c[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, earlier = sent.value
+        held, many = ([], []), 0
         for batch in slices(batches, "text"):
             for _, words in read_words(batch, most - 1):
                 done = active(words, earlier, most) if earlier else ((False, None) for _ in range(most))
                 new = [hashes[here & ~np.asarray(was)] for (here, hashes), (was, _) in zip(active(words, now, most), done)]
                 h, c = np.unique(np.concatenate(new), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
-
-    return shard.select("lang", "text").mapInArrow(count, "h bigint, c bigint")
+                held[0].append(h)
+                held[1].append(c)
+                many += len(h)
+                if many > HELD_COUNTS:
+                    yield emit(held)
+                    held, many = ([], []), 0
+        if many:
+            yield emit(held)
+
+    return shard.select("lang", "text").mapInArrow(count, PACKED)
+
+
+def merged_step(counts: DataFrame, admission: Admission, least: int, gone: int) -> DataFrame:
+    """The packed counts of each bucket added up. Phrases that have reached the threshold become bits of the field;
+    others that were first counted after step ``gone`` stay."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        since = rows.column("since").to_pylist()
+        blobs = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for h, c in zip(*(rows.column(x).to_pylist() for x in ("h", "c")))]
+        h, c = summed(*zip(*blobs))
+        first = np.full(len(h), np.iinfo(np.int32).max)
+        for step, (own, _) in zip(since, blobs):
+            at = np.searchsorted(h, own)
+            first[at] = np.minimum(first[at], step)
+        bucket = rows.column("bucket")[0].as_py()
+        out = [(bucket, FIELD, *admission.bits_of(h[c >= least]))]
+        for step in sorted({x for x in since if x > gone}):
+            stays = (first == step) & (c < least)
+            out.append((bucket, step, h[stays], c[stays]))
+        return pa.Table.from_batches([packed(out)])
+
+    return counts.groupBy("bucket").applyInArrow(merge, PACKED)
 
 
 def named_counts(shards: DataFrame, admission: Admission, most: int) -> DataFrame:
@@ -164,19 +229,20 @@ def named_counts(shards: DataFrame, admission: Admission, most: int) -> DataFram
         admission = sent.value
         for batch in slices(batches, "text"):
             for langs, words in read_words(batch, most - 1):
-                spelled = pa.array(langs, pa.string())
+                spelled, coded = pa.array(langs, pa.string()), words.spelled()
+                known, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
                 all_words = np.bincount(words.lang[: words.begin], minlength=len(langs))
                 yield batch_of(spelled, 0, pa.array([""] * len(langs)), all_words)
                 for size, (here, hashes) in enumerate(active(words, admission, most), 1):
                     at = np.flatnonzero(here)
                     at = at[admission.holds(hashes[at])]
                     # The number of a phrase: that of its beginning, times the number of words, plus the next word's.
-                    number = words.lang[at] * len(words.known) + words.word[at]
+                    number = words.lang[at] * len(known) + word[at]
                     for more in range(1, size):
-                        number = np.unique(number, return_inverse=True)[1] * len(words.known) + words.word[at + more]
+                        number = np.unique(number, return_inverse=True)[1] * len(known) + word[at + more]
                     _, first, counts = np.unique(number, return_index=True, return_counts=True)
                     at = at[first]
-                    parts = [words.known.take(pa.array(words.word[at + m])) for m in range(size)]
+                    parts = [known.take(pa.array(word[at + m])) for m in range(size)]
                     phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
                     yield batch_of(spelled.take(pa.array(words.lang[at])), size, phrase, counts)
 
@@ -189,8 +255,8 @@ def frequent_phrases(documents: DataFrame, least: int, most: int, shards: int, t
 
     Texts are dealt into shards, which are scanned in a cycle. A phrase becomes active when both its subphrases have
     reached the threshold, wherever in the cycle that is, and is counted in each shard once: lengths are interleaved.
-    Counts are kept by 64-bit hash; a phrase below the threshold is let go when its cycle is complete. As two
-    phrases may share a hash, a last scan counts the phrases found by their spelling.
+    Counts are kept by 64-bit hash, packed in buckets of hashes; a phrase below the threshold is let go when its cycle
+    is complete. As two phrases may share a hash, a last scan counts the phrases found by their spelling.
     """
     spark = documents.sparkSession
     path, seen = work_path(spark, "shards"), Observation()
@@ -203,19 +269,19 @@ def frequent_phrases(documents: DataFrame, least: int, most: int, shards: int, t
     bits = min(largest, max(fewest, int(seen.get["bytes"] or 0).bit_length() - 4))
     # The field after each step; a step that changes nothing since the shard's last scan has nothing to count, and
     # neither have all later ones. Phrases of n words are complete after n cycles at most.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (seen.get["bytes"] or 0) // BUCKET_BYTES, 1)
     admitted, live, step = [Admission(bits)], None, 0
     while step < shards or step < shards * most and (admitted[step].field != admitted[step - shards].field).any():
         earlier = admitted[step - shards] if step >= shards else None
-        new = counted_step(texts.filter(F.col("shard") == step % shards), admitted[step], earlier, most)
-        counts = new.select("h", "c", F.lit(step).alias("since"))
-        counts = (counts if live is None else counts.unionByName(live)).groupBy("h").agg(F.sum("c").alias("c"), F.min("since").alias("since"))
+        counts = counted_step(texts.filter(F.col("shard") == step % shards), admitted[step], earlier, most, step, buckets)
+        counts = counts if live is None else counts.unionByName(live)
         held = work_path(spark, "counts")
-        counts.write.parquet(held)
-        kept = spark.read.schema("h bigint, c bigint, since int").parquet(held)
-        admitted.append(admitted[step].grown(kept.filter(F.col("c") >= least)))
+        merged_step(counts, admitted[step], least, step - shards + 1).write.parquet(held)
+        kept = spark.read.schema(PACKED).parquet(held)
+        admitted.append(admitted[step].grown(kept.filter(F.col("since") == FIELD).select("h", "c").toArrow()))
         if live is not None:
             remove(spark, live_path)
-        live, live_path = kept.filter((F.col("c") < least) & (F.col("since") > step - shards + 1)), held
+        live, live_path = kept.filter(F.col("since") != FIELD), held
         if step >= shards:
             admitted[step - shards] = None
         step += 1
