@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.operators.ordered import at, micros, number_rows, running
+from tidegate.operators.ordered import at, micros, number_rows, running, same_keys
 
 
 def pane_start(ts: str, width: str) -> Column:
@@ -43,7 +43,7 @@ def sessions(df: DataFrame, ts: str, gap_seconds: int, keys: list[str], out: dic
     """
     gap = gap_seconds * 1_000_000
     t = micros(ts)
-    buckets = df.groupBy(*keys, (t - F.pmod(t, F.lit(gap))).alias("_b")).agg(
+    buckets = df.groupBy(*keys, (t - F.pmod(t, F.lit(max(1, gap)))).alias("_b")).agg(
         F.min(t).alias("_first"), F.max(t).alias("_last"), *[FIRST[k](c).alias(n) for n, (k, c) in out.items()]
     )
     by_time = Window.partitionBy(*keys).orderBy("_b")
@@ -62,6 +62,31 @@ def sessions(df: DataFrame, ts: str, gap_seconds: int, keys: list[str], out: dic
     )
 
 
+def in_tumbling(df: DataFrame, ts: str, width: str) -> DataFrame:
+    """Tag each message with its tumbling window, as ``window_start`` and ``window_end``."""
+    window = F.window(F.col(ts), width)
+    return df.withColumn("_w", window).select(*df.columns, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"))
+
+
+def in_sessions(df: DataFrame, ts: str, gap_seconds: int, keys: list[str]) -> DataFrame:
+    """Tag each message with its session, as ``window_start`` and ``window_end``.
+
+    All rows of a key in one gap-wide bucket are in one session, so sessions are found from one row per (key, bucket)
+    and joined back by it. A hot key is spread over its buckets.
+    """
+    gap = max(1, gap_seconds * 1_000_000)
+    t = micros(ts)
+    tagged = df.withColumn("_b", t - F.pmod(t, F.lit(gap)))
+    buckets = tagged.groupBy(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_b").alias("_s_b")).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
+    by_time = Window.partitionBy(*[f"_s_{k}" for k in keys]).orderBy("_s_b")
+    starts = F.when(F.coalesce(F.col("_first") - F.lag("_last").over(by_time) > gap_seconds * 1_000_000, F.lit(True)), F.col("_first"))
+    found = buckets.withColumn("_start", starts).withColumn("_start", F.last("_start", True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*[f"_s_{k}" for k in keys], "_start")
+    found = found.withColumn("_end", F.max("_last").over(whole) + gap_seconds * 1_000_000).drop("_first", "_last")
+    joined = tagged.join(found, same_keys(keys, "", "_s_") & (F.col("_b") == F.col("_s_b")))
+    return joined.select(*df.columns, F.timestamp_micros("_start").alias("window_start"), F.timestamp_micros("_end").alias("window_end"))
+
+
 def panes(df: DataFrame, ts: str, width: str) -> DataFrame:
     """Tag each message with its tumbling pane; the pane's list is the rows that carry the tag."""
     return df.withColumn("window_start", pane_start(ts, width))

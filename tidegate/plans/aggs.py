@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidegate.operators import aggs as ops
+from tidegate.operators.ordered import at
+from tidegate.operators.scans import fold_ordered
 from tidegate.registry import query
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -205,3 +209,34 @@ def job_counters(t):
         {"kept": F.count(F.lit(1))},
     )
     return t.spark.createDataFrame(sorted(counts.items()), "counter string, value bigint")
+
+
+@query(
+    "agg_fold_ordered",
+    """WITH d AS (SELECT user_id, list(CAST(round(value * 100) AS BIGINT) % 21 - 10 ORDER BY ts, event_id) AS steps FROM events GROUP BY user_id)
+    SELECT user_id, list_reduce([10] || steps, lambda level, step: greatest(0, least(20, level + step))) AS level FROM d""",
+)
+def agg_fold_ordered(t):
+    # A level that each message moves, but never below 0 or above 20: what it is at the end depends on the order.
+    rows = t.events.withColumn("move", F.round(F.col("value") * 100).cast("bigint") % 21 - 10)
+    return fold_ordered(
+        rows, ["user_id"], ["ts", "event_id"], at("ts", "event_id"), ["move"], 10,
+        lambda level, row: np.clip(level + row[0], 0, 20), "bigint", states=list(range(21)), name="level",
+    )
+
+
+@query(
+    "agg_fold_text",
+    """SELECT user_id, md5(string_agg(event_type || CAST(event_id AS VARCHAR), '>' ORDER BY ts, event_id)) AS path FROM events GROUP BY user_id""",
+)
+def agg_fold_text(t):
+    # A digest over each user's messages in order, fed message by message: a fold of any function and value.
+    def fed(digest, row):
+        new = digest.copy() if digest else hashlib.md5()
+        new.update(f"{'>' if digest else ''}{row[0]}{row[1]}".encode())
+        return new
+
+    return fold_ordered(
+        t.events, ["user_id"], ["ts", "event_id"], at("ts", "event_id"), ["event_type", "event_id"], None, fed, "string",
+        finish=lambda digest: digest.hexdigest(), name="path",
+    )

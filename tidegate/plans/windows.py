@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegate.operators import triggers as tr
 from tidegate.operators import windows as ops
 from tidegate.operators.ordered import at, running
 from tidegate.registry import query
@@ -155,6 +156,77 @@ def trig_any(t):
     return out.withColumns(us("window_start", "fire_ts"))
 
 
+WEEK_US = 604_800_000_000
+THREE = tr.any_of(tr.count(3), tr.since_first(24 * 3600), tr.since_last(12 * 3600))
+# The first firing of each pane, whichever of three comes first.
+ANY_THREE = f"""{RANKED}, g AS (SELECT *, lead(date_time) OVER (PARTITION BY auction, window_start ORDER BY rn) AS nxt FROM r),
+    c AS (SELECT auction, window_start, any_value(total) AS total, epoch_us(min(date_time) FILTER (rn = 3)) AS cts,
+      epoch_us(any_value(first_ts)) + 86400000000 AS fts, count(*) FILTER (date_time <= first_ts + INTERVAL 1 DAY) AS fseen,
+      epoch_us(min(date_time) FILTER (nxt IS NULL OR nxt - date_time > INTERVAL 12 HOUR)) + 43200000000 AS lts,
+      min(rn) FILTER (nxt IS NULL OR nxt - date_time > INTERVAL 12 HOUR) AS lseen FROM g GROUP BY auction, window_start),
+    f AS (SELECT *, window_start + {WEEK_US} AS window_end, least(coalesce(cts, fts), fts, lts) AS fire_ts FROM c),
+    e AS (SELECT auction, window_start, window_end, total, fire_ts, fire_ts <= window_end AS early,
+      CASE WHEN cts = fire_ts THEN 'count' WHEN fts = fire_ts THEN 'first' ELSE 'last' END AS fired_by,
+      CASE WHEN cts = fire_ts THEN 3 WHEN fts = fire_ts THEN fseen ELSE lseen END AS seen FROM f),
+    d AS (SELECT *, CASE WHEN early THEN total - seen ELSE total END AS rest FROM e)"""
+
+
+@query(
+    "trig_any_three",
+    f"""WITH {ANY_THREE} SELECT auction, window_start, window_end, 1 AS pane, 'EARLY' AS firing_type, fired_by, fire_ts, seen AS count FROM d
+    WHERE early UNION ALL SELECT auction, window_start, window_end, CASE WHEN early THEN 2 ELSE 1 END, 'DEFAULT', 'window', window_end, rest
+    FROM d WHERE rest > 0""",
+)
+def trig_any_three(t):
+    return tr.fire(ops.in_tumbling(t.bid_s, "date_time", WEEK), ["auction"], "date_time", THREE)
+
+
+# Where each firing starts counting, by recursion: three messages on, or the first message later than a day after.
+REPEAT_ANY = f"""WITH RECURSIVE {RANKED}, g AS (SELECT *, window_start + {WEEK_US} AS window_end, epoch_us(date_time) + 86400000000 AS due,
+      epoch_us(lead(date_time, 2) OVER (PARTITION BY auction, window_start ORDER BY rn)) AS cts,
+      count(*) OVER (PARTITION BY auction, window_start ORDER BY date_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY FOLLOWING) AS upto FROM r),
+    n AS (SELECT auction, window_start, window_end, rn, total, CASE WHEN cts <= due THEN 'count' ELSE 'first' END AS fired_by,
+      CASE WHEN cts <= due THEN cts ELSE due END AS fire_ts, CASE WHEN cts <= due THEN 3 ELSE upto - rn + 1 END AS seen FROM g),
+    chain AS (SELECT *, 1 AS pane FROM n WHERE rn = 1
+      UNION ALL SELECT n.*, chain.pane + 1 FROM chain JOIN n ON n.auction = chain.auction AND n.window_start = chain.window_start
+      AND n.rn = chain.rn + chain.seen WHERE chain.fire_ts <= chain.window_end),
+    d AS (SELECT auction, window_start, any_value(window_end) AS window_end, count(*) AS fired, max(rn + seen) - 1 AS told, any_value(total) AS total
+      FROM chain WHERE fire_ts <= window_end GROUP BY auction, window_start)
+    SELECT auction, window_start, window_end, pane, 'EARLY' AS firing_type, fired_by, fire_ts, {{early}} AS count FROM chain WHERE fire_ts <= window_end
+    UNION ALL SELECT auction, window_start, window_end, coalesce(fired, 0) + 1, 'DEFAULT', 'window', window_end, {{end}}
+    FROM (SELECT auction, window_start, window_end, total FROM n WHERE rn = 1) LEFT JOIN d USING (auction, window_start, window_end, total) WHERE {{end}} > 0"""
+
+
+@query("trig_repeat_any", REPEAT_ANY.format(early="seen", end="total - coalesce(told, 0)"))
+def trig_repeat_any(t):
+    trigger = tr.repeat(tr.any_of(tr.count(3), tr.since_first(24 * 3600)))
+    return tr.fire(ops.in_tumbling(t.bid_s, "date_time", WEEK), ["auction"], "date_time", trigger)
+
+
+@query("trig_repeat_any_accumulating", REPEAT_ANY.format(early="rn + seen - 1", end="total"))
+def trig_repeat_any_accumulating(t):
+    trigger = tr.repeat(tr.any_of(tr.count(3), tr.since_first(24 * 3600)))
+    return tr.fire(ops.in_tumbling(t.bid_s, "date_time", WEEK), ["auction"], "date_time", trigger, accumulating=True)
+
+
+# Sessions of six hours' gap, each message with its number in its session.
+SESSIONS = """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g),
+    n AS (SELECT user_id, epoch_us(ts) AS ts, row_number() OVER (PARTITION BY user_id, sid ORDER BY ts, event_id) AS rn,
+      count(*) OVER (PARTITION BY user_id, sid) AS total, epoch_us(min(ts) OVER (PARTITION BY user_id, sid)) AS window_start,
+      epoch_us(max(ts) OVER (PARTITION BY user_id, sid) + INTERVAL 6 HOUR) AS window_end FROM s)"""
+SESSION_EARLY = f"""{SESSIONS} SELECT user_id, window_start, CAST(rn // 2 AS BIGINT) AS pane, 'EARLY' AS firing_type, 'count' AS fired_by, ts AS fire_ts,
+    2 AS count FROM n WHERE rn % 2 = 0 UNION ALL SELECT user_id, window_start, CAST(total // 2 + 1 AS BIGINT), 'DEFAULT', 'window', window_end, total % 2
+    FROM n WHERE rn = 1 AND total % 2 > 0"""
+
+
+@query("win_session_early", SESSION_EARLY)
+def win_session_early(t):
+    tagged = ops.in_sessions(t.events, "ts", 6 * 3600, ["user_id"])
+    return tr.fire(tagged, ["user_id"], "ts", tr.repeat(tr.count(2))).drop("window_end")
+
+
 @query(
     "win_periodic_count",
     "SELECT epoch_us(date_trunc('minute', ts)) AS window_start, count(*) AS n FROM events GROUP BY ALL",
