@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidegate.apps.stock import session_of
-from tidegate.operators import joins, windows
+from tidegate.operators import joins, triggers, windows
 from tidegate.plans.nexmark import SELECTED, euros
+from tidegate.plans.windows import ANY_THREE, SESSIONS, THREE, WEEK
 from tidegate.registry import ORACLES, query
 from tidegate.session import work_path
 from tidegate.sinks.writers import each_batch
@@ -227,6 +228,39 @@ def pageview_counter_stream(t):
         return run_append(ps.stateful(rows, ["key", "window_start"], panes, ps.CountPanes.SCHEMA, timers=True))
 
 
+@query(
+    "trig_any_stream",
+    f"""WITH {ANY_THREE}, m AS (SELECT epoch_us(max(date_time)) - 86400000000 AS mark FROM bid_s)
+    SELECT auction AS key, window_start, window_end, 1 AS pane, 'EARLY' AS firing_type, fired_by, fire_ts, seen AS count FROM d, m
+    WHERE early AND (fired_by = 'count' OR total > seen OR fire_ts < mark)
+    UNION ALL SELECT auction, window_start, window_end, CASE WHEN early THEN 2 ELSE 1 END, 'DEFAULT', 'window', window_end, rest
+    FROM d, m WHERE rest > 0 AND window_end <= mark""",
+)
+def trig_any_stream(t):
+    # A timer fires when a later message of its pane or the watermark has passed it.
+    rows = windows.in_tumbling(bids(t).withWatermark("date_time", "1 day"), "date_time", WEEK).select(
+        F.col("auction").alias("key"), F.unix_micros("window_start").alias("window_start"), F.unix_micros("window_end").alias("window_end"),
+        F.unix_micros("date_time").alias("ts"), F.col("date_time").alias("at"),
+    )
+    with state_store(t.spark):
+        panes = ps.TriggerPanes(THREE)
+        return run_append(ps.stateful(rows, ["key", "window_start", "window_end"], panes, panes.SCHEMA, timers=True))
+
+
+@query(
+    "win_session_early_stream",
+    f"""{SESSIONS}, m AS (SELECT epoch_us(max(ts)) - 86400000000 AS mark FROM events)
+    SELECT user_id AS key, window_start, CAST(rn // 2 AS BIGINT) AS pane, 'EARLY' AS firing_type, 'count' AS fired_by, ts AS fire_ts,
+    2 AS count FROM n WHERE rn % 2 = 0 UNION ALL SELECT user_id, window_start, CAST(total // 2 + 1 AS BIGINT), 'DEFAULT', 'window', window_end, total % 2
+    FROM n, m WHERE rn = 1 AND total % 2 > 0 AND window_end < mark""",
+)
+def win_session_early_stream(t):
+    rows = stream(t).withWatermark("ts", "1 day").select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("ts"), F.col("ts").alias("at"))
+    with state_store(t.spark):
+        panes = ps.TriggerSessions(triggers.repeat(triggers.count(2)), 6 * HOUR_US)
+        return run_append(ps.stateful(rows, ["key"], panes, panes.SCHEMA, timers=True))
+
+
 @query(
     "state_timer",
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOUR

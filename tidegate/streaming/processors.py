@@ -7,12 +7,16 @@ what it keeps by the state named in its class.
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import astuple, fields
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from tidegate.apps.book import Book
+from tidegate.operators.triggers import FIRINGS, Pane, Trigger
 
 
 def arrivals(rows, *order: str) -> pd.DataFrame:
@@ -103,6 +107,151 @@ class CountPanes(StatefulProcessor):
         pass
 
 
+def by_time(rows) -> list[tuple[int, int]]:
+    """The times of a micro-batch's messages in order, each with their number. Frames are counted one by one."""
+    counts: Counter = Counter()
+    for frame in rows:
+        counts.update(frame["ts"].value_counts().to_dict())
+    return sorted((int(ts), int(n)) for ts, n in counts.items())
+
+
+def names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+PANE_STATE = ", ".join(f"{f.name} bigint" for f in fields(Pane))
+
+
+class OneTimer:
+    """A key's only timer: setting it again deletes the old one."""
+
+    def __init__(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("timer", "ms bigint")
+
+    def set(self, ms: int | None) -> None:
+        old = self.state.get()[0] if self.state.exists() else None
+        if old == ms:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if ms is None:
+            self.state.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.state.update((ms,))
+
+    def expired(self) -> None:
+        self.state.clear()
+
+
+class TriggerPanes(StatefulProcessor):
+    """Firings of any trigger on fixed windows, keyed by (key, window_start, window_end), and the default one when the
+    watermark passes the window's end. State: the pane's counts and times, and one timer."""
+
+    SCHEMA = f"key bigint, window_start bigint, window_end bigint, {FIRINGS}"
+
+    def __init__(self, trigger: Trigger, accumulating: bool = False):
+        self.trigger, self.accumulating = trigger, accumulating
+
+    def init(self, handle) -> None:
+        self.pane = handle.getValueState("pane", PANE_STATE)
+        self.timer = OneTimer(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pane = Pane(*self.pane.get()) if self.pane.exists() else Pane()
+        out = [f for ts, n in by_time(rows) for f in pane.take(self.trigger, ts, n, self.accumulating)]
+        self._keep(key, pane)
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.expired()
+        pane, end = Pane(*self.pane.get()), int(key[2])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        if passed >= end:
+            out = list(pane.close(self.trigger, end, self.accumulating))
+            self.pane.clear()
+        else:
+            out = list(pane.run(self.trigger, passed, self.accumulating))
+            self._keep(key, pane)
+        yield self._frame(key, out)
+
+    def _keep(self, key, pane: Pane) -> None:
+        self.pane.update(astuple(pane))
+        due, end = pane.due(self.trigger), int(key[2])
+        self.timer.set(due // 1000 + 1 if due is not None and due < end else end // 1000)
+
+    def _frame(self, key, out) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *f) for f in out], columns=names(self.SCHEMA))
+
+    def close(self) -> None:
+        pass
+
+
+class TriggerSessions(StatefulProcessor):
+    """Firings of any trigger on session windows. A message that lies within the gap of two sessions makes them one:
+    their counts, told or not, are added up, so that a count trigger goes on from both. A firing carries its session's
+    start as it was then. State: the open sessions' counts and times, and one timer for all."""
+
+    SCHEMA = f"key bigint, window_start bigint, {FIRINGS}"
+
+    def __init__(self, trigger: Trigger, gap_us: int, accumulating: bool = False):
+        self.trigger, self.gap, self.accumulating = trigger, gap_us, accumulating
+
+    def init(self, handle) -> None:
+        self.open = handle.getListState("sessions", f"start bigint, {PANE_STATE}")
+        self.timer = OneTimer(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        sessions, out = self._sessions(), []
+        for ts, n in by_time(rows):
+            near = [s for s in sessions if s[0] - self.gap <= ts <= s[1].last + self.gap]
+            start, pane = min([s[0] for s in near] + [ts]), self._one([s[1] for s in near])
+            sessions = [s for s in sessions if s not in near] + [(start, pane)]
+            out += [(*key, start, *f) for f in pane.take(self.trigger, ts, n, self.accumulating)]
+        self._keep(sessions)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.expired()
+        passed, stay, out = timerValues.getCurrentWatermarkInMs() * 1000, [], []
+        for start, pane in self._sessions():
+            end = pane.last + self.gap
+            if end < passed:
+                out += [(*key, start, *f) for f in pane.close(self.trigger, end, self.accumulating)]
+            else:
+                out += [(*key, start, *f) for f in pane.run(self.trigger, passed, self.accumulating)]
+                stay.append((start, pane))
+        self._keep(stay)
+        yield self._frame(out)
+
+    def _one(self, panes: list[Pane]) -> Pane:
+        if len(panes) < 2:
+            return panes[0] if panes else Pane()
+        counting = [p for p in panes if p.open]
+        return Pane(
+            sum(p.total for p in panes), sum(p.told for p in panes), sum(p.fired for p in panes), sum(p.open for p in panes),
+            min((p.first for p in counting), default=0), max(p.last for p in panes),
+        )
+
+    def _sessions(self) -> list[tuple[int, Pane]]:
+        return [(r[0], Pane(*r[1:])) for r in self.open.get()] if self.open.exists() else []
+
+    def _keep(self, sessions: list[tuple[int, Pane]]) -> None:
+        if sessions:
+            self.open.put([(start, *astuple(pane)) for start, pane in sessions])
+        else:
+            self.open.clear()
+        dues = [d for _, p in sessions for d in (p.due(self.trigger), p.last + self.gap) if d is not None]
+        self.timer.set(min(dues) // 1000 + 1 if dues else None)
+
+    def _frame(self, out) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names(self.SCHEMA))
+
+    def close(self) -> None:
+        pass
+
+
 class QuietTimer(StatefulProcessor):
     """A timer per key, reset by every message: when it expires the messages since the last firing
     are reported. State: their count, the first and the last time."""
