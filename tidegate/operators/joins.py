@@ -6,12 +6,16 @@ outgrown it is shuffled instead, and adaptive execution splits skewed join parti
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.operators.ordered import micros, running
+from tidegate.operators.scans import scan_groups
+from tidegate.operators.windows import session_bounds
+from tidegate.session import materialized, rows_per_task
 
 
 def latest_ttl_join(
@@ -132,6 +136,91 @@ def tagged_join(sources: dict[str, DataFrame], key: str, value: str) -> DataFram
     return grouped.withColumn("tags", tags).filter("tags >= 2").select(key, "tags", *sources)
 
 
+def tagged_product(
+    sources: dict[str, DataFrame], key: str, combine: Callable[[dict[str, Column]], Column], least_tags: int = 2, bag_rows: int | None = None
+) -> DataFrame:
+    """Reduce-side join: per key every combination of one row of each source that has the key, put together by the
+    caller. ``combine`` gets a struct of each tag's other columns, null where the source lacks the key, and returns a
+    column; a null one drops the combination. Output: key, ``tags`` (how many sources have the key) and ``result``.
+
+    A bag, the rows of a key under one tag, with more than ``bag_rows`` rows (by default what a task should hold) is
+    cut into blocks. The other bags of that key go to every block, or block by block if they are cut too, so that no
+    task meets more than one block of each. Such keys number at most rows / ``bag_rows``. Rows with a null key meet no
+    others.
+    """
+    tags = list(sources)
+    most = bag_rows or rows_per_task(sources[tags[0]].sparkSession)
+    sizes = reduce(
+        lambda a, b: a.unionByName(b), [df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_tag", F.lit(t)) for t, df in sources.items()]
+    )
+    large = sizes.filter((F.col("_n") > most) & F.col("_k").isNotNull()).withColumn("_b", F.ceil(F.col("_n") / most)).collect()
+    cuts: dict = {}
+    for row in large:
+        cuts.setdefault(row["_k"], {})[row["_tag"]] = int(row["_b"])
+    grid = None
+    if cuts:
+        spark, kind = sources[tags[0]].sparkSession, sources[tags[0]].schema[key].dataType.simpleString()
+        grid = spark.createDataFrame([(k, [b.get(t, 1) for t in tags]) for k, b in cuts.items()], f"_k {kind}, _blocks array<int>")
+
+    def placed(place: int, tag: str) -> DataFrame:
+        df = sources[tag]
+        rows = df.select(key, F.struct(F.lit(1).alias("_there"), *[c for c in df.columns if c != key]).alias(tag))
+        if grid is None:
+            return rows.withColumn("_cell", F.lit(0))
+        # A cell is a block of each bag; a row goes to all cells that hold its own block.
+        blocks = F.col("_blocks")
+
+        def times(parts: Column) -> Column:
+            return F.aggregate(parts, F.lit(1), lambda a, b: a * b)
+
+        low, high = times(F.slice(blocks, 1, place)) if place else F.lit(1), times(F.slice(blocks, place + 2, len(tags)))
+        cells = F.flatten(F.transform(F.sequence(F.lit(0), high - 1), lambda h: F.transform(
+            F.sequence(F.lit(0), low - 1), lambda i: (h * F.get(blocks, F.lit(place)) + F.col("_own")) * low + i
+        )))
+        # Blocks are drawn, so that equal rows spread too, and written, so that a task run again meets the same ones.
+        drawn = rows.join(F.broadcast(grid), F.col(key) == F.col("_k")).withColumn("_own", F.floor(F.rand() * F.get(blocks, F.lit(place))).cast("int"))
+        cut = materialized(drawn, "bags").select(key, tag, F.explode(cells).alias("_cell"))
+        return rows.join(F.broadcast(grid), F.col(key) == F.col("_k"), "left_anti").withColumn("_cell", F.lit(0)).unionByName(cut)
+
+    met = reduce(lambda a, b: a.join(b, [key, "_cell"], "full_outer"), [placed(i, t) for i, t in enumerate(tags)])
+    if grid is not None:  # a block may stay empty, but its bag is there
+        needed = F.broadcast(grid.select(F.col("_k").alias("_k2"), F.col("_blocks").alias("_cut")))
+        met = met.join(needed, F.col(key) == F.col("_k2"), "left")
+        for i, tag in enumerate(tags):
+            met = met.filter(F.col("_cut").isNull() | (F.get("_cut", F.lit(i)) == 1) | F.col(tag).isNotNull())
+    there = reduce(lambda a, b: a + b, [F.col(t).isNotNull().cast("int") for t in tags])
+    out = met.withColumn("tags", there).filter(F.col("tags") >= least_tags).select(key, "tags", combine({t: F.col(t) for t in tags}).alias("result"))
+    return out.filter(F.col("result").isNotNull())
+
+
+def completion_epochs(df: DataFrame, key: str, epoch: str, part: str, order: list[str], ts: str, expected: int) -> DataFrame:
+    """Completion over epochs. Per key the newest epoch that has arrived is the open one: its distinct parts are
+    gathered, parts of older epochs are ignored, and a newer epoch opens in its place. One row per (key, epoch) that
+    completes, COMPLETED at the arrival of its last expected part, or that a newer one replaces before, INCOMPLETE at
+    the newer one's arrival; ``parts`` is what had arrived. An epoch that never was the newest has no row, nor has one
+    still open. ``order`` is the order of arrival and begins with ``ts``.
+
+    Only the first arrival of each (key, epoch, part) counts, which is found on the map side; what is ordered per key
+    is one row per epoch.
+    """
+    arrival = F.struct(*order)
+    first = df.groupBy(key, epoch, part).agg(F.min(arrival).alias("_at"))
+    starts = first.groupBy(key, epoch).agg(F.min("_at").alias("_start"))
+    newer = Window.partitionBy(key).orderBy(F.desc(epoch)).rowsBetween(Window.unboundedPreceding, -1)
+    opened = starts.withColumn("_end", F.min("_start").over(newer)).filter(F.col("_end").isNull() | (F.col("_start") < F.col("_end")))
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in (key, epoch)]
+    opened = opened.select(F.col(key).alias(f"_o_{key}"), F.col(epoch).alias(f"_o_{epoch}"), "_end")
+    seen = first.join(opened, reduce(lambda a, b: a & b, same)).filter(F.col("_end").isNull() | (F.col("_at") < F.col("_end")))
+    place = F.row_number().over(Window.partitionBy(key, epoch).orderBy("_at"))
+    gathered = seen.withColumn("_place", place).filter(F.col("_place") <= expected).groupBy(key, epoch).agg(
+        F.max("_place").cast("bigint").alias("parts"), F.max("_at").alias("_last"), F.max("_end").alias("_end")
+    )
+    whole = F.col("parts") == expected
+    told = gathered.filter(whole | F.col("_end").isNotNull())
+    at = F.when(whole, F.col("_last")[ts]).otherwise(F.col("_end")[ts])
+    return told.select(key, epoch, F.when(whole, "COMPLETED").otherwise("INCOMPLETE").alias("status"), "parts", at.alias("at"))
+
+
 def completion_join(df: DataFrame, key: str, epoch: str, part: str, ts: str, expected: int) -> DataFrame:
     """Per (key, epoch): the moment the last of ``expected`` distinct parts arrived; incomplete epochs give no row."""
     first_seen = df.groupBy(key, epoch, part).agg(F.min(ts).alias("_seen"))
@@ -145,6 +234,59 @@ def lookup_distinct(stream: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return stream.join(found, key, "left")
 
 
+class _Loads:
+    """The cache's entry of a key: what was loaded or put last, and when."""
+
+    def __init__(self, ttl: int):
+        self.ttl, self.value, self.since = ttl, None, None
+
+    def step(self, row: tuple) -> Iterable[tuple]:
+        t, write, ident, current, _ = row
+        if write:
+            self.value, self.since = current, t
+            return ()
+        hit = self.since is not None and t < self.since + self.ttl
+        if not hit:  # an absent row is not kept
+            self.value, self.since = current, t if current is not None else None
+        return ((t, ident, self.value, hit, self.since),)
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
+def cached_reads(
+    reads: DataFrame, writes: DataFrame, key: str, ts: str, ident: str, value: str,
+    write_ttl: float, read_ttl: float, write_around: bool = True,
+) -> DataFrame:
+    """Reads of a table through a cache: (key, ts, ``ident``, value, hit, loaded_at) per read, times as microseconds.
+
+    ``writes`` (key, ts, ident, value) are the table's versions. A read finds the cache's entry if it was loaded less
+    than ``write_ttl`` seconds ago and used less than ``read_ttl`` seconds ago, however the table has changed since;
+    otherwise it loads the table's newest version, from a write no later than the read. With ``write_around`` writes
+    go to the table alone; without, they also renew the entry. A key the table does not have is loaded at each read.
+
+    What a read would load is an as-of join. Uses further apart than ``read_ttl`` cannot share an entry, so each run
+    of closer ones is followed by itself, which spreads a hot key; a task holds one entry.
+    """
+    kind = writes.schema[value].dataType.simpleString()
+    version = F.struct(F.col(value).alias("v"))
+    events = reads.select(key, ts, F.lit(1).alias("_read"), F.col(ident).alias("_id"), F.lit(None).cast(f"struct<v:{kind}>").alias("_version")).unionByName(
+        writes.select(key, ts, F.lit(0).alias("_read"), F.col(ident).alias("_id"), version.alias("_version"))
+    )
+    known = running(
+        events, [key], [ts, "_read", "_id"], (micros(ts), F.col("_read") * F.lit(2**52) + F.col("_id")), {"_now": ("last", "_version")}
+    )
+    uses = known.filter("_read = 1") if write_around else known
+    uses = uses.select(key, micros(ts).alias("_t"), (F.col("_read") == 0).alias("_write"), "_id", F.col("_now.v").alias("_value"))
+    runs, start = session_bounds(uses, F.col("_t"), round(read_ttl * 1_000_000) - 1, [key]), "_start"
+    ident_kind = reads.schema[ident].dataType.simpleString()
+    schema = f"`{ts}` bigint, `{ident}` {ident_kind}, `{value}` {kind}, hit boolean, loaded_at bigint"
+    ttl = round(write_ttl * 1_000_000)
+    order = ["_t", "_is_read", "_id"]
+    ordered = runs.select(key, start, "_t", "_write", "_id", "_value", (~F.col("_write")).alias("_is_read"))
+    return scan_groups(ordered, [key, start], order, lambda k: _Loads(ttl), schema).drop(start)
+
+
 def side_input(side: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """Fold a secondary stream into its latest row per key, to be joined by the main input."""
     rest = [c for c in side.columns if c != key]

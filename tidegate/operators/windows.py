@@ -68,23 +68,29 @@ def in_tumbling(df: DataFrame, ts: str, width: str) -> DataFrame:
     return df.withColumn("_w", window).select(*df.columns, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"))
 
 
-def in_sessions(df: DataFrame, ts: str, gap_seconds: int, keys: list[str]) -> DataFrame:
-    """Tag each message with its session, as ``window_start`` and ``window_end``.
+def session_bounds(df: DataFrame, t: Column, gap: int, keys: list[str]) -> DataFrame:
+    """The rows with ``_start`` and ``_end``, the first and last time (``t``, in microseconds) of their session: rows of
+    a key further apart than ``gap`` are in different ones.
 
     All rows of a key in one gap-wide bucket are in one session, so sessions are found from one row per (key, bucket)
     and joined back by it. A hot key is spread over its buckets.
     """
-    gap = max(1, gap_seconds * 1_000_000)
-    t = micros(ts)
-    tagged = df.withColumn("_b", t - F.pmod(t, F.lit(gap)))
+    tagged = df.withColumn("_b", t - F.pmod(t, F.lit(max(1, gap))))
     buckets = tagged.groupBy(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_b").alias("_s_b")).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
     by_time = Window.partitionBy(*[f"_s_{k}" for k in keys]).orderBy("_s_b")
-    starts = F.when(F.coalesce(F.col("_first") - F.lag("_last").over(by_time) > gap_seconds * 1_000_000, F.lit(True)), F.col("_first"))
+    starts = F.when(F.coalesce(F.col("_first") - F.lag("_last").over(by_time) > gap, F.lit(True)), F.col("_first"))
     found = buckets.withColumn("_start", starts).withColumn("_start", F.last("_start", True).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(*[f"_s_{k}" for k in keys], "_start")
-    found = found.withColumn("_end", F.max("_last").over(whole) + gap_seconds * 1_000_000).drop("_first", "_last")
+    found = found.withColumn("_end", F.max("_last").over(whole)).drop("_first", "_last")
     joined = tagged.join(found, same_keys(keys, "", "_s_") & (F.col("_b") == F.col("_s_b")))
-    return joined.select(*df.columns, F.timestamp_micros("_start").alias("window_start"), F.timestamp_micros("_end").alias("window_end"))
+    return joined.select(*df.columns, "_start", "_end")
+
+
+def in_sessions(df: DataFrame, ts: str, gap_seconds: int, keys: list[str]) -> DataFrame:
+    """Tag each message with its session, as ``window_start`` and ``window_end``."""
+    gap = gap_seconds * 1_000_000
+    found = session_bounds(df, micros(ts), gap, keys)
+    return found.select(*df.columns, F.timestamp_micros("_start").alias("window_start"), F.timestamp_micros(F.col("_end") + gap).alias("window_end"))
 
 
 def panes(df: DataFrame, ts: str, width: str) -> DataFrame:

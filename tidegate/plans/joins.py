@@ -178,6 +178,75 @@ def join_completion(t):
     return done.select("user_id", F.unix_micros("epoch").alias("epoch"), F.unix_micros("completed_at").alias("completed_at"))
 
 
+# Epochs that come somewhat out of order: each message's is moved by a part of its own.
+EPOCHS = """e AS (SELECT user_id, event_id, ts, event_type, (event_id + 11 * CAST(json_extract_string(props, '$.k') AS BIGINT)) // 1200 AS epoch FROM events),
+    m AS (SELECT *, max(epoch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS newest FROM e),
+    f AS (SELECT user_id, epoch, event_type, min((ts, event_id)) AS seen FROM m WHERE epoch = newest GROUP BY ALL),
+    r AS (SELECT user_id, epoch, epoch_us(seen[1]) AS seen, row_number() OVER (PARTITION BY user_id, epoch ORDER BY seen) AS place FROM f),
+    o AS (SELECT user_id, epoch, min(seen) AS opened, least(max(place), 3) AS parts, min(seen) FILTER (place = 3) AS done FROM r GROUP BY ALL),
+    n AS (SELECT *, lead(opened) OVER (PARTITION BY user_id ORDER BY epoch) AS replaced FROM o)"""
+EPOCH_ROWS = """epoch, CASE WHEN done IS NULL THEN 'INCOMPLETE' ELSE 'COMPLETED' END AS status, parts, coalesce(done, replaced) AS at
+    FROM n WHERE done IS NOT NULL OR replaced IS NOT NULL"""
+
+
+def epoch_of(props):
+    return F.expr(f"(event_id + 11 * CAST(get_json_object({props}, '$.k') AS BIGINT)) div 1200")
+
+
+@query("join_completion_epochs", f"WITH {EPOCHS} SELECT user_id, {EPOCH_ROWS}")
+def join_completion_epochs(t):
+    parts = t.events.withColumn("epoch", epoch_of("props"))
+    out = ops.completion_epochs(parts, "user_id", "epoch", "event_type", ["ts", "event_id"], "ts", 3)
+    return out.withColumn("at", F.unix_micros("at"))
+
+
+@query(
+    "join_tagged_product",
+    """WITH a AS (SELECT event_type AS k, event_id FROM events WHERE event_id % 3 > 0), b AS (SELECT event_type AS k, event_id FROM events WHERE user_id = 7),
+    c AS (SELECT DISTINCT event_type AS k FROM events WHERE event_type < 'p')
+    SELECT k, CAST((a.event_id IS NOT NULL)::INT + (b.event_id IS NOT NULL)::INT + (c.k IS NOT NULL)::INT AS INT) AS tags,
+    coalesce(a.event_id, -1) * 1000003 + coalesce(b.event_id, -1) AS pair, c.k IS NOT NULL AS early
+    FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)
+    WHERE (a.event_id IS NOT NULL)::INT + (b.event_id IS NOT NULL)::INT + (c.k IS NOT NULL)::INT >= 2 AND (a.event_id + b.event_id) % 7 > 0""",
+)
+def join_tagged_product(t):
+    # Five keys with thousands of rows each under one tag, some rows under another and one or none under a third.
+    kind = F.col("event_type").alias("k")
+
+    def combine(of):
+        a, b = F.coalesce(of["a"]["event_id"], F.lit(-1)), F.coalesce(of["b"]["event_id"], F.lit(-1))
+        told = F.struct((a * 1000003 + b).alias("pair"), of["c"].isNotNull().alias("early"))
+        return F.when((of["a"]["event_id"] + of["b"]["event_id"]) % 7 > 0, told)
+
+    sources = {
+        "a": t.events.filter("event_id % 3 > 0").select(kind, "event_id"), "b": t.events.filter("user_id = 7").select(kind, "event_id"),
+        "c": t.events.filter("event_type < 'p'").select(kind).distinct(),
+    }
+    return ops.tagged_product(sources, "k", combine).select("k", "tags", "result.pair", "result.early")
+
+
+# Reads by recursion: a miss loads, and the next miss is the first read too late for that.
+CACHED = """WITH RECURSIVE v AS (SELECT user_id, event_id, ts FROM events WHERE event_type IN ('view', 'click')),
+    w AS (SELECT user_id, event_id, ts, value FROM events WHERE event_type = 'purchase'),
+    x AS (SELECT v.user_id, v.event_id, epoch_us(v.ts) AS ts, arg_max(w.value, (w.ts, w.event_id)) AS now FROM v LEFT JOIN w ON w.user_id = v.user_id AND w.ts <= v.ts GROUP BY ALL),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER u < 86400000000 THEN 0 ELSE 1 END AS fresh FROM x WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS rn FROM s),
+    c AS (SELECT user_id, run, rn, event_id, ts, now AS value, false AS hit, CASE WHEN now IS NOT NULL THEN ts END AS loaded_at FROM n WHERE rn = 1
+      UNION ALL SELECT n.user_id, n.run, n.rn, n.event_id, n.ts, CASE WHEN coalesce(n.ts < c.loaded_at + 172800000000, false) THEN c.value ELSE n.now END,
+      coalesce(n.ts < c.loaded_at + 172800000000, false),
+      CASE WHEN coalesce(n.ts < c.loaded_at + 172800000000, false) THEN c.loaded_at WHEN n.now IS NOT NULL THEN n.ts END
+      FROM c JOIN n ON n.user_id = c.user_id AND n.run = c.run AND n.rn = c.rn + 1)
+    SELECT user_id, ts, event_id, value, hit, loaded_at FROM c"""
+
+
+@query("table_cached_ttl", CACHED)
+def table_cached_ttl(t):
+    reads = t.events.filter(F.col("event_type").isin("view", "click")).select("user_id", "ts", "event_id")
+    writes = t.events.filter("event_type = 'purchase'").select("user_id", "ts", "event_id", "value")
+    return ops.cached_reads(reads, writes, "user_id", "ts", "event_id", "value", write_ttl=2 * DAY, read_ttl=DAY)
+
+
 @query(
     "table_lookup_distinct",
     """SELECT l_orderkey, l_linenumber, s_name AS supplier FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey""",

@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from tidegate.apps.stock import session_of
 from tidegate.operators import joins, triggers, windows
+from tidegate.plans.joins import EPOCH_ROWS, EPOCHS, epoch_of
 from tidegate.plans.nexmark import SELECTED, euros
 from tidegate.plans.windows import ANY_THREE, SESSIONS, THREE, WEEK
 from tidegate.registry import ORACLES, query
@@ -407,3 +408,14 @@ def join_completion_stream(t):
     )
     with state_store(t.spark):
         return run_append(ps.stateful(parts, ["key", "epoch"], ps.JoinCompletion(5), ps.JoinCompletion.SCHEMA))
+
+
+@query("join_completion_epochs_stream", f"WITH {EPOCHS} SELECT user_id AS key, {EPOCH_ROWS}")
+def join_completion_epochs_stream(t):
+    parts = stream(t).withWatermark("ts", "1 day").select(
+        F.col("user_id").alias("key"), epoch_of("props").alias("epoch"), F.col("event_type").alias("part"),
+        F.unix_micros("ts").alias("ts"), F.col("event_id").alias("id"), F.col("ts").alias("at"),
+    )
+    with state_store(t.spark):
+        machine = ps.CompletionEpochs(3, idle_us=365 * 24 * HOUR_US)
+        return run_append(ps.stateful(parts, ["key"], machine, machine.SCHEMA, timers=True))

@@ -382,6 +382,54 @@ class JoinCompletion(StatefulProcessor):
         pass
 
 
+class CompletionEpochs(StatefulProcessor):
+    """Completion over epochs, per key: parts of the newest epoch are gathered, older ones are ignored, and a newer epoch
+    takes the place of the open one, which is an INCOMPLETE row unless it was COMPLETED. State: one epoch, and its
+    parts until it is complete. With ``idle_us`` (and timers) a complete epoch's state ends when the watermark is
+    so far past the key's last message; a key that speaks again begins anew."""
+
+    SCHEMA = "key bigint, epoch bigint, status string, parts bigint, at bigint"
+
+    def __init__(self, expected: int, idle_us: int | None = None):
+        self.expected, self.idle = expected, idle_us
+
+    def init(self, handle) -> None:
+        self.open = handle.getValueState("open", "epoch bigint, parts bigint, last bigint")
+        self.parts = handle.getMapState("parts", "part string", "seen boolean")
+        self.timer = OneTimer(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        epoch, n, last = self.open.get() if self.open.exists() else (None, 0, 0)
+        out = []
+        for row in arrivals(rows, "ts", "id").itertuples(index=False):
+            last = max(last, int(row.ts))
+            if epoch is not None and row.epoch < epoch:
+                continue
+            if epoch is None or row.epoch > epoch:
+                if epoch is not None and n < self.expected:
+                    out.append((*key, epoch, "INCOMPLETE", n, int(row.ts)))
+                epoch, n = int(row.epoch), 0
+                self.parts.clear()
+            if n < self.expected and not self.parts.containsKey((row.part,)):
+                self.parts.updateValue((row.part,), (True,))
+                n += 1
+                if n == self.expected:
+                    out.append((*key, epoch, "COMPLETED", n, int(row.ts)))
+                    self.parts.clear()
+        self.open.update((epoch, n, last))
+        if self.idle is not None:
+            self.timer.set((last + self.idle) // 1000 + 1 if n == self.expected else None)
+        yield pd.DataFrame(out, columns=names(self.SCHEMA))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.expired()
+        self.open.clear()
+        yield pd.DataFrame([], columns=names(self.SCHEMA))
+
+    def close(self) -> None:
+        pass
+
+
 class MatchOrders(StatefulProcessor):
     """Continuous matching of a (security, session). State: the open orders."""
 
