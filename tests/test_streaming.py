@@ -1,5 +1,6 @@
 """State over several micro-batches and over a restart: the stream's result is the batch's."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -127,6 +128,74 @@ def test_watermark_holds_rows_back(spark, tables, split_events):
     assert order.filter("d <> n OR m <> n").count() == 0
 
 
+def test_a_timer_reads_its_own_bucket():
+    """Stand-ins for the state: a timer reads no other bucket, and a message no other than its own."""
+
+    class Held(dict):
+        def __init__(self):
+            self.read = []
+
+        def getValue(self, k):
+            self.read.append(k[0])
+            return self[k]
+
+        def containsKey(self, k):
+            return k in self
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    class Handle:
+        timers: set = set()
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Place:
+        n = None
+
+        def exists(self):
+            return self.n is not None
+
+        def get(self):
+            return self.n
+
+        def update(self, v):
+            self.n = v
+
+    class At:
+        def __init__(self, t):
+            self.t = t
+
+        def getCurrentWatermarkInMs(self):
+            return self.t
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    callback = ps.WatermarkCallback(bucket_ms=10)
+    callback.handle, callback.held, callback.place = Handle(), Held(), Place()
+    sent = [(i * 1000 + 7, i) for i in range(100)]  # 100 ms, ten buckets
+    for batch in (sent[50:], sent[:50][::-1]):
+        list(callback.handleInputRows((1,), [pd.DataFrame(batch, columns=["ts", "id"])], None))
+    assert callback.handle.timers == {i * 10 + 1 for i in range(10)}
+    callback.held.read.clear()
+    got = []
+    for t in (1, 11, 21):  # the watermark is at 25 ms: two buckets have passed, and half of the third
+        callback.handle.timers.remove(t)
+        got += pd.concat(callback.handleExpiredTimer((1,), At(25), At(t))).to_numpy().tolist()
+    assert [(g[1], g[2], g[3]) for g in got] == [(ts, i, i + 1) for ts, i in sent[:25]]
+    assert callback.held.read == [0, 1, 2] and 26 in callback.handle.timers
+    callback.held.read.clear()
+    list(callback.handleInputRows((1,), [pd.DataFrame([(55_000, 500)], columns=["ts", "id"])], None))
+    assert callback.held.read == [5]
+
+
 def test_completion(spark, tables, split_events):
     month = F.date_trunc("month", "ts")
     parts = stream(spark, split_events).select(

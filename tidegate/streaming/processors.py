@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import astuple, fields
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
@@ -293,37 +294,56 @@ class QuietTimer(StatefulProcessor):
 
 class WatermarkCallback(StatefulProcessor):
     """Hold each key's messages back until the watermark passes them, then emit them in time order.
-    State: the messages not yet passed."""
+
+    State: an index of the messages by time, a bucket of ``bucket_ms`` each, with the bucket's first time, and how many
+    have been emitted. A bucket has a timer of its own, at its first message; a timer reads and sorts that bucket
+    alone, and a new message touches only the bucket it falls into. A bucket is packed into one value."""
 
     SCHEMA = "key bigint, ts bigint, id bigint, place bigint"
 
+    def __init__(self, bucket_ms: int = 3_600_000):
+        self.width = bucket_ms * 1000
+
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ts bigint, id bigint")
+        self.held = handle.getMapState("held", "bucket bigint", "first bigint, rows binary")
         self.place = handle.getValueState("place", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = arrivals(rows, "ts", "id")
-        self.held.appendList([(int(r.ts), int(r.id)) for r in new.itertuples(index=False)])
-        self.handle.registerTimer(self._due(new["ts"].iloc[0]))
-        yield pd.DataFrame([], columns=["key", "ts", "id", "place"])
+        for frame in rows:
+            messages = frame[["ts", "id"]].to_numpy("int64")
+            bucket = messages[:, 0] // self.width
+            for b in np.unique(bucket):
+                self._hold(int(b), messages[bucket == b])
+        yield pd.DataFrame([], columns=names(self.SCHEMA))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(h) for h in self.held.get()) if self.held.exists() else []
-        ready = [h for h in held if self._due(h[0]) <= passed]
-        rest = held[len(ready):]
-        if rest:
-            self.held.put(rest)
-            self.handle.registerTimer(self._due(rest[0][0]))
-        else:
-            self.held.clear()
+        bucket = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.width
+        _, packed = self.held.getValue((bucket,))
+        self.held.removeKey((bucket,))
+        messages = np.frombuffer(packed, "int64").reshape(-1, 2)
+        ready = messages[:, 0] // 1000 + 1 <= passed
+        if not ready.all():
+            self._hold(bucket, messages[~ready])
+        out = messages[ready]
+        out = out[np.lexsort((out[:, 1], out[:, 0]))]
         n = self.place.get()[0] if self.place.exists() else 0
-        self.place.update((n + len(ready),))
-        yield pd.DataFrame([(key[0], h[0], h[1], n + i + 1) for i, h in enumerate(ready)], columns=["key", "ts", "id", "place"])
-
-    def _due(self, ts) -> int:
-        return int(ts) // 1000 + 1
+        self.place.update((n + len(out),))
+        yield pd.DataFrame({"key": key[0], "ts": out[:, 0], "id": out[:, 1], "place": np.arange(n + 1, n + len(out) + 1)})
+
+    def _hold(self, bucket: int, messages: np.ndarray) -> None:
+        """Add messages to a bucket, whose timer is at the first of them."""
+        first, packed = int(messages[:, 0].min()), messages.tobytes()
+        if self.held.containsKey((bucket,)):
+            old, before = self.held.getValue((bucket,))
+            packed = before + packed
+            if old // 1000 <= first // 1000:
+                first = old
+            else:
+                self.handle.deleteTimer(old // 1000 + 1)
+        self.held.updateValue((bucket,), (first, packed))
+        self.handle.registerTimer(first // 1000 + 1)
 
     def close(self) -> None:
         pass
