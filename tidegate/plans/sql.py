@@ -64,6 +64,16 @@ sql_query(
     kafka__events="events",
 )
 
+sql_query(
+    "sql_literal_names",
+    """SELECT event_type || ' sum0(v) from kafka.events' AS told, 'tumble(a, b) -- flatten(x' AS kept, -- flatten(a), flatten(b), tumble(
+    SUM0(CASE WHEN event_type = 'sum0(' THEN 1 ELSE event_id % 7 END) AS total /* sum0(x) */ FROM kafka.events
+    GROUP BY event_type, TUMBLE(ts, INTERVAL '30' DAY)""",
+    """SELECT event_type || ' sum0(v) from kafka.events' AS told, 'tumble(a, b) -- flatten(x' AS kept, CAST(sum(event_id % 7) AS BIGINT) AS total
+    FROM events GROUP BY event_type, time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01')""",
+    kafka__events="events",
+)
+
 for how, name in (("JOIN", "sql_join_inner"), ("LEFT JOIN", "sql_join_left")):
     sql_query(
         name,

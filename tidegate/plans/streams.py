@@ -365,6 +365,25 @@ def sql_stream_upsert(t):
     return cat.read("store.last.$table")
 
 
+@query(
+    "sql_stream_upsert_twice",
+    """SELECT user_id AS __key__, CASE WHEN max(event_id) FILTER (event_type = 'click') IS NULL THEN arg_max(event_type, (ts, event_id))
+    ELSE 'batch' END AS last_type FROM events GROUP BY user_id""",
+)
+def sql_stream_upsert_twice(t):
+    # The last message of each key by its time; then a batch changes some keys; the stream's statement once more has
+    # nothing new to put, so the later values stay.
+    cat = StreamCatalog(t.spark)
+    cat.source("kafka.clicks", stream(t))
+    cat.source("store.clicks", t.events)
+    cat.sink("store.kinds.$table")
+    streamed = """UPSERT INTO store.kinds.$table SELECT user_id AS __key__, event_type AS last_type, struct(ts, event_id) AS __order__ FROM kafka.clicks"""
+    cat.insert(streamed)
+    cat.insert("UPSERT INTO store.kinds.$table SELECT DISTINCT user_id AS __key__, 'batch' AS last_type FROM store.clicks WHERE event_type = 'click'")
+    cat.insert(streamed)
+    return cat.read("store.kinds.$table")
+
+
 @query(
     "nexmark_q8_stream",
     """SELECT DISTINCT p.user_id AS id, epoch_us(date_trunc('day', p.ts)) AS day FROM events p JOIN events a ON p.user_id = a.user_id
