@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ REPLICAS = 4
 WITHIN = 1.15
 SEARCH_WITHIN = 1.6
 SEARCH_LISTS = 256
+FIRST_LISTS = 8  # searched first, for the distance that the other lists' vectors must not exceed
 PART_ROWS = 4_096
 
 
@@ -118,19 +120,18 @@ class CentroidGraph:
         return best, np.take_along_axis(squares, best, 1)
 
 
-def build_lists(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
+def build_lists(vectors: DataFrame, graph: Broadcast) -> DataFrame:
     """(list_no, id, v): every vector, in the list of its nearest centroid and, at a boundary, of others as near.
 
     A vector is copied to the lists whose centroids are at most WITHIN times as far as the nearest, REPLICAS at most.
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(centroids)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = np.array(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
-                lists, squares = graph.nearest(x, REPLICAS)
+                lists, squares = graph.value.nearest(x, REPLICAS)
                 chosen = squares <= squares[:, :1] * WITHIN**2
                 rows, which = np.nonzero(chosen)
                 yield pa.RecordBatch.from_arrays(
@@ -141,24 +142,26 @@ def build_lists(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(place, "list_no int, id bigint, v array<double>")
 
 
-def choose_lists(queries: DataFrame, centroids: np.ndarray, most: int, within: float | None) -> DataFrame:
-    """(list_no, id, v): the lists to search for each query: of the ``most`` nearest centroids those at most ``within``
-    times as far as the nearest, or all."""
+def choose_lists(queries: DataFrame, graph: Broadcast, most: int, within: float | None) -> DataFrame:
+    """(list_no, place, id, v): the lists to search for each query, nearest first: of the ``most`` nearest centroids
+    those at most ``within`` times as far as the nearest, or all."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = CentroidGraph(centroids)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = np.array(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
-                lists, squares = graph.nearest(x, most)
+                lists, squares = graph.value.nearest(x, most)
                 rows, which = np.nonzero(squares <= squares[:, :1] * within**2 if within else np.isfinite(squares))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists[rows, which].astype(np.int32)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))],
-                    ["list_no", "id", "v"],
-                )
+                    [
+                        pa.array(lists[rows, which].astype(np.int32)), pa.array(which.astype(np.int32)),
+                        part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)),
+                    ],
+                    ["list_no", "place", "id", "v"],
+                )
 
-    return queries.mapInArrow(choose, "list_no int, id bigint, v array<double>")
+    return queries.mapInArrow(choose, "list_no int, place int, id bigint, v array<double>")
 
 
 def nearest_in(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,28 +183,47 @@ def nearest_in(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, many:
     return rows[kept], ids[at[kept]], exact[kept]
 
 
-def _compared(lists: DataFrame, searched: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(of, score, ids): the k + 1 nearest vectors to each query among its lists, with the rows that have them."""
+def _compared(lists: DataFrame, searched: DataFrame, k: int) -> DataFrame:
+    """(of, id, score): vectors of the lists searched for each query, the k + 1 nearest of each part of a list, and of
+    these only those at most ``most`` away, the query's own limit."""
     parts = lists.groupBy("list_no").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     shares = searched.groupBy("list_no").agg(F.ceil(F.count("*") / PART_ROWS).alias("shares"))
     plan = parts.join(shares, "list_no")
     hashed = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
     stored = lists.join(plan, "list_no").select("list_no", hashed("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "v")
-    sought = searched.join(plan, "list_no").select("list_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), hashed("shares").alias("share"), "id", "v")
+    sought = searched.join(plan, "list_no").select("list_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), hashed("shares").alias("share"), "id", "v", "most")
     by = ["list_no", "part", "share"]
 
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"of": [], "id": [], "score": []}).astype({"of": "int64", "id": "int64", "score": "float64"})
         x, y = np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy())
-        asking, ids = queries["id"].to_numpy(), rows["id"].to_numpy()
-        got = [nearest_in(x[a : a + 256], ids, y, k + 1) for a in range(0, len(x), 256)]
-        of = np.concatenate([asking[a : a + 256][g[0]] for a, g in zip(range(0, len(x), 256), got)])
-        return pd.DataFrame({"of": of, "id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
+        asking, ids, most = queries["id"].to_numpy(), rows["id"].to_numpy(), queries["most"].to_numpy()
+        out = []
+        for a in range(0, len(x), 256):
+            row, found, score = nearest_in(x[a : a + 256], ids, y, k + 1)
+            near = score <= most[a : a + 256][row]
+            out.append(pd.DataFrame({"of": asking[a : a + 256][row[near]], "id": found[near], "score": score[near]}))
+        return pd.concat(out)
+
+    return sought.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(compare, "of bigint, id bigint, score double").distinct()
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("p", F.row_number().over(Window.partitionBy("of").orderBy("score", "id"))).filter(F.col("p") <= k + 1)
+
+
+def _searched(lists: DataFrame, searched: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(of, score, ids): the k + 1 nearest vectors to each query among its lists, with the rows that have them.
 
-    found = sought.groupBy(*by).cogroup(stored.groupBy(*by)).applyInPandas(compare, "of bigint, id bigint, score double").distinct()
-    near = found.withColumn("p", F.row_number().over(Window.partitionBy("of").orderBy("score", "id"))).filter(F.col("p") <= k + 1)
-    return near.join(members.select("id", "ids"), "id").select("of", "score", "ids")
+    The nearest lists come first. The k + 1st distance in them is a limit for all others, whose tasks give out only
+    what is not farther; that loses no neighbour, and what leaves the tasks does not grow with the lists searched."""
+    anywhere = F.lit(float("inf"))
+    first = materialized(_nearest(_compared(lists, searched.filter(F.col("place") < FIRST_LISTS).withColumn("most", anywhere), k), k), "first-lists")
+    limits = first.filter(F.col("p") == k + 1).select(F.col("of").alias("id"), F.col("score").alias("limit"))
+    others = searched.filter(F.col("place") >= FIRST_LISTS).join(limits, "id", "left").withColumn("most", F.coalesce("limit", anywhere))
+    both = first.drop("p").unionByName(_compared(lists, others.drop("limit"), k)).distinct()
+    return _nearest(both, k).join(members.select("id", "ids"), "id").select("of", "score", "ids")
 
 
 def search(
@@ -214,8 +236,8 @@ def search(
     The centroids are fitted on about ``sample_rows`` rows, MOST_CENTROIDS at most, so what is broadcast has a bound;
     every vector is listed. Equal vectors are searched as one: the k + 1 smallest ids of each are enough for any
     query, so a vector that fills a third of the table costs no more than another. Lists longer than PART_ROWS are
-    dealt into parts, as are the queries of a list, and each task compares one part with one part; only k + 1 rows
-    per query and part leave it. A query whose lists hold fewer than k other rows is asked of more lists, and at last
+    dealt into parts, as are the queries of a list, and each task compares one part with one part; at most k + 1 rows
+    per query and part leave it, and beyond the FIRST_LISTS nearest lists none farther than the k + 1st so far. A query whose lists hold fewer than k other rows is asked of more lists, and at last
     of all vectors, so it gets fewer than k rows only if the table has no more.
 
     Rows with a null id or with a vector that is null, zero or not finite take no part, nor do vectors of another
@@ -237,20 +259,22 @@ def search(
     sample = np.array([r["v"] for r in chosen.collect()] or [members.select("v").first()["v"]])
     centroids = balanced_centroids(sample, int(max(1, min(MOST_CENTROIDS, n // LIST_ROWS, len(sample) // 4))))
 
-    lists = materialized(build_lists(members.select("id", "v"), centroids), "lists")
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids))  # MOST_CENTROIDS at most
+    lists = materialized(build_lists(members.select("id", "v"), graph), "lists")
     asked = known.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").distinct()
     asked = materialized(asked.join(members.select("v", F.col("id").alias("of")), "v").select("query_id", "of", "v"), "queries")
-    searched = materialized(choose_lists(asked.select(F.col("of").alias("id"), "v").distinct(), centroids, most_lists, within), "sought")
+    searched = materialized(choose_lists(asked.select(F.col("of").alias("id"), "v").distinct(), graph, most_lists, within), "sought")
 
-    near = materialized(_compared(lists, searched, members, k), "near")
+    near = materialized(_searched(lists, searched, members, k), "near")
     # Queries whose lists hold too few: the nearest lists however far they are, then the whole table as one list.
-    for wider in (lambda q: (lists, choose_lists(q, centroids, most_lists, None)), lambda q: tuple(d.select(F.lit(0).alias("list_no"), "id", "v") for d in (members, q))):
+    whole = lambda df: df.select(F.lit(0).alias("list_no"), F.lit(0).alias("place"), "id", "v")
+    for wider in (lambda q: (lists, choose_lists(q, graph, most_lists, None)), lambda q: (whole(members), whole(q))):
         held = near.groupBy("of").agg(F.sum(F.size("ids")).alias("held"))
         wanting = asked.select("of", "v").distinct().join(held, "of", "left").filter(F.coalesce("held", F.lit(0)) < k + 1)
         wanting = materialized(wanting.select(F.col("of").alias("id"), "v"), "wanting")
         if wanting.isEmpty():
             break
-        more = materialized(_compared(*wider(wanting), members, k), "near")
+        more = materialized(_searched(*wider(wanting), members, k), "near")
         near = near.join(wanting.select(F.col("id").alias("of")), "of", "left_anti").unionByName(more)
 
     spread = near.select("of", "score", F.explode("ids").alias("vec_id"))
