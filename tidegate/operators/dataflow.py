@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,21 @@ def partition_by(df: DataFrame, key: Column, parts: int) -> DataFrame:
     return df.repartition(parts, key)
 
 
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_all(df: DataFrame, parts: int, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """Every message to each of ``parts`` partitions: the rows with the number of their partition as ``part``.
+
+    What all tasks get must be small: a table of more than ``most_rows`` rows is refused. Its first ``most_rows`` + 1
+    rows are enough to tell.
+    """
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} messages are too many to go to every partition")
+    copies = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return copies.repartitionById(parts, F.col("part"))
+
+
 def fan_out(df: DataFrame, routes: dict[str, Column]) -> DataFrame:
     """Copy each message to every output whose predicate holds, in one pass over the input."""
     names = F.array_compact(F.array(*[F.when(p, F.lit(name)) for name, p in routes.items()]))
@@ -65,3 +83,29 @@ def _pick(parts: Column, separator: str, spec: str) -> Column:
         count = F.size(parts) if dash and not last else F.lit(int(last or first) - int(first) + 1)
         pieces.append(F.slice(parts, int(first) + 1, count))
     return F.array_join(F.concat(*pieces), separator) if pieces else F.lit("")
+
+
+class Lifecycle(Protocol):
+    """A function with a life: made once per task, closed once, also when the task fails or is stopped early."""
+
+    def apply(self, batch: pa.RecordBatch) -> pa.RecordBatch: ...
+
+    def close(self) -> None: ...
+
+
+def map_with_lifecycle(df: DataFrame, init: Callable[[int], Lifecycle], schema: str) -> DataFrame:
+    """Map Arrow batches by a function that ``init`` makes in each task, from the task's partition number. A task that
+    gets no rows makes none. A function whose ``init`` fails is not closed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = None
+        try:
+            for batch in batches:
+                if made is None:
+                    made = init(TaskContext.get().partitionId())
+                yield made.apply(batch)
+        finally:
+            if made is not None:
+                made.close()
+
+    return df.mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from tidegate.operators import dataflow as ops
 from tidegate.registry import query
+from tidegate.session import materialized
 
 
 @query("op_map", "SELECT event_id, -CAST(floor(value * 100) AS BIGINT) AS negated, upper(event_type) AS kind FROM events")
@@ -50,6 +53,18 @@ def op_partition_by(t):
     return per_part.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("partitions"), F.sum("n").alias("n"))
 
 
+@query(
+    "op_broadcast_all",
+    """SELECT CAST(part AS INT) AS task, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events, range(8) AS p(part)
+    WHERE event_type = 'signup' GROUP BY part""",
+)
+def op_broadcast_all(t):
+    # A control stream that every task of eight sees whole; each tells what it got.
+    control = t.events.filter("event_type = 'signup'").select("event_id")
+    seen = ops.broadcast_all(control, 8).withColumn("task", F.spark_partition_id())
+    return seen.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(
     "op_broadcast",
     """SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
@@ -127,3 +142,31 @@ def map_chain(t):
         lambda d: d.filter("n > 1"),
         lambda d: d.select("kind", F.concat(F.lit("n="), "n").alias("total")),
     )
+
+
+@query(
+    "fn_lifecycle",
+    """SELECT event_type, count(*) AS n, 16 AS opened, 16 AS closed, (SELECT count(*) FROM events) AS seen FROM events GROUP BY event_type""",
+)
+def fn_lifecycle(t):
+    # Sixteen tasks, so sixteen functions are made and closed; each tells how many rows it saw when it is closed.
+    context = t.spark.sparkContext
+    opened, closed, seen = (context.accumulator(0) for _ in range(3))
+
+    class Upper:
+        def __init__(self, part):
+            self.rows = 0
+            opened.add(1)
+
+        def apply(self, batch):
+            self.rows += batch.num_rows
+            return pa.RecordBatch.from_arrays([pc.utf8_upper(batch.column(0))], ["kind"])
+
+        def close(self):
+            closed.add(1)
+            seen.add(self.rows)
+
+    kinds = ops.map_with_lifecycle(t.events.select("event_type").repartition(16), Upper, "kind string")
+    done = materialized(kinds, "kinds")
+    counted = done.groupBy(F.lower("kind").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumns({"opened": F.lit(opened.value), "closed": F.lit(closed.value), "seen": F.lit(seen.value).cast("bigint")})
