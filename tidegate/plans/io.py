@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tidegate.registry import query
-from tidegate.session import work_path
+from tidegate.session import materialized, work_path
 from tidegate.sinks import writers
 from tidegate.sinks.tables import KeyedTable
 from tidegate.sources import readers
+from tidegate.streaming.harness import run_append
 
 TYPES_SQL = "SELECT event_type, event_id FROM events"
 
@@ -115,12 +114,40 @@ def sink_seqfile(t):
     return readers.sequence_file(t.spark, path, "key string, value string")
 
 
-@query("src_combine", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("sink_binary", "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_type AS kind FROM events")
+def sink_binary(t):
+    # Eight bytes of the number, then text, against the bytes of another text.
+    path = work_path(t.spark, "binary")
+    pairs = t.events.select(
+        F.concat(F.to_binary(F.lpad(F.hex("event_id"), 16, "0"), F.lit("hex")), F.col("user_id").cast("string").cast("binary")).alias("k"),
+        F.col("event_type").alias("v"),
+    )
+    writers.binary_sequence_file(pairs, path, "k", "v")
+    rows = readers.sequence_file(t.spark, path, "k binary, v binary")
+    number = F.conv(F.hex(F.substring("k", 1, 8)), 16, 10).cast("bigint")
+    return rows.select(number.alias("event_id"), F.expr("substring(k, 9)").cast("string").alias("user_id"), F.col("v").cast("string").alias("kind"))
+
+
+@query("src_stream_text", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
+def src_stream_text(t):
+    # Files of lines as a stream, one file in a micro-batch.
+    path = work_path(t.spark, "lines")
+    t.documents.select("text").repartition(4).write.text(path)
+    return run_append(readers.text_stream(t.spark, path, 1)).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_combine", "SELECT event_type, count(*) AS n, 40 AS files, true AS packed FROM events GROUP BY event_type")
 def src_combine(t):
-    # Many small files, packed into few tasks by Spark's own file packing.
+    # Forty small files, packed into half as many tasks or fewer.
     path = work_path(t.spark, "small")
     t.events.select("event_id", "event_type").repartition(40).write.parquet(path)
-    return t.spark.read.schema("event_id bigint, event_type string").parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    files = t.spark.read.schema("event_id bigint, event_type string").parquet(path)
+    total = files.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.count(F.lit(1)), F.sum("file_size")).first()
+    with readers.packed_reads(t.spark, max(1, total[1] // 10)):
+        read = materialized(files.select("event_type", F.spark_partition_id().alias("task")), "packed")
+    tasks = read.agg(F.count_distinct("task")).first()[0]
+    counted = read.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumns({"files": F.lit(total[0]).cast("int"), "packed": F.lit(2 * tasks <= total[0])})
 
 
 @query(
@@ -137,13 +164,17 @@ def src_multi_input(t):
     )
 
 
-@query("src_range_splits", "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem")
+@query(
+    "src_range_splits",
+    """SELECT l_orderkey, l_partkey, l_extendedprice, CAST(least((l_orderkey - low) // greatest((high - low) // 8, 1), cuts) AS INTEGER) AS split
+    FROM lineitem, (SELECT min(l_orderkey) AS low, max(l_orderkey) AS high,
+      least((max(l_orderkey) - min(l_orderkey) - 1) // greatest((max(l_orderkey) - min(l_orderkey)) // 8, 1), 8) AS cuts FROM lineitem)""",
+)
 def src_range_splits(t):
-    # Each split is one query, as against a database: together they give every row once.
+    # Each split's predicate would be one query against a database; here one scan tells which split a row falls in.
     low, high = t.lineitem.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
     splits = readers.range_predicates("l_orderkey", low, high, 8, has_nulls=True)
-    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice")
-    return reduce(lambda a, b: a.unionByName(b), [rows.filter(p) for p in splits])
+    return readers.tagged_splits(t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice"), splits)
 
 
 @query("src_xml_records", "SELECT page_id, url FROM pages")

@@ -45,6 +45,12 @@ def sequence_file(df: DataFrame, path: str, key: str, value: str) -> None:
     df.select(key, value).rdd.map(lambda r: (r[0], r[1])).saveAsSequenceFile(path)
 
 
+def binary_sequence_file(df: DataFrame, path: str, key: str, value: str) -> None:
+    """Pairs of bytes; a column of another type is written as its bytes. A null becomes no bytes."""
+    pair = [F.coalesce(F.col(c).cast("binary"), F.lit(b"")) for c in (key, value)]
+    df.select(*pair).rdd.map(tuple).saveAsSequenceFile(path)
+
+
 def lazy(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """No file for an empty partition: the rows are rebalanced into as many files as they need."""
     df.hint("rebalance").write.mode("append").format(fmt).save(path)

@@ -87,6 +87,12 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def text_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The lines of a folder's files as a stream (column ``value``): files that are there, and those that come."""
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).text(path)
+
+
 def kv_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """Lines split at the first separator; without one the whole line is the key and the value is empty."""
     at = F.instr(F.col("value"), separator)
@@ -98,8 +104,10 @@ def kv_lines(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame
 
 
 def fixed_length(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """Binary records of one length, as column ``record``."""
-    return spark.sparkContext.binaryRecords(path, length).map(lambda r: (bytearray(r),)).toDF("record binary")
+    """Binary records of one length, as column ``record``. They go from the input format into rows within the JVM."""
+    records = spark.sparkContext._jsc.binaryRecords(path, length)
+    rows = spark._jsparkSession.createDataset(records.rdd(), spark._jvm.org.apache.spark.sql.Encoders.BINARY())
+    return DataFrame(rows.toDF(), spark).withColumnRenamed("value", "record")
 
 
 def n_line_groups(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -149,16 +157,19 @@ def auto_text(spark: SparkSession, path: str) -> DataFrame:
 @contextmanager
 def packed_reads(spark: SparkSession, split_bytes: int):
     """Inside the block, jobs pack many small files into tasks of about ``split_bytes``. Spark packs by
-    default too, up to 128 MB with a charge of 4 MB for each file."""
-    wanted = {"spark.sql.files.maxPartitionBytes": str(split_bytes), "spark.sql.files.openCostInBytes": "0"}
-    old = {k: spark.conf.get(k) for k in wanted}
+    default too, up to 128 MB with a charge of 4 MB for each file, but so as to keep all cores busy."""
+    wanted = {"spark.sql.files.maxPartitionBytes": str(split_bytes), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield spark
     finally:
         for k, v in old.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def multi_input(inputs: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
@@ -197,6 +208,14 @@ def range_predicates(column: str, low, high, splits: int, has_nulls: bool = Fals
     return parts + ([f"{column} IS NULL"] if has_nulls else [])
 
 
+def tagged_splits(df: DataFrame, predicates: list[str]) -> DataFrame:
+    """The rows with the number of the split they fall in, as ``split``, in one scan; a row that falls in none, or in
+    more than one, is an error."""
+    numbers = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(i)) for i, p in enumerate(predicates)]))
+    wrong = F.raise_error(F.concat(F.lit("splits of a row: "), F.to_json(numbers)))
+    return df.withColumn("split", F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0))).otherwise(wrong.cast("int")))
+
+
 def _cuts(low, high, splits: int) -> list:
     step = (high - low) / max(splits, 1)
     if isinstance(low, int):
