@@ -333,23 +333,25 @@ def test_book_price_then_time():
     assert book.add(6, "S", 98, 4) == [(5, 6, 98, 1)]
 
 
-def test_matching_keeps_volume_and_uncrosses(spark, tables):
-    orders = tables.stock_order
-    trades = stock.match_orders(orders, "year").toPandas()
-    book_orders = orders.withColumn("session", F.date_format(F.date_trunc("year", F.col("ts")), "yyyy-MM-dd")).toPandas()
-    assert len(trades) and (trades["volume"] > 0).all()
-    for (security, session), part in book_orders.groupby(["security", "session"]):
-        mine = trades[(trades["security"] == security) & (trades["session"] == session)]
-        book, expected = Book(), []
-        ordered = part.sort_values(["ts", "order_no", "line", "part_id", "cents", "volume", "side"])
-        for r in ordered.itertuples(index=False):
-            expected += book.add(r.order_no, r.side, r.cents, r.volume)
-        got = list(mine[["buy_order", "sell_order", "cents", "volume"]].itertuples(index=False, name=None))
-        assert got == expected
-        rest = sum(o[3] for o in book.buys) + sum(o[3] for o in book.sells)
-        assert part["volume"].sum() == rest + 2 * mine["volume"].sum()
-        if book.buys and book.sells:
-            assert abs(book.buys[0][0]) < abs(book.sells[0][0])
+def test_matching_against_a_plain_matcher(spark, tables):
+    """Each order looks through all resting ones for the best price, the oldest first, until it is met or none fits."""
+    columns = ["security", "session", "side", "cents", "order_no", "volume"]
+    orders = tables.stock_order.withColumn("session", stock.session_of(F.col("ts"), "year"))
+    arriving = orders.orderBy("ts", "order_no", "line", "part_id", "cents", "volume", "side").select(*columns).collect()
+    resting, want = {}, []
+    for security, session, side, cents, order_no, volume in map(tuple, arriving):
+        book = resting.setdefault((security, session), [])  # [side, cents, order_no, volume], oldest first
+        while volume:
+            fits = [o for o in book if o[0] != side and o[3] and (o[1] <= cents if side == "B" else o[1] >= cents)]
+            if not fits:
+                book.append([side, cents, order_no, volume])
+                break
+            best = min(o[1] for o in fits) if side == "B" else max(o[1] for o in fits)
+            met = next(o for o in fits if o[1] == best)
+            traded = min(volume, met[3])
+            volume, met[3] = volume - traded, met[3] - traded
+            want.append((security, session, *((order_no, met[2]) if side == "B" else (met[2], order_no)), met[1], traded))
+    assert len(want) > 100 and rows(stock.match_orders(tables.stock_order, "year")) == sorted(want, key=repr)
 
 
 def test_order_codec(spark):

@@ -103,15 +103,19 @@ def test_running_totals_over_a_restart(spark, tables, split_events, folder):
     assert rows(got, "id", "key", "seen", "top") == rows(want, "event_id", "user_id", "seen", "top")
 
 
-def test_matching_over_batches(spark, tables, folder):
-    orders = tables.stock_order.withColumn("session", F.date_format(F.date_trunc("year", F.col("ts")), "yyyy-MM-dd"))
+@pytest.mark.parametrize("ending", [False, True])
+def test_matching_over_batches(spark, tables, folder, ending):
+    orders = tables.stock_order.withColumn("session", stock.session_of(F.col("ts"), "year"))
+    if ending:  # state ends with its session, as the watermark passes the year's end
+        orders = orders.withColumn("until", stock.session_end(F.col("ts"), "year")).withColumn("at", F.col("ts"))
     schema = orders.withColumn("ts", F.unix_micros("ts")).schema
-    late = F.month("ts") > 6
-    for i, half in enumerate((~late, late)):
-        orders.filter(half).withColumn("ts", F.unix_micros("ts")).coalesce(1).write.parquet(f"{folder}/in/p={i}")
+    parts = orders.withColumn("part", F.ntile(4).over(Window.orderBy("ts")))
+    for i in range(4):
+        parts.filter(F.col("part") == i + 1).drop("part").withColumn("ts", F.unix_micros("ts")).coalesce(1).write.parquet(f"{folder}/in/p={i}")
     arrivals = file_stream(spark, f"{folder}/in/*", schema, files_per_batch=1)
+    arrivals = arrivals.withWatermark("at", "1 day") if ending else arrivals
     with state_store(spark):
-        got = run_append(ps.stateful(arrivals, ["security", "session"], ps.MatchOrders(), ps.MatchOrders.SCHEMA))
+        got = run_append(ps.stateful(arrivals, ["security", "session"], ps.MatchOrders(), ps.MatchOrders.SCHEMA, timers=ending))
     assert rows(got) == rows(stock.match_orders(tables.stock_order, "year"))
 
 

@@ -82,6 +82,11 @@ def session_of(ts: Column, session: str | None) -> Column:
     return F.lit("") if session is None else F.date_format(F.date_trunc(session, ts), "yyyy-MM-dd")
 
 
+def session_end(ts: Column, session: str) -> Column:
+    """End of the trading session, in microseconds."""
+    return F.unix_micros(F.date_trunc(session, ts) + F.expr(f"INTERVAL 1 {session}"))
+
+
 def match_orders(orders: DataFrame, session: str | None = None) -> DataFrame:
     """Continuous matching by price, then time, per security.
 

@@ -78,6 +78,30 @@ def stock_match(t):
     return stock.match_orders(t.stock_order)
 
 
+@query(
+    "stock_match_checked",
+    """SELECT security, CAST(coalesce(sum(volume) FILTER (side = 'B'), 0) AS BIGINT) AS buys, CAST(coalesce(sum(volume) FILTER (side = 'S'), 0) AS BIGINT) AS sells,
+    true AS no_more_than_ordered, true AS uncrossed FROM stock_order GROUP BY security""",
+)
+def stock_match_checked(t):
+    # What must hold of any matching: no order trades more than its volume, and what is left does not cross.
+    trades = stock.match_orders(t.stock_order)
+    sides = [trades.select("security", F.col(f"{name}_order").alias("order_no"), F.lit(side).alias("side"), "volume") for name, side in (("buy", "B"), ("sell", "S"))]
+    traded = sides[0].unionByName(sides[1]).groupBy("security", "order_no", "side").agg(F.sum("volume").alias("traded"))
+    # Lines of one order, side and security are told apart by nothing, so prices are compared where there is one line.
+    orders = t.stock_order.groupBy("security", "order_no", "side").agg(
+        F.sum("volume").alias("volume"), F.when(F.count(F.lit(1)) == 1, F.max("cents")).alias("cents")
+    )
+    both = orders.join(traded, ["security", "order_no", "side"], "left").withColumn("traded", F.coalesce("traded", F.lit(0)))
+    rest, of = F.when(F.col("volume") > F.col("traded"), F.col("cents")), lambda side, c: F.when(F.col("side") == side, c)
+    checked = both.groupBy("security").agg(
+        F.coalesce(F.sum(of("B", F.col("volume"))), F.lit(0)).alias("buys"), F.coalesce(F.sum(of("S", F.col("volume"))), F.lit(0)).alias("sells"),
+        F.bool_and(F.col("traded") <= F.col("volume")).alias("no_more_than_ordered"),
+        F.coalesce(F.max(of("B", rest)) < F.min(of("S", rest)), F.lit(True)).alias("uncrossed"),
+    )
+    return checked
+
+
 @query(
     "spike_detect",
     """SELECT event_id, device, s / n AS moving_avg FROM (SELECT event_id, device, sum(CAST(round(value * 100) AS BIGINT)) OVER w AS s,

@@ -451,21 +451,25 @@ class CompletionEpochs(StatefulProcessor):
 
 
 class MatchOrders(StatefulProcessor):
-    """Continuous matching of a (security, session). State: the open orders."""
+    """Continuous matching of a (security, session). State: the open orders. Where rows have the session's end as
+    ``until``, in microseconds, the state ends when the watermark passes it; this needs timers."""
 
     SCHEMA = "security bigint, session string, buy_order bigint, sell_order bigint, cents bigint, volume bigint"
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.open = handle.getListState("open", "side string, cents bigint, order_no bigint, volume bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        book = Book()
+        book, known = Book(), self.open.exists()
         for side, cents, order_no, volume in (self.open.get() if self.open.exists() else []):
             book.add(order_no, side, cents, volume)
         new = arrivals(rows, "ts", "order_no", "line", "part_id", "cents", "volume", "side")
         trades = []
         for r in new.itertuples(index=False):
             trades += [(*key, *t) for t in book.add(int(r.order_no), r.side, int(r.cents), int(r.volume))]
+        if "until" in new and not known:
+            self.handle.registerTimer(int(new["until"].iloc[0]) // 1000 + 1)
         resting = [("B", o) for o in book.buys] + [("S", o) for o in book.sells]
         # Oldest first, so that the next batch rests them in the same order.
         resting.sort(key=lambda so: so[1][1])
@@ -475,6 +479,10 @@ class MatchOrders(StatefulProcessor):
             self.open.clear()
         yield pd.DataFrame(trades, columns=["security", "session", "buy_order", "sell_order", "cents", "volume"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.open.clear()
+        yield pd.DataFrame([], columns=names(self.SCHEMA))
+
     def close(self) -> None:
         pass
 
