@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -75,6 +76,17 @@ def test_near_groups(spark, odd, none):
     assert simhash.near_groups(none).count() == 0 == simhash.drop_near_duplicates(none).count()
 
 
+def test_segments_cost_least():
+    def probes(n):
+        balls = simhash.segment_balls(4, simhash.segments_for(n))
+        return sum(math.comb(width, b) for _, width, radius in balls for b in range(radius + 1))
+
+    assert [probes(n) for n in (1, 10**4, 10**5, 10**6, 10**7, 2 * 10**7)] == [20, 20, 45, 45, 45, 45]
+    assert probes(10**9) == 562  # with 45, each would meet thousands by chance
+    for n in (10**3, 10**6, 10**7, 10**8, 10**10):
+        assert simhash.lookup_cost(n, 4, simhash.segments_for(n)) <= min(simhash.lookup_cost(n, 4, k) for k in (2, 3, 4))
+
+
 @pytest.mark.parametrize("segments", [1, 2, 3, 4, 5])
 def test_balls_find_all_links(segments):
     balls, draw = simhash.segment_balls(4, segments), random.Random(3)

@@ -22,9 +22,41 @@ def test_kept(attributes):
 
 def test_wrapper_of_the_text():
     for name in ("sidebar-left", "comments", "social", "ad"):
-        assert html.extract(f'<body><div class="{name}"><article>{PART}</article></div></body>') == TEXT
         assert html.extract(f'<body><div id="{name}"><main>{PART}</main></div><p>x</p></body>') == TEXT
-        assert html.extract(f'<body><div class="{name}">{PART}</div></body>') == TEXT
+        if name != "comments":  # what readers say is no text of the page, even alone
+            assert html.extract(f'<body><div class="{name}"><article>{PART}</article></div></body>') == TEXT
+            assert html.extract(f'<body><div class="{name}">{PART}</div></body>') == TEXT
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-thread", "post-comments", "disqus_thread", "user-comments-list", "comment-area"])
+def test_comments_go_however_long_they_are(name):
+    said = "".join(f"<article><p>{LONG}</p></article><p>{LONG}</p>" for _ in range(3))
+    assert html.extract(f"<body><div id=content><p>Short text here.</p></div><div class='{name}'>{said}</div></body>") == "Short text here."
+    assert html.extract(f"<body><article>{PART}<section id='{name}'>{said}</section></article></body>") == TEXT
+
+
+CONTAINERS = """<body><div class="menu"><a href="/">home</a> <a href="/b">all of the blog</a></div><div class="wrap"><h1>Title of it</h1>
+<div><p>{0}</p></div><div><p>{1}</p><ul><li>one thing that counts</li><li>another, longer thing</li></ul></div></div>
+<div><a href="/1">Other story with a long headline to read next</a><a href="/2">A second story with such a headline as well</a>
+<a href="/3">The third of them is even longer than the others are</a></div><div class="footer">{0}</div></body>"""
+
+
+def test_pages_without_article_or_main():
+    """The density decides: text in several containers stays whole, parts that are links go."""
+    got = html.extract(CONTAINERS.format(LONG.strip(), TEXT * 2))
+    assert got == "\n".join(["Title of it", LONG.strip(), TEXT * 2, "one thing that counts", "another, longer thing"])
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 60_000 + "<p>x" * 60_000, "<div>" * 60_000 + "</article>" * 60_000, "<header>" * 60_000 + "text", "<b><table><td>" + "<i>" * 60_000 + "</b>" * 60_000,
+    "<li>" * 60_000 + "<ul>" * 60_000 + "<li>" * 60_000, "<div class=comments>" * 30_000 + "x", "<a>" * 60_000 + "</div><tr>" * 30_000,
+])
+def test_deep_pages_take_seconds(page):
+    import time
+
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 20
 
 
 def test_body_and_html():

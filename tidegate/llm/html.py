@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,9 @@ BESIDE = frozenset(
     "share sharing social related recommended recommendations pagination pager tags skip search copyright legal disclaimer "
     "complementary contentinfo dialog".split()
 )
+# Those of them that stand for what readers say.
+COMMENTS = frozenset("comment comments commentlist discussion disqus respond replies reply reactions".split())
+BARRIERS = frozenset("table ul ol dl div article section main aside body".split())
 # A quote opens a value only after an equals sign; elsewhere in a tag it is a sign like any other.
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
@@ -58,29 +62,82 @@ QUALIFIERS = OF_TEXT | frozenset(
     "wrapper wrap container holder inner outer box block area zone section region panel pane bar row col column columns list lists item "
     "items group set link links button buttons btn icon icons form field text title heading body unit slot space trail path "
     "toggle dropdown drop down tab tabs toolbox tools posts articles entries stories pages blog news user reader author "
-    "js the our your this el element component module google fb facebook twitter x count number meta info message msg us".split()
+    "thread threads js the our your this el element component module google fb facebook twitter x count number meta info message msg us".split()
 )
 
 
+RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I) for name in RAW}
+
+
 class Node:
-    __slots__ = ("name", "parent", "children", "beside", "own", "chars", "tags", "link_chars", "link_tags", "density", "sum", "depth", "named", "plain", "mains", "bodies", "free")
+    __slots__ = ("name", "parent", "children", "beside", "own", "chars", "tags", "link_chars", "link_tags", "density", "sum", "depth", "named", "plain", "mains", "bodies", "free", "talk")
 
-    def __init__(self, name: str, parent: Node | None, beside: bool, named: bool = False):
-        self.name, self.parent, self.beside, self.named = name, parent, beside, named
+    def __init__(self, name: str, parent: Node | None, beside: bool, named: bool = False, talk: bool = False):
+        self.name, self.parent, self.beside, self.named, self.talk = name, parent, beside, named, talk
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
 
 
+class OpenNodes:
+    """The nodes that are open, outermost first, with the places of each name, so that the node that a tag closes is
+    found without a walk, however deep the page is."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.path))
+        if node.name in SCOPES:
+            self.scopes.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the node at a place and all within it."""
+        while len(self.path) > place:
+            name = self.path.pop().name
+            self.places[name].pop()
+            if name in SCOPES:
+                self.scopes.pop()
+
+    def last(self, name: str) -> int:
+        """Place of the innermost node of a name; 0 if none is open."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def end(self, name: str) -> bool:
+        """Close the innermost node of a name, if none but a scope's own end tag reaches out of its scope."""
+        place = self.last(name)
+        if not place or name not in SCOPES and self.scopes and self.scopes[-1] > place:
+            return False
+        self.cut(place)
+        return True
+
+    def end_of(self, names) -> None:
+        """Close the outermost node of the names that stands within the innermost barrier other than these."""
+        barrier = max((self.last(b) for b in BARRIERS if b not in names), default=0)
+        found = []
+        for name in names:
+            places = self.places.get(name, ())
+            at = bisect_right(places, barrier)
+            if at < len(places):
+                found.append(places[at])
+        if found:
+            self.cut(min(found))
+
+
 def parse(page: str) -> Node:
     """The tree of a page. End tags may be missing, wrong or crossed, as browsers take them."""
-    root = top = Node("#page", None, False)
+    root = Node("#page", None, False)
+    opened = OpenNodes(root)
     any_named = False
     at, size = 0, len(page)
     while at < size:
         m = PIECE.search(page, at)
         said = page[at : m.start() if m else size]
         if said:
-            top.children.append(html.unescape(said) if "&" in said else said)
+            opened.path[-1].children.append(html.unescape(said) if "&" in said else said)
         if not m:
             break
         at = m.end()
@@ -88,38 +145,26 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            node = top
-            while node is not root and node.name != name and not (name not in SCOPES and node.name in SCOPES):
-                node = node.parent
-            if node is not root and node.name == name:
-                top = node.parent
-            elif name in ("p", "br"):
-                top.children.append(Node("br", top, False))
+            if not opened.end(name) and name in ("p", "br"):
+                opened.path[-1].children.append(Node("br", opened.path[-1], False))
             continue
         ending = ENDED_BY.get(name, ()) if name in ENDED_BY else ("p",) if name in ENDS_P else ()
         if name in ENDS_P and "p" not in ending:
             ending = {*ending, "p"}
         if ending:
-            node, last = top, None
-            while node is not root and node.name not in ("table", "ul", "ol", "dl", "div", "article", "section", "main", "aside", "body") or node.name in ending:
-                if node.name in ending:
-                    last = node
-                node = node.parent
-                if node is None:
-                    break
-            if last:
-                top = last.parent
+            opened.end_of(ending)
         attributes = m[3]
-        hidden, named = _said(name, attributes) if attributes else (False, False)
-        beside = hidden or name in NOT_TEXT or name == "header" and not _within(top)
-        node = Node(name, top, beside or named, named and not beside)
+        hidden, named, talk = _said(name, attributes) if attributes else (False, False, False)
+        beside = hidden or name in NOT_TEXT or name == "header" and not (opened.last("article") or opened.last("main"))
+        top = opened.path[-1]
+        node = Node(name, top, beside or named, named and not beside, talk)
         any_named = any_named or node.named
         top.children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(page, at)
+            end = RAW_ENDS[name].search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not attributes.endswith("/"):
-            top = node
+            opened.push(node)
     if any_named:
         _keep_wrappers(root)
     return root
@@ -127,7 +172,8 @@ def parse(page: str) -> Node:
 
 def _keep_wrappers(root: Node) -> None:
     """Parts that are beside the text only by a class or id stay if they hold the text: a main part, or, where no article
-    or main part stands outside, an article or most of the page's text that is no link."""
+    or main part stands outside, an article or most of the page's text that is no link. Comments stay only around a
+    main part, however long they are."""
     nodes, waiting = [], [(root, False)]
     while waiting:
         node, linked = waiting.pop()
@@ -145,36 +191,30 @@ def _keep_wrappers(root: Node) -> None:
     while down:
         node, outside = down.pop()
         if node.named:
-            if not (node.mains or not outside and (node.bodies or 2 * node.plain > root.plain)):
+            if not (node.mains or not node.talk and not outside and (node.bodies or 2 * node.plain > root.plain)):
                 continue
             node.beside = node.named = False
             outside += node.free
         down.extend((c, outside) for c in node.children if isinstance(c, Node) and (c.named or not c.beside))
 
 
-def _within(node: Node | None) -> bool:
-    """In an article or main part: a header there is its own."""
-    while node is not None and node.name not in ("article", "main"):
-        node = node.parent
-    return node is not None
-
-
-def _said(name: str, attributes: str) -> tuple[bool, bool]:
-    """What the attributes say: the part is hidden, and its names are those of a part beside the text.
+def _said(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """What the attributes say: the part is hidden, its names are those of a part beside the text, and of comments.
 
     A page whose body is hidden is shown by a script later."""
     if not TELLING.search(attributes):
-        return False, False
+        return False, False, False
     values: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         values.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
     whole = name in ("body", "html")
     if not whole and ("hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or "style" in values and _unseen(values["style"])):
-        return True, False
+        return True, False, False
     if whole or name in ("article", "main"):
-        return False, False
-    return False, any(_of_side(n) for key in ("class", "id", "role") for n in values.get(key, "").split())
+        return False, False, False
+    telling = [_of_side(n) for key in ("class", "id", "role") for n in values.get(key, "").split()]
+    return False, any(telling), any(t & COMMENTS for t in telling)
 
 
 def _unseen(style: str) -> bool:
@@ -185,11 +225,11 @@ def _unseen(style: str) -> bool:
     return False
 
 
-def _of_side(name: str) -> bool:
-    """One whole name: all its words are telling ones or may stand beside such, none is a state."""
+def _of_side(name: str) -> frozenset[str] | set[str]:
+    """The telling words of one whole name, if all its words are such or may stand beside them and none is a state."""
     words = {w.lower() for w in WORDS.findall(name)}
     telling = (words & BESIDE) - ({"header"} if words & OF_TEXT else set())
-    return bool(telling) and not words & STATES and all(w in BESIDE or w in QUALIFIERS or len(w) == 1 for w in words)
+    return telling if not words & STATES and all(w in BESIDE or w in QUALIFIERS or len(w) == 1 for w in words) else frozenset()
 
 
 def _in_order(root: Node) -> list[Node]:

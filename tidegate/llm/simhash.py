@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -50,12 +51,6 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     return texts.mapInArrow(made, "doc_id bigint, fingerprint bigint")
 
 
-def segments_for(n: int) -> int:
-    """Number of segments for n different fingerprints: each has about log2(n) bits, so a bucket holds few of them
-    by chance, and at least two, so that the balls stay small. Any number gives the same links."""
-    return max(2, min(4, 64 // max(1, n.bit_length())))
-
-
 def segment_balls(most_bits: int, segments: int) -> list[tuple[int, int, int]]:
     """(shift, width, radius) of each segment.
 
@@ -73,6 +68,17 @@ def segment_balls(most_bits: int, segments: int) -> list[tuple[int, int, int]]:
     return found
 
 
+def lookup_cost(n: int, most_bits: int, segments: int) -> float:
+    """Rows that the search makes for a fingerprint among n: probes, and what they find in a bucket by chance."""
+    balls = segment_balls(most_bits, segments)
+    return sum(math.comb(width, bits) * (1 + n / 2**width) for _, width, radius in balls for bits in range(radius + 1))
+
+
+def segments_for(n: int, most_bits: int = 4) -> int:
+    """Number of segments, 2 to 4, that costs least for n different fingerprints. Any number gives the same links."""
+    return min((4, 3, 2), key=lambda segments: lookup_cost(n, most_bits, segments))
+
+
 def _part(fp: str, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -113,7 +119,7 @@ def near_groups(docs: DataFrame, words: int = 4, most_bits: int = 4, segments: i
     prints = materialized(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = materialized(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("node")), "nodes")
     known = nodes.filter(F.col("node").isNotNull())
-    links = near_links(known, most_bits, segments or segments_for(nodes.count()))
+    links = near_links(known, most_bits, segments or segments_for(nodes.count(), most_bits))
     same_id = prints.join(nodes, prints.fingerprint == nodes.fp).filter(F.col("doc_id") != F.col("node"))
     shared = same_id.select("doc_id", "node").join(known.select(F.col("node").alias("doc_id"), F.col("fp").alias("other")), "doc_id")
     links = links.union(shared.select(F.least("doc_id", "node").alias("a"), F.greatest("doc_id", "node").alias("b")))
