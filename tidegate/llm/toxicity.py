@@ -25,6 +25,12 @@ CLASSES = len(LETTERS) + 2
 
 # Costs of the channel, in nats.
 STAND_IN, KEPT_SIGN, SHORTENED, SHORTENED_LONG, JOINED, APART = 1.5, 3.0, 2.5, 0.5, 0.0, 6.0
+PIECES_JOINED = 5.0
+
+# Characters without a width of their own: soft hyphen, zero-width blanks and joiners, marks of direction.
+UNSEEN = re.compile("[\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+# Marks for white space in a stretch that is decoded: the usual joint, a wider one, one between pieces of words.
+JOINT, WIDE, BETWEEN = " ", "\t", "\n"
 
 
 def _class_table() -> np.ndarray:
@@ -63,6 +69,15 @@ def language_model(docs: DataFrame, text_col: str = "text", smooth: float = 5.0)
     return (-np.log(three)).astype(np.float32)
 
 
+def _said(link: tuple | None) -> str:
+    """The reading that ends with a link."""
+    texts = []
+    while link is not None:
+        link, text = link
+        texts.append(text)
+    return "".join(reversed(texts))
+
+
 class Restorer:
     """Most likely plain form of a token or a spelled-out word: a Viterbi search over its lattice of readings."""
 
@@ -74,8 +89,9 @@ class Restorer:
         self.core = re.compile(r"^(?:(?!!\w)[^\w@$|+€£(*#])*(.*?)[^\w@$|+€£!]*$", re.S)
         self.odd = re.compile(rf"[^\W\d_][{signs}]+|[{signs}]+[^\W\d_]|([^\W\d_])\1\1|\w(?:[.\-_~]\w){{2,}}")
         self.cut_up = re.compile(r"^\w+(?:[.\-_~]\w){2,}|^\w(?:[.\-_~]\w)+")
-        self.spelled = re.compile(r"(?<!\S)\S (?:\S )+\S(?!\S)")
+        self.spelled = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
         self.runs = re.compile(r"(.)\1*", re.S)
+        self.joints = re.compile(r"\s+")
 
     def _readings(self, token: str) -> Iterator[list[tuple[str, float]]]:
         """For each run of equal characters, what it may stand for, with costs."""
@@ -84,8 +100,12 @@ class Restorer:
             c, many = run[1], run.end() - run.start()
             if c in self.classes:
                 yield [(c, 0.0)] if many == 1 else [(c * 2, 0.0 if many == 2 else 1.0), (c, SHORTENED if many == 2 else SHORTENED_LONG)]
-            elif c == " " or c in ".-_~" and separated:
+            elif c == JOINT or c in ".-_~" and separated:
                 yield [("", JOINED), (" ", APART)]
+            elif c == WIDE:
+                yield [(" ", JOINED), ("", APART)]
+            elif c == BETWEEN:
+                yield [(" ", JOINED), ("", PIECES_JOINED)]
             elif c in STANDS_FOR:
                 each = [(x, STAND_IN) for x in STANDS_FOR[c]]
                 twice = [(x * 2, STAND_IN + 0.5) for x in STANDS_FOR[c]] if many > 1 else []
@@ -94,12 +114,18 @@ class Restorer:
                 yield [(c * many, 0.0)]
 
     def best(self, token: str) -> str:
-        """The reading with the least cost of channel and model together."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        """The reading with the least cost of channel and model together.
+
+        A state holds its cost and the last link of its reading, a link being (link before, text). Links that no state
+        leads to any more are freed, and where one state is left its reading is settled, so memory is linear in what
+        is still open, and a run of any length is searched as a whole.
+        """
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+        settled: list[str] = []
         model, classes = self.model, self.classes
         for readings in [*self._readings(token), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, said) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, link) in states.items():
                 for text, extra in readings:
                     x, y, now = a, b, cost + extra
                     for c in text:
@@ -107,37 +133,53 @@ class Restorer:
                         now += model[(x * CLASSES + y) * CLASSES + z]
                         x, y = y, z
                     old = after.get((x, y))
-                    if old is None or (now, said + text) < old:
-                        after[x, y] = (now, said + text)
+                    if old is None or now < old[0]:
+                        after[x, y] = (now, (link, text))
             states = after
-        return min(states.values())[1].strip()
+            if len(states) == 1:
+                ((state, (cost, link)),) = states.items()
+                settled.append(_said(link))
+                states = {state: (0.0, None)}
+        return ("".join(settled) + _said(min(states.values(), key=lambda s: s[0])[1])).strip()
 
     def token(self, token: str, may_matter: bool = False) -> str:
         """Restored form of a lowered token without white space. Without anything odd its lattice is one path."""
         core = self.core.match(token)[1]
         if not may_matter and not self.odd.search(core):
             return core
-        if not any(c in self.classes for c in core):
+        if not may_matter and not any(c in self.classes for c in core):
             return core
+        if len(core) > 64:
+            return self.best(core)
         if core not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            # Words of unbounded length are searched in parts: a state keeps its whole reading.
-            self.known[core] = "".join(self.best(core[at : at + 64]) for at in range(0, len(core), 64))
+            self.known[core] = self.best(core)
         return self.known[core]
 
     def words(self, text: str) -> list[str]:
         """All restored words of a text."""
-        text = text.lower()
+        text = lowered(text)
         return [self.token(t) for t in set(text.split())] + self.joined(text)
 
+    def spelled_out(self, text: str) -> Iterator[list[str]]:
+        """For each run of letters that stand apart, by white space of any kind, its words; wider joints are rather edges."""
+        for m in self.spelled.finditer(text):
+            narrow = min(len(j) for j in self.joints.findall(m[0]))
+            yield self.best(self.joints.sub(lambda j: JOINT if len(j[0]) == narrow else WIDE, m[0])).split()
+
     def joined(self, text: str) -> list[str]:
         """Words restored from letters that stand apart."""
-        found = []
-        for m in self.spelled.finditer(text):
-            for at in range(0, len(m[0]), 64):
-                found += self.best(m[0][at : at + 64]).split()
-        return found
+        return [w for words in self.spelled_out(text) for w in words]
+
+    def pieced(self, pieces: str) -> list[str]:
+        """Words restored from short pieces that white space sets apart."""
+        return self.best(self.joints.sub(BETWEEN, pieces)).split()
+
+
+def lowered(text: str) -> str:
+    """Lower case without characters that are not seen."""
+    return UNSEEN.sub("", text.lower())
 
 
 def word_features(word: str) -> list[str]:
@@ -146,10 +188,10 @@ def word_features(word: str) -> list[str]:
     return found + ["^" + word[:k] for k in (4, 5, 6) if len(word) >= k]
 
 
-def disguises(stem: str) -> str:
+def disguises(stem: str, between: str = r"[.\-_~]*") -> str:
     """A pattern for all spellings of a stem that the channel knows: stand-ins, repeats and separators."""
     spelled = {c: c + "".join(k for k, v in STANDS_FOR.items() if c in v) for c in LETTERS}
-    return r"[.\-_~]*".join(f"[{re.escape(spelled.get(c, c))}]+" for c, before in zip(stem, " " + stem) if c != before)
+    return between.join(f"[{re.escape(spelled.get(c, c))}]+" for c, before in zip(stem, " " + stem) if c != before)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -186,7 +228,7 @@ def learn_terms(rows: DataFrame, model: np.ndarray, least_docs: int = 3, prior:
 
         for batch in slices(batches, "text"):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts, text = seen[toxic], text.lower()
+                counts, text = seen[toxic], lowered(text)
                 terms = {f for w in restorer.joined(text) for f in word_features(w)}
                 for token in set(text.split()):
                     of = features.get(token)
@@ -258,7 +300,10 @@ class Scorer:
             if not any(k in stem for k in kept):  # a stem that holds another one needs no look of its own
                 kept.append(stem)
         self.hint = re.compile("|".join(map(disguises, kept))) if kept else None
-        self.spelled_hint = re.compile(r" \S (?:\S )+\S(?!\S)")
+        across = "|".join(disguises(k, r"(?:[.\-_~]*|\s+)") for k in kept)
+        # A spelling of a term that starts a piece of at most five characters, and the rest of its last piece.
+        self.pieces = re.compile(rf"(?<!\S)(?=\S{{1,5}}\s)(?:{across})\S*") if kept else None
+        self.long_stems = [t[1:] for t in sorted(terms) if len(t) > 6]
         self.plain: set[str] = set()  # tokens that cannot be read as a term
         self.telling: dict[str, float] = {}
 
@@ -272,7 +317,7 @@ class Scorer:
         return max([self._word(w) for w in self.restorer.token(token, True).split()] + [self._word(self.restorer.core.match(token)[1])])
 
     def score(self, text: str) -> float:
-        text, best = text.lower(), 0.0
+        text, best = lowered(text), 0.0
         if len(self.plain) > 500_000:
             self.plain.clear()
         for token in set(text.split()) - self.plain:
@@ -286,8 +331,16 @@ class Scorer:
             best = max(best, s)
         if len(self.telling) > 200_000:
             self.telling.clear()
-        if best < 0.9 and self.spelled_hint.search(" " + text):
-            best = max([best, *(self._word(w) for w in self.restorer.joined(text))])
+        found: list[str] = []
+        for words in self.restorer.spelled_out(text):
+            found += words
+            # Where every letter stands apart no edge of a word is seen: a long term counts wherever it stands.
+            letters = "".join(words)
+            found += [t for t in self.long_stems if t in letters]
+        for m in self.pieces.finditer(text) if self.pieces else ():
+            if all(len(piece) <= 5 for piece in m[0].split()):
+                found += self.restorer.pieced(m[0])
+        best = max([best, *map(self._word, found)])
         return best if best > 0 else self.base
 
 
