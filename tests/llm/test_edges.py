@@ -167,6 +167,25 @@ def test_mixing_comes_near_its_targets_in_several_rounds(spark):
     assert len(got) == 3000 and all(abs(words[s] - target[s]) <= 300 for s in target)
 
 
+def test_mixing_parts_rows_that_repeat(spark, monkeypatch):
+    """Rows that agree are not taken all or none, in one block or in several."""
+    given = [(1, "b", "ten " * 10, f"n{i}") for i in range(300)] + [(i, "a", "one " * 30, "x") for i in range(100, 400)] + [(None, None, "w v", "y")] * 7
+    df = spark.createDataFrame(given, "doc_id bigint, source string, text string, note string")
+    for block in (50_000, 40):
+        monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", block)
+        got = mixing.mix(df).collect()
+        assert len(got) == len(given) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+        words, target = collections.Counter(), {}
+        for r in got:
+            words[r.doc_id if r.doc_id in (1, None) else 0] += r.taken
+            target[r.doc_id if r.doc_id in (1, None) else 0] = (r.target, r.size)
+        assert all(abs(words[u] - t) <= size for u, (t, size) in target.items()), (words, target)
+        rows = collections.Counter(map(tuple, mixing.mixed_rows(df).collect()))
+        assert set(rows) <= set(given)
+        assert {u: sum(n * len(r[2].split()) for r, n in rows.items() if (r[0] if r[0] in (1, None) else 0) == u) for u in words} == dict(words)
+        assert all(n <= 2 for r, n in rows.items() if r[0] is not None)
+
+
 def test_toxicity(spark, none):
     draw = random.Random(6)
     clean = "the and of with from this that river stone house garden window summer winter paper".split()

@@ -11,6 +11,7 @@ from tidegate.session import materialized
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 FAN_IN = 64
+ROWS_PER_BLOCK = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -79,16 +80,17 @@ def _tree_level(units: DataFrame, level: int, seed: int, fan_in: int) -> DataFra
     return grouped.select("source", F.ceil(F.col("n") / fan_in).alias("n"), folded.alias("f")).select("source", "n", "f.unit", "f.done")
 
 
-def mix_copies(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
-    """Copies of each document for rows (doc_id, source, size): doc_id, source, size, source_size, target, copies.
+def mix_units(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
+    """One row per unit, the rows that agree in (doc_id, source, size): these, ``source_size``, ``target``, ``m`` (rows of
+    the unit), ``whole`` (copies that each of them has) and ``extra`` (how many of them have one more).
 
-    A source's documents each have target / source_size expected copies. The whole part is certain; the fractions are
-    rounded by the pivotal method, weighted by size, so that a source's words come out within one document of its
-    target. Documents are dealt into groups of about ``fan_in`` by a hash of their keys, each group is folded to
-    decisions and one open document, and the open ones are folded again: a reduction tree with one round per
-    logarithm of the largest source, none of whose groups grows with the source. Heavy documents meet first, so that
-    a light one is left. Rows that agree in doc_id, source and size are one unit and get the same copies; the chances
-    are hashes of keys, so reruns agree. Empty documents weigh nothing and are rounded on their own.
+    A source's documents each have target / source_size expected copies. The whole part is certain, and of the m
+    fractions of a unit all but a last one below 1, which is rounded by the pivotal method, weighted by size, so that a
+    source's words come out within one document of its target. Units are dealt into groups of about ``fan_in`` by a hash
+    of their keys, each group is folded to decisions and one open unit, and the open ones are folded again: a reduction
+    tree with one round per logarithm of the largest source, none of whose groups grows with the source. Heavy units
+    meet first, so that a light one is left. The chances are hashes of keys, so reruns agree. Empty documents weigh
+    nothing and are rounded on their own.
     """
     units = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m"))
     targets = source_targets(sizes, weights, share, most)
@@ -96,11 +98,14 @@ def mix_copies(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     near = F.abs(F.col("each") - F.round("each")) < 1e-12
     targets = targets.withColumn("each", each).withColumn("whole", F.when(near, F.round("each")).otherwise(F.floor("each")).cast("int"))
     targets = materialized(targets.withColumn("p", F.greatest(F.lit(0.0), F.when(near, 0.0).otherwise(F.col("each") - F.col("whole")))), "targets")
-    same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
     key = F.struct("doc_id", "size").alias("k")
-    begun = units.alias("u").join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
-    begun = materialized(begun.select("u.source", key, F.col("size").cast("double").alias("w"), "m", "p", "whole"), "units")
-    begun = begun.withColumn("w", F.col("w") * F.col("m"))
+    few = targets.count() <= 100_000
+    begun = units.alias("u").join((F.broadcast(targets) if few else targets).alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
+    begun = begun.select("u.source", key, "m", "source_size", "target", "whole", (F.col("m") * F.col("p")).alias("share"))
+    even = F.abs(F.col("share") - F.round("share")) < 1e-12 * F.col("m")
+    begun = begun.withColumn("sure", F.when(even, F.round("share")).otherwise(F.floor("share")).cast("bigint"))
+    begun = begun.withColumn("p", F.when(even, 0.0).otherwise(F.col("share") - F.col("sure"))).drop("share")
+    begun = materialized(begun.withColumn("w", F.col("k.size").cast("double")), "units")
     open_units = begun.filter((F.col("p") > 0) & (F.col("w") > 0))
     alone = begun.filter((F.col("p") > 0) & (F.col("w") <= 0)).select("source", "k", (_chance(F.col("k"), F.lit(seed)) < F.col("p")).cast("int").alias("x"))
     many = open_units.groupBy("source").agg(F.count("*").alias("n"))
@@ -119,13 +124,30 @@ def mix_copies(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     for part in decided[1:]:
         extra = extra.union(part)
     extra = extra.select(F.col("source").alias("s"), F.col("k.doc_id").alias("d"), F.col("k.size").alias("z"), "x")
-    rows = sizes.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, same_source(sizes, targets)).drop(targets["source"])
-    here = [rows["source"].eqNullSafe(F.col("s")), rows["doc_id"].eqNullSafe(F.col("d")), rows["size"] == F.col("z")]
-    return rows.join(extra, here, "left").select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("x", F.lit(0))).alias("copies")
+    same = [begun["source"].eqNullSafe(F.col("s")), F.col("k.doc_id").eqNullSafe(F.col("d")), F.col("k.size") == F.col("z")]
+    return begun.join(extra, same, "left").select(
+        "k.doc_id", "source", "k.size", "source_size", "target", "m", "whole", (F.col("sure") + F.coalesce("x", F.lit(0))).alias("extra")
     )
 
 
+def mix_copies(sizes: DataFrame, **options) -> DataFrame:
+    """Copies of each document for rows (doc_id, source, size): doc_id, source, size, source_size, target, copies.
+
+    One row per row of ``sizes``. Rows of one unit (see ``mix_units``) are alike, so they are made from the unit, large
+    units in blocks that are spread over the tasks.
+    """
+    units = materialized(mix_units(sizes, **options), "mixed")
+    to = F.lit(ROWS_PER_BLOCK)
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / to)))
+    large = units.filter(F.col("m") > to).withColumn("block", block)
+    large = large.repartition(F.col("block"), F.col("doc_id"), F.col("source"), F.col("size"))
+    blocks = units.filter(F.col("m") <= to).withColumn("block", F.lit(0).cast("bigint")).union(large)
+    row = F.explode(F.sequence(F.col("block") * to + 1, F.least(F.col("m"), (F.col("block") + 1) * to))).alias("row")
+    rows = blocks.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", row)
+    copies = F.col("whole") + (F.col("row") <= F.col("extra")).cast("int")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+
+
 def n_words() -> Column:
     return F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("bigint")
 
@@ -136,7 +158,7 @@ def word_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes) of every row; see ``mix_copies``.
+    """doc_id, size, source_size, target and taken (words the mix takes) of every row; see ``mix_units``.
 
     Null doc_ids, sources and texts are values of their own (a null text has size 0); other columns are not read; an
     empty table gives an empty one.
@@ -146,11 +168,31 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Where only some rows of a unit have one more copy, these are the first ones by number: within blocks that rows are
+    dealt into by chance and written with, then over the blocks' sizes. Other rows need no number.
+    """
     sizes = materialized(word_sizes(docs), "sizes")
-    chosen = mix_copies(sizes, **options).filter(F.col("copies") > 0)
-    chosen = chosen.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies").distinct()
+    units = materialized(mix_units(sizes, **options), "mixed").withColumnsRenamed({"doc_id": "d", "source": "s", "size": "z"})
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words().alias("size"))
-    same = [rows["row.doc_id"].cast("bigint").eqNullSafe(chosen["d"]), rows["row.source"].cast("string").eqNullSafe(chosen["s"]), rows["size"] == chosen["z"]]
-    joined = rows.join(chosen, same)
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    same = [rows["row.doc_id"].cast("bigint").eqNullSafe(F.col("d")), rows["row.source"].cast("string").eqNullSafe(F.col("s")), rows["size"] == F.col("z")]
+    parted = (F.col("extra") > 0) & (F.col("extra") < F.col("m"))
+    alike = rows.join(units.filter(~parted), same)
+    taken = [alike.select("row", (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).alias("copies"))]
+    if not units.filter(parted).isEmpty():
+        block = F.floor(F.col("draw") * F.ceil(F.col("m") / ROWS_PER_BLOCK))
+        drawn = rows.join(units.filter(parted), same).withColumn("draw", F.rand(11)).withColumn("block", block)
+        drawn = materialized(drawn.select("row", "d", "s", "z", "whole", "extra", "draw", "block"), "repeats")
+        before = Window.partitionBy("d", "s", "z").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = drawn.groupBy("d", "s", "z", "block").agg(F.count("*").alias("n"))
+        sums = sums.select("d", "s", "z", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("upto"))
+        at = F.row_number().over(Window.partitionBy("d", "s", "z", "block").orderBy("draw"))
+        numbered = drawn.withColumn("at", at).alias("r").join(
+            sums.alias("b"), [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("d", "s", "z", "block")]
+        )
+        more = F.when(F.col("r.at") + F.col("b.upto") <= F.col("r.extra"), 1).otherwise(0)
+        taken.append(numbered.select("r.row", (F.col("r.whole") + more).alias("copies")))
+    copies = taken[0] if len(taken) == 1 else taken[0].union(taken[1])
+    copies = copies.filter(F.col("copies") > 0)
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
