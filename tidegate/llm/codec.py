@@ -18,10 +18,10 @@ import zlib
 import numpy as np
 
 MAGIC = b"TGTK"
-VERSION = 1
+VERSION = 2
 HEAD = "<4sHHIIIIQ"  # magic, version, lanes' bits, vocabulary, documents, words, steps, ids
-MOST_LANES_BITS = 12
-ROWS_A_LANE = 512
+MOST_LANES_BITS = 13
+ROWS_A_LANE = 256
 WORD = np.uint64(32)
 LOW = np.uint64(0xFFFFFFFF)
 CUT = np.uint64(1 << 32)
@@ -66,7 +66,7 @@ class Model:
     def __init__(self, vocabulary: int, rows: np.ndarray):
         self.rows = rows
         self.vocabulary = vocabulary
-        self.bits0 = max(20, vocabulary.bit_length() + 4)
+        self.bits0 = max(19, vocabulary.bit_length() + 3)
         self.after1 = np.full(vocabulary + 1, vocabulary * 8, np.int32)
         self.after2 = np.full(1 << ORDER2_BITS, vocabulary * 8, np.int32)
         self.before1 = np.full(rows.shape[1], vocabulary, np.int32)
@@ -84,15 +84,16 @@ class Model:
         freq = 1 + self.counts * room // max(1, int(self.counts.sum()))
         if not self.counts.any():
             freq[:] = (1 << self.bits0) // self.vocabulary
-        self.start0 = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.freq0 = freq.astype(np.uint64)
+        # A start and its frequency lie in one number, so that an id is looked up once.
+        self.interval0 = (np.cumsum(freq) - freq).astype(np.uint64) << WORD | freq.astype(np.uint64)
         self.inverse = None
 
     def symbol(self, place: np.ndarray) -> np.ndarray:
         """The ids whose order-0 intervals hold these places."""
         if self.inverse is None:
-            self.inverse = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.freq0.astype(np.int64))
-        return self.inverse.take(np.minimum(place, np.uint64(len(self.inverse) - 1)).astype(np.int64))
+            kind = np.uint16 if self.vocabulary <= 1 << 16 else np.int32
+            self.inverse = np.repeat(np.arange(self.vocabulary, dtype=kind), (self.interval0 & LOW).astype(np.int64))
+        return self.inverse.take(place.view(np.int64), mode="clip").astype(np.int32)
 
     def _weights(self) -> None:
         """Frequencies of order 2, 1 and 0 for each pair of confidences; they sum to 2 ** MIX_BITS."""
@@ -113,7 +114,8 @@ class Model:
 
     def learn(self, ids: np.ndarray, chosen: np.ndarray) -> None:
         """chosen: kind times 3 plus 0 where order 2 was right, 1 where only order 1 was, 2 elsewhere."""
-        self.hits += np.bincount(chosen, minlength=384)
+        if self.step < 64 or self.step % 4 == 0:
+            self.hits += np.bincount(chosen, minlength=384)
         fresh = ids << 3
         for table, place, entry, guess in (
             (self.after2, self.place2, self.entry2, self.guess2), (self.after1, self.before1, self.entry1, self.guess1)
@@ -122,9 +124,9 @@ class Model:
             table[place] = np.where(guess == ids, np.minimum(entry + 1, entry | 7), missed)
         self.before2, self.before1 = self.before1, ids
         self.step += 1
-        if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
+        if self.step & (self.step - 1) == 0 or self.step % 128 == 0:
             self._order0()
-        if self.step < 16 or self.step % 8 == 0:
+        if self.step < 16 or self.step % 16 == 0:
             if self.hits.max() > 1 << 20:
                 self.hits = self.hits // 2 + 1
             self._weights()
@@ -157,7 +159,8 @@ def encode_ids(ids: np.ndarray, vocabulary: int) -> tuple[int, int, np.ndarray,
         rest = np.flatnonzero(order == 2)
         if len(rest):
             of = now.take(rest)
-            emit(coder.narrow(rest, model.start0.take(of), model.freq0.take(of), coder.range.take(rest) >> np.uint64(model.bits0)))
+            interval = model.interval0.take(of)
+            emit(coder.narrow(rest, interval >> WORD, interval & LOW, coder.range.take(rest) >> np.uint64(model.bits0)))
         model.learn(now, chosen)
     for word in (coder.low >> WORD, coder.low & LOW):
         given.append((np.arange(lanes, dtype=np.uint16), word.astype(np.uint32)))
@@ -195,7 +198,8 @@ def decode_ids(n: int, vocabulary: int, bits: int, steps: int, per_lane: np.ndar
             unit = coder.range.take(rest) >> np.uint64(model.bits0)
             of = model.symbol((code.take(rest) - coder.low.take(rest)) // unit)
             now[rest] = of
-            take(coder.narrow(rest, model.start0.take(of), model.freq0.take(of), unit))
+            interval = model.interval0.take(of)
+            take(coder.narrow(rest, interval >> WORD, interval & LOW, unit))
         rows[step] = now
         model.learn(now, chosen)
     return rows.T.reshape(-1)[:n]
