@@ -24,6 +24,11 @@ def test_broadcast_reaches_every_partition(spark):
     assert dataflow.broadcast_all(spark.range(10), 2, most_rows=10).count() == 20
 
 
+def test_broadcast_of_many_messages(spark):
+    got = dataflow.broadcast_all(spark.range(1_000_001), 3).groupBy(F.spark_partition_id()).agg(F.count("*"), F.max("id"))
+    assert rows(got) == [(i, 1_000_001, 1_000_000) for i in range(3)]
+
+
 def test_functions_are_closed_also_on_failure(spark, folder):
     class Told:
         def __init__(self, part):

@@ -23,16 +23,14 @@ def partition_by(df: DataFrame, key: Column, parts: int) -> DataFrame:
     return df.repartition(parts, key)
 
 
-MOST_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_all(df: DataFrame, parts: int, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
+def broadcast_all(df: DataFrame, parts: int, most_rows: int | None = None) -> DataFrame:
     """Every message to each of ``parts`` partitions: the rows with the number of their partition as ``part``.
 
-    What all tasks get must be small: a table of more than ``most_rows`` rows is refused. Its first ``most_rows`` + 1
+    Messages are shuffled, and a task reads its own as a stream, so there may be any number of them. A caller that
+    must keep what it gets in memory gives ``most_rows``: a table of more rows is refused. Its first ``most_rows`` + 1
     rows are enough to tell.
     """
-    if df.limit(most_rows + 1).count() > most_rows:
+    if most_rows is not None and df.limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"more than {most_rows} messages are too many to go to every partition")
     copies = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return copies.repartitionById(parts, F.col("part"))
