@@ -158,3 +158,24 @@ def test_cached_reads(small_tasks, write_around, ttls):
     assert joins.cached_reads(r.limit(0), w, "k", "ts", "id", "v", 1, 1).count() == 0
     counts = collections.Counter(x[3] is None for x in want)
     assert counts[True] and counts[False]
+
+
+@pytest.mark.parametrize("how", ["inner", "right_outer", "left_outer"])
+def test_interval_join_stream_meets_near_rows_only(spark, folder, how):
+    """One hot key: rows are joined on time buckets too, and those at the edges of an interval are not lost."""
+    draw = random.Random(4)
+    ticks = [0, 599, 600, 601, 1200, 1800, -600, -601, *(draw.randrange(20_000) for _ in range(150))]
+    made = {side: [(1 if i % 9 else None, (120_000 + t) * S + d, i) for i, t in enumerate(ticks)] for side, d in (("l", 0), ("r", 7))}
+    streams = {}
+    for side, messages in made.items():
+        df = spark.createDataFrame([(k, t, i) for k, t, i in messages], "k bigint, t bigint, i bigint")
+        df.select(F.col("k").alias(f"{side}k"), F.timestamp_micros("t").alias(f"{side}t"), F.col("i").alias(f"{side}i")).write.parquet(f"{folder}/{side}")
+        schema = spark.read.parquet(f"{folder}/{side}").schema
+        streams[side] = file_stream(spark, f"{folder}/{side}", schema).withWatermark(f"{side}t", "1 day")
+    joined = joins.interval_join_stream(streams["l"], streams["r"], F.expr("lk = rk"), "lt", "rt", "10 MINUTES", how)
+    assert joined.columns == ["lk", "lt", "li", "rk", "rt", "ri"]
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert ("_lb" in plan) == (how != "left_outer")
+    got = run_append(joined).filter("li IS NOT NULL AND ri IS NOT NULL")
+    want = [(i, j) for k, t, i in made["l"] for m, u, j in made["r"] if k and m and t - 600 * S <= u <= t + 600 * S]
+    assert rows(got, "li", "ri") == sorted(want, key=repr)

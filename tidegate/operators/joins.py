@@ -75,9 +75,25 @@ def interval_join(
 def interval_join_stream(
     left: DataFrame, right: DataFrame, on: Column, lts: str, rts: str, interval: str, how: str = "inner"
 ) -> DataFrame:
-    """The same pairs on two streams; both sides must carry a watermark, which lets Spark drop old state."""
+    """The same pairs on two streams; both sides must carry a watermark, which lets Spark drop old state.
+
+    Inner and right outer joins are on time buckets of twice the interval too, so a row meets only those of its key
+    that are near in time: a right row is in one bucket, a left row in the two or so its interval touches. Other kinds,
+    to which each left row must come once, join on ``on`` alone.
+    """
     bound = F.expr(f"{rts} BETWEEN {lts} - INTERVAL {interval} AND {lts} + INTERVAL {interval}")
-    return left.join(right, on & bound, how)
+    if how not in ("inner", "right", "right_outer", "rightouter"):
+        return left.join(right, on & bound, how)
+    width = F.greatest(F.expr(f"2 * unix_micros(timestamp_micros(0) + INTERVAL {interval})"), F.lit(1).cast("bigint"))
+
+    def bucket(t: str) -> Column:
+        t = F.unix_micros(F.expr(t))
+        return t - F.pmod(t, width)
+
+    touched = F.sequence(bucket(f"{lts} - INTERVAL {interval}"), bucket(f"{lts} + INTERVAL {interval}"), width)
+    spread = left.withColumn("_lb", F.explode(touched))
+    joined = spread.join(right.withColumn("_b", bucket(rts)), on & (F.col("_lb") == F.col("_b")) & bound, how)
+    return joined.drop("_lb", "_b")
 
 
 def stream_table_join(stream: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
