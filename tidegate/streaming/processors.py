@@ -3,16 +3,23 @@
 A micro-batch gives a processor all its new rows of a key in no order, so each sorts them by
 arrival time first. What it sorts is bounded by the micro-batch (files or offsets per trigger),
 what it keeps by the state named in its class.
+
+Calls into the state store, timers and small frames cost far more than the messages of most keys. Processors marked
+``in_slots`` therefore work on a slot of keys at a time: their state is a slot's, packed into a few values, and each of
+its rows names its key. The other processors work on a key at a time.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import astuple, fields
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
@@ -27,6 +34,43 @@ def arrivals(rows, *order: str) -> pd.DataFrame:
     return pd.concat(frames).sort_values(list(order), kind="stable")
 
 
+SLOTS = 512
+ROWS_AT_ONCE = 500_000
+
+
+def gathered(frames) -> Iterator[pd.DataFrame]:
+    """Frames of some ROWS_AT_ONCE rows: a slot's state is changed once for each of them."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= ROWS_AT_ONCE:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
+def key_column(slot: int, place: int, values):
+    """A key column of a slot's output: keys that are null have slots of their own, told by the slot's number."""
+    return [None] * len(values) if slot // SLOTS >> place & 1 else values
+
+
+def added(known: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys with numbers, added to known ones (two rows: keys and numbers); and what was known of each."""
+    every, at = np.unique(np.concatenate([known[0], keys]), return_inverse=True)
+    totals = np.zeros((2, len(every)), np.int64)
+    totals[0], old, new = every, at[: len(known[0])], at[len(known[0]) :]
+    totals[1, old] = known[1]
+    before = totals[1, new]
+    totals[1, new] += n
+    return totals, before
+
+
+def unpacked(packed: bytes | None, rows: int) -> np.ndarray:
+    return np.frombuffer(packed or b"", "int64").reshape(rows, -1)
+
+
 class LatestTtlJoin(StatefulProcessor):
     """State: the latest (time, id) of each side of a key. With timers, and so a watermark, a side's state ends when the
     watermark passes its time to live, as no later row can meet it; without, it stays."""
@@ -120,7 +164,8 @@ def names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
-PANE_STATE = ", ".join(f"{f.name} bigint" for f in fields(Pane))
+PANE_FIELDS = [f.name for f in fields(Pane)]
+PANE_STATE = ", ".join(f"{name} bigint" for name in PANE_FIELDS)
 
 
 class OneTimer:
@@ -295,23 +340,26 @@ class QuietTimer(StatefulProcessor):
 class WatermarkCallback(StatefulProcessor):
     """Hold each key's messages back until the watermark passes them, then emit them in time order.
 
-    State: an index of the messages by time, a bucket of ``bucket_ms`` each, with the bucket's first time, and how many
-    have been emitted. A bucket has a timer of its own, at its first message; a timer reads and sorts that bucket
-    alone, and a new message touches only the bucket it falls into. A bucket is packed into one value."""
+    State, by slot: an index of the messages by time, a bucket of ``bucket_ms`` each, with the bucket's first time, and
+    how many of each key have been emitted. A bucket has a timer of its own, at its first message; a timer reads and
+    sorts that bucket alone, and a new message touches only the bucket it falls into. A bucket is packed into one value,
+    and so are the numbers emitted."""
 
     SCHEMA = "key bigint, ts bigint, id bigint, place bigint"
+    in_slots = True
 
-    def __init__(self, bucket_ms: int = 3_600_000):
+    def __init__(self, bucket_ms: int = 86_400_000):
         self.width = bucket_ms * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "bucket bigint", "first bigint, rows binary")
-        self.place = handle.getValueState("place", "n bigint")
+        self.place = handle.getValueState("places", "keys binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        for frame in rows:
-            messages = frame[["ts", "id"]].to_numpy("int64")
+        for frame in gathered(rows):
+            own = frame["key"] if "key" in frame else np.full(len(frame), key[0])
+            messages = np.column_stack([frame[["ts", "id"]].to_numpy("int64"), own])
             bucket = messages[:, 0] // self.width
             for b in np.unique(bucket):
                 self._hold(int(b), messages[bucket == b])
@@ -322,15 +370,17 @@ class WatermarkCallback(StatefulProcessor):
         bucket = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 // self.width
         _, packed = self.held.getValue((bucket,))
         self.held.removeKey((bucket,))
-        messages = np.frombuffer(packed, "int64").reshape(-1, 2)
+        messages = np.frombuffer(packed, "int64").reshape(-1, 3)
         ready = messages[:, 0] // 1000 + 1 <= passed
         if not ready.all():
             self._hold(bucket, messages[~ready])
         out = messages[ready]
-        out = out[np.lexsort((out[:, 1], out[:, 0]))]
-        n = self.place.get()[0] if self.place.exists() else 0
-        self.place.update((n + len(out),))
-        yield pd.DataFrame({"key": key[0], "ts": out[:, 0], "id": out[:, 1], "place": np.arange(n + 1, n + len(out) + 1)})
+        out = out[np.lexsort((out[:, 1], out[:, 0], out[:, 2]))]
+        keys, first, n = np.unique(out[:, 2], return_index=True, return_counts=True)
+        totals, before = added(unpacked(self.place.get()[0] if self.place.exists() else None, 2), keys, n)
+        self.place.update((totals.tobytes(),))
+        place = np.arange(1, len(out) + 1) + np.repeat(before - first, n)
+        yield pd.DataFrame({"key": key_column(key[0], 0, out[:, 2]), "ts": out[:, 0], "id": out[:, 1], "place": place})
 
     def _hold(self, bucket: int, messages: np.ndarray) -> None:
         """Add messages to a bucket, whose timer is at the first of them."""
@@ -487,10 +537,21 @@ class MatchOrders(StatefulProcessor):
         pass
 
 
+def slots(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with their key's slot as ``_slot``. Null keys are filled, and have slots of their own behind the others,
+    by which of the columns are null."""
+    types = dict(df.dtypes)
+    nulls = sum((F.col(k).isNull().cast("bigint") * F.lit(2**i) for i, k in enumerate(keys)), F.lit(0))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)) + nulls * SLOTS
+    filled = {k: F.coalesce(k, F.lit("" if types[k] == "string" else 0).cast(types[k])) for k in keys}
+    return df.withColumn("_slot", slot.cast("bigint")).withColumns(filled)
+
+
 def stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, timers: bool = False) -> DataFrame:
     """Attach a processor to a keyed stream. With timers the stream must carry a watermark."""
+    if getattr(processor, "in_slots", False):
+        df, keys = slots(df, keys), ["_slot"]
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=StructType.fromDDL(schema), outputMode="Append",
         timeMode="EventTime" if timers else "None",
     )
-
