@@ -120,33 +120,47 @@ class LatestTtlJoin(StatefulProcessor):
 
 class CountPanes(StatefulProcessor):
     """repeat(count(n)) early panes of a (key, window), and its last pane when the watermark passes the
-    window's end. State: the number of messages so far."""
+    window's end. State, by slot and window: its keys' numbers of messages so far, and one timer."""
 
     SCHEMA = "key bigint, window_start bigint, pane bigint, firing_type string, count bigint"
+    in_slots = True
 
     def __init__(self, n: int, width_ms: int, accumulating: bool):
         self.n, self.width, self.accumulating = n, width_ms, accumulating
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "n bigint")
+        self.seen = handle.getMapState("seen", "window_start bigint", "keys binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        after = before + sum(len(f) for f in rows)
-        self.seen.update((after,))
-        if before == 0:
-            self.handle.registerTimer(int(key[1]) // 1000 + self.width)
-        fired = range(before // self.n + 1, after // self.n + 1)
-        out = [(key[0], key[1], p, "EARLY", p * self.n if self.accumulating else self.n) for p in fired]
-        yield pd.DataFrame(out, columns=["key", "window_start", "pane", "firing_type", "count"])
+        for frame in gathered(rows):
+            new = frame.groupby(["window_start", "key"]).size()
+            (window, own), n = (new.index.get_level_values(i).to_numpy("int64") for i in (0, 1)), new.to_numpy()
+            for w in np.unique(window).tolist():
+                at = window == w
+                known = self.seen.getValue((w,))[0] if self.seen.containsKey((w,)) else None
+                totals, before = added(unpacked(known, 2), own[at], n[at])
+                self.seen.updateValue((w,), (totals.tobytes(),))
+                if known is None and not key[0] // SLOTS >> 1 & 1:
+                    self.handle.registerTimer(w // 1000 + self.width)
+                first, fired = before // self.n + 1, (before + n[at]) // self.n - before // self.n
+                panes = np.arange(fired.sum()) + np.repeat(first - (np.cumsum(fired) - fired), fired)
+                told = panes * self.n if self.accumulating else np.full(len(panes), self.n)
+                yield self._frame(key, np.repeat(own[at], fired), w, panes, "EARLY", told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        self.seen.clear()
-        rest = n if self.accumulating else n % self.n
-        out = [(key[0], key[1], n // self.n + 1, "DEFAULT", rest)] if rest else []
-        yield pd.DataFrame(out, columns=["key", "window_start", "pane", "firing_type", "count"])
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        for w in [w for (w,) in self.seen.keys() if w // 1000 + self.width == due]:
+            own, n = unpacked(self.seen.getValue((w,))[0], 2)
+            self.seen.removeKey((w,))
+            rest = n if self.accumulating else n % self.n
+            some = rest > 0
+            yield self._frame(key, own[some], w, (n // self.n + 1)[some], "DEFAULT", rest[some])
+
+    def _frame(self, key, own, window: int, panes, kind: str, n) -> pd.DataFrame:
+        windows = np.full(len(own), window)
+        own, windows = (key_column(key[0], i, x) for i, x in enumerate((own, windows)))
+        return pd.DataFrame({"key": own, "window_start": windows, "pane": panes, "firing_type": kind, "count": n})
 
     def close(self) -> None:
         pass
