@@ -515,38 +515,76 @@ class CompletionEpochs(StatefulProcessor):
 
 
 class MatchOrders(StatefulProcessor):
-    """Continuous matching of a (security, session). State: the open orders. Where rows have the session's end as
-    ``until``, in microseconds, the state ends when the watermark passes it; this needs timers."""
+    """Continuous matching of a (security, session). State, by slot and session: the open orders of its securities,
+    packed into one value. Where rows have the session's end as ``until``, in microseconds, the state ends when the
+    watermark passes it; this needs timers."""
 
     SCHEMA = "security bigint, session string, buy_order bigint, sell_order bigint, cents bigint, volume bigint"
+    ARRIVAL = ["side", "volume", "cents", "part_id", "line", "order_no", "ts", "security"]  # the last one sorts first
+    in_slots = True
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "side string, cents bigint, order_no bigint, volume bigint")
+        self.open = handle.getMapState("open", "session string", "until bigint, orders binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        book, known = Book(), self.open.exists()
-        for side, cents, order_no, volume in (self.open.get() if self.open.exists() else []):
-            book.add(order_no, side, cents, volume)
-        new = arrivals(rows, "ts", "order_no", "line", "part_id", "cents", "volume", "side")
-        trades = []
-        for r in new.itertuples(index=False):
-            trades += [(*key, *t) for t in book.add(int(r.order_no), r.side, int(r.cents), int(r.volume))]
-        if "until" in new and not known:
-            self.handle.registerTimer(int(new["until"].iloc[0]) // 1000 + 1)
-        resting = [("B", o) for o in book.buys] + [("S", o) for o in book.sells]
-        # Oldest first, so that the next batch rests them in the same order.
-        resting.sort(key=lambda so: so[1][1])
-        if resting:
-            self.open.put([(s, abs(o[0]), o[2], o[3]) for s, o in resting])
-        else:
-            self.open.clear()
-        yield pd.DataFrame(trades, columns=["security", "session", "buy_order", "sell_order", "cents", "volume"])
+        new = pd.concat([f for f in rows if len(f)])
+        sessions, names_of = pd.factorize(new["session"])
+        for number, session in enumerate(names_of):
+            part = new[sessions == number] if len(names_of) > 1 else new
+            yield self._frame(key, session, *self._match(session, part))
+
+    def _match(self, session: str, new: pd.DataFrame) -> tuple[list[int], list[int], list[tuple]]:
+        """Securities, their numbers of trades and the trades of a session's new orders, in order of arrival."""
+        by = {c: new[c].to_numpy() for c in self.ARRIVAL}
+        side = by["side"]
+        by["side"] = np.unique(side, return_inverse=True)[1]
+        order = np.lexsort(list(by.values()))
+        security = by["security"][order].astype("int64")
+        columns = [side[order].tolist(), *(by[c][order].tolist() for c in ("cents", "order_no", "volume"))]
+
+        known = self.open.containsKey((session,))
+        until, packed = self.open.getValue((session,)) if known else (None, b"")
+        resting = np.frombuffer(packed, "int64").reshape(-1, 5)
+        meet = np.isin(resting[:, 0], security)
+        books: dict[int, Book] = {}
+        for own, buys, cents, order_no, volume in resting[meet].tolist():
+            books.setdefault(own, Book()).add(order_no, "B" if buys else "S", cents, volume)
+
+        different, first = np.unique(security, return_index=True)
+        cuts, many, trades, stay = [*first.tolist(), len(security)], [], [], []
+        for own, a, b in zip(different.tolist(), cuts, cuts[1:]):
+            book, before = books.pop(own, None) or Book(), len(trades)
+            for kind, cents, order_no, volume in zip(*(c[a:b] for c in columns)):
+                trades += book.add(int(order_no), kind, int(cents), int(volume))
+            many.append(len(trades) - before)
+            orders = [(1, o) for o in book.buys] + [(0, o) for o in book.sells]
+            # Oldest first, so that the next batch rests them in the same order.
+            orders.sort(key=lambda so: so[1][1])
+            stay += [(own, s, abs(o[0]), o[2], o[3]) for s, o in orders]
+        if until is None and "until" in new:
+            until = int(new["until"].iloc[0])
+            self.handle.registerTimer(until // 1000 + 1)
+        resting = np.concatenate([resting[~meet], np.array(stay, np.int64).reshape(-1, 5)])
+        if len(resting):
+            self.open.updateValue((session,), (until, resting.tobytes()))
+        elif known:
+            self.open.removeKey((session,))
+        return different, many, trades
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.open.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        for session, until in [(k[0], v[0]) for k, v in self.open.iterator()]:
+            if until // 1000 + 1 <= passed:
+                self.open.removeKey((session,))
         yield pd.DataFrame([], columns=names(self.SCHEMA))
 
+    def _frame(self, key, session: str, securities, many: list[int], trades: list[tuple]) -> pd.DataFrame:
+        own, sessions = np.repeat(securities, many), np.full(len(trades), session, object)
+        own, sessions = (key_column(key[0], i, x) for i, x in enumerate((own, sessions)))
+        traded = np.array(trades, np.int64).reshape(-1, 4)
+        return pd.DataFrame({"security": own, "session": sessions, **dict(zip(names(self.SCHEMA)[2:], traded.T))})
+
     def close(self) -> None:
         pass
 
