@@ -251,39 +251,71 @@ class TriggerPanes(StatefulProcessor):
 class TriggerSessions(StatefulProcessor):
     """Firings of any trigger on session windows. A message that lies within the gap of two sessions makes them one:
     their counts, told or not, are added up, so that a count trigger goes on from both. A firing carries its session's
-    start as it was then. State: the open sessions' counts and times, and one timer for all."""
+    start as it was then. State, by slot: the open sessions' keys, starts, counts, times and dues, packed into one
+    value, and one timer for all."""
 
     SCHEMA = f"key bigint, window_start bigint, {FIRINGS}"
+    in_slots = True
 
     def __init__(self, trigger: Trigger, gap_us: int, accumulating: bool = False):
         self.trigger, self.gap, self.accumulating = trigger, gap_us, accumulating
+        self.columns = 3 + len(PANE_FIELDS)
 
     def init(self, handle) -> None:
-        self.open = handle.getListState("sessions", f"start bigint, {PANE_STATE}")
+        self.open = handle.getValueState("sessions", "packed binary")
         self.timer = OneTimer(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        sessions, out = self._sessions(), []
-        for ts, n in by_time(rows):
-            near = [s for s in sessions if s[0] - self.gap <= ts <= s[1].last + self.gap]
-            start, pane = min([s[0] for s in near] + [ts]), self._one([s[1] for s in near])
-            sessions = [s for s in sessions if s not in near] + [(start, pane)]
-            out += [(*key, start, *f) for f in pane.take(self.trigger, ts, n, self.accumulating)]
-        self._keep(sessions)
-        yield self._frame(out)
+        parts = [frame.groupby(["key", "ts"]).size() for frame in gathered(rows)]
+        new = parts[0] if len(parts) == 1 else pd.concat(parts).groupby(level=[0, 1]).sum()
+        keys, times = (new.index.get_level_values(i).to_numpy("int64") for i in (0, 1))
+        sessions, changed, out = self._sessions(), [], []
+        meet = np.isin(sessions[:, 0], keys)
+        held: dict[int, list] = {}
+        for own, start, pane in self._panes(sessions[meet]):
+            held.setdefault(own, []).append((start, pane))
+        different, first = np.unique(keys, return_index=True)
+        cuts, times, counts = [*first.tolist(), len(keys)], times.tolist(), new.tolist()
+        for own, a, b in zip(different.tolist(), cuts, cuts[1:]):
+            for kind, start, found in self._take(held.get(own, []), zip(times[a:b], counts[a:b])):
+                if kind == "open":
+                    changed.append((own, start, found))
+                else:
+                    out.append((own, start, *found))
+        self._keep(sessions[~meet], changed)
+        yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.timer.expired()
         passed, stay, out = timerValues.getCurrentWatermarkInMs() * 1000, [], []
-        for start, pane in self._sessions():
+        sessions = self._sessions()
+        due = sessions[:, -1] < passed
+        for own, start, pane in self._panes(sessions[due]):
             end = pane.last + self.gap
             if end < passed:
-                out += [(*key, start, *f) for f in pane.close(self.trigger, end, self.accumulating)]
+                out += [(own, start, *f) for f in pane.close(self.trigger, end, self.accumulating)]
             else:
-                out += [(*key, start, *f) for f in pane.run(self.trigger, passed, self.accumulating)]
-                stay.append((start, pane))
-        self._keep(stay)
-        yield self._frame(out)
+                out += [(own, start, *f) for f in pane.run(self.trigger, passed, self.accumulating)]
+                stay.append((own, start, pane))
+        self._keep(sessions[~due], stay)
+        yield self._frame(key, out)
+
+    def _take(self, sessions: list, messages) -> Iterator[tuple]:
+        """Firings of a key's messages in order of time, then its open sessions. Sessions lie more than a gap apart, so
+        those behind a message are behind all later ones."""
+        ahead = deque(sorted(sessions, key=lambda s: s[0]))
+        for ts, n in messages:
+            while ahead and ahead[0][1].last + self.gap < ts:
+                yield "open", *ahead.popleft()
+            near = []
+            while ahead and ahead[0][0] - self.gap <= ts:
+                near.append(ahead.popleft())
+            start, pane = min(near[0][0], ts) if near else ts, self._one([s[1] for s in near])
+            ahead.appendleft((start, pane))
+            for f in pane.take(self.trigger, ts, n, self.accumulating):
+                yield "fired", start, f
+        for s in ahead:
+            yield "open", *s
 
     def _one(self, panes: list[Pane]) -> Pane:
         if len(panes) < 2:
@@ -294,19 +326,30 @@ class TriggerSessions(StatefulProcessor):
             min((p.first for p in counting), default=0), max(p.last for p in panes),
         )
 
-    def _sessions(self) -> list[tuple[int, Pane]]:
-        return [(r[0], Pane(*r[1:])) for r in self.open.get()] if self.open.exists() else []
-
-    def _keep(self, sessions: list[tuple[int, Pane]]) -> None:
-        if sessions:
-            self.open.put([(start, *astuple(pane)) for start, pane in sessions])
+    def _sessions(self) -> np.ndarray:
+        packed = self.open.get()[0] if self.open.exists() else b""
+        return np.frombuffer(packed, "int64").reshape(-1, self.columns)
+
+    def _panes(self, sessions: np.ndarray) -> Iterator[tuple[int, int, Pane]]:
+        return ((own, start, Pane(*pane)) for own, start, *pane, _ in sessions.tolist())
+
+    def _keep(self, as_they_are: np.ndarray, changed: list[tuple[int, int, Pane]]) -> None:
+        values = attrgetter(*PANE_FIELDS)
+        rows = []
+        for own, start, pane in changed:
+            due, end = pane.due(self.trigger), pane.last + self.gap
+            rows.append((own, start, *values(pane), end if due is None else min(due, end)))
+        sessions = np.concatenate([as_they_are, np.array(rows, np.int64).reshape(-1, self.columns)])
+        if len(sessions):
+            self.open.update((sessions.tobytes(),))
         else:
             self.open.clear()
-        dues = [d for _, p in sessions for d in (p.due(self.trigger), p.last + self.gap) if d is not None]
-        self.timer.set(min(dues) // 1000 + 1 if dues else None)
+        self.timer.set(int(sessions[:, -1].min()) // 1000 + 1 if len(sessions) else None)
 
-    def _frame(self, out) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=names(self.SCHEMA))
+    def _frame(self, key, out) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=names(self.SCHEMA))
+        frame["key"] = key_column(key[0], 0, frame["key"])
+        return frame
 
     def close(self) -> None:
         pass
