@@ -6,8 +6,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import SF_DIR, rows
 from tidegate.operators import dataflow
+from tidegate.plans import io, load_all
+from tidegate.registry import QUERIES
 from tidegate.sinks import writers
 from tidegate.sources import readers
 from tidegate.streaming.harness import run_append
@@ -29,6 +31,20 @@ def test_broadcast_of_many_messages(spark):
     assert rows(got) == [(i, 1_000_001, 1_000_000) for i in range(3)]
 
 
+def test_files_of_lines_are_bounded(spark, monkeypatch):
+    """The larger the table, the more files a stream of its lines has; no task writes or reads a fourth of it."""
+    load_all()
+    seen = []
+    read = readers.text_stream
+    monkeypatch.setattr(io.readers, "text_stream", lambda spark, path, *a: seen.append(path) or read(spark, path, *a))
+    monkeypatch.setattr(io, "LINES_FILE_BYTES", 60_000)
+    got = rows(QUERIES["src_stream_text"](spark, SF_DIR))
+    sizes = [f.stat().st_size for f in os.scandir(seen[0]) if f.name.startswith("part-")]
+    assert len(sizes) == max(4, -(-spark.read.parquet(f"{SF_DIR}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0] // 60_000))
+    lines = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
+    assert got == rows(lines.groupBy("line").count())
+
+
 def test_functions_are_closed_also_on_failure(spark, folder):
     class Told:
         def __init__(self, part):

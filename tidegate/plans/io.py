@@ -11,6 +11,8 @@ from tidegate.sinks.tables import KeyedTable
 from tidegate.sources import readers
 from tidegate.streaming.harness import run_append
 
+LINES_FILE_BYTES = 128_000_000  # most, about, of a file of lines: a task writes one, and a micro-batch reads one
+
 TYPES_SQL = "SELECT event_type, event_id FROM events"
 
 
@@ -130,9 +132,11 @@ def sink_binary(t):
 
 @query("src_stream_text", "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
 def src_stream_text(t):
-    # Files of lines as a stream, one file in a micro-batch.
+    # Files of lines as a stream, one file in a micro-batch: four, or more where these would be large.
     path = work_path(t.spark, "lines")
-    t.documents.select("text").repartition(4).write.text(path)
+    texts = t.documents.select("text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts.repartition(max(4, -(-size // LINES_FILE_BYTES))).write.text(path)
     return run_append(readers.text_stream(t.spark, path, 1)).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
