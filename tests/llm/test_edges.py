@@ -322,3 +322,16 @@ def test_words_reach_the_model_as_in_the_library():
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_dropped_duplicates_carry_their_text_once(spark, monkeypatch):
+    """The text is sorted and stored once; of the column itself only whether it is null goes along."""
+    seen = []
+    stored = exact_dedup.materialized
+    monkeypatch.setattr(exact_dedup, "materialized", lambda df, *a, **k: seen.append(df) or stored(df, *a, **k))
+    made = [(1, None, "a"), (2, "x", None), (3, "x", "b"), (4, "y" * 50, "c"), (5, "z", "d")]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, `odd.name` string").repartition(3)
+    assert rows(exact_dedup.drop_exact_duplicates(docs)) == sorted([m for m in made if m[0] != 2], key=repr)
+    head = seen[0].schema["head"].dataType
+    assert [f.dataType.typeName() for f in head] == ["long", "string", "boolean"]
+    assert "text" in seen[0].columns and "ids" not in seen[0].columns

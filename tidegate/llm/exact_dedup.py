@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -31,8 +31,8 @@ def content_sort(rows: DataFrame) -> DataFrame:
 
 
 def runs_of_equal_texts(rows: DataFrame, with_ids: bool) -> DataFrame:
-    """One row per run of equal texts in a range of the content sort: its first row's ``head``, all ids, their number,
-    the range, a number within it and, where the run may go on in another range, the text.
+    """One row per run of equal texts in a range of the content sort: its first row's ``head``, all ids or, without
+    ids, the text, their number, the range, a number within it and, where the run may go on in another range, the text.
 
     Each text is compared in full with its neighbour. A run is at an edge if it has the hash of the first or last row
     of its range. A task holds one text and the ids of its open run.
@@ -40,8 +40,8 @@ def runs_of_equal_texts(rows: DataFrame, with_ids: bool) -> DataFrame:
     sorted_rows = content_sort(rows).select("head", "id", "text", "hash")
     schema = StructType(
         [
-            sorted_rows.schema["head"], StructField("ids", ArrayType(LongType())), StructField("n", LongType()),
-            StructField("range_no", LongType()), StructField("run_no", LongType()), StructField("edge", StringType()),
+            sorted_rows.schema["head"], StructField("ids", ArrayType(LongType())) if with_ids else StructField("text", StringType()),
+            StructField("n", LongType()), StructField("range_no", LongType()), StructField("run_no", LongType()), StructField("edge", StringType()),
         ]
     )
 
@@ -50,18 +50,21 @@ def runs_of_equal_texts(rows: DataFrame, with_ids: bool) -> DataFrame:
         first_hash = None
         held: list[dict] = []  # the open run, after closed ones with the same hash
 
-        def out(heads, ids, ns, edges) -> pa.RecordBatch:
+        def out(heads, shown, ns, edges) -> pa.RecordBatch:
             nonlocal number
             many = len(ns)
             numbers = pa.array(np.arange(number, number + many))
             number += many
-            columns = [heads, ids, pa.array(ns, pa.int64()), pa.array(np.full(many, here)), numbers, pa.array(edges, pa.string())]
-            return pa.RecordBatch.from_arrays(columns, ["head", "ids", "n", "range_no", "run_no", "edge"])
+            columns = [heads, shown, pa.array(ns, pa.int64()), pa.array(np.full(many, here)), numbers, pa.array(edges, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
         def give(run: dict, at_end: bool) -> pa.RecordBatch:
-            ids = pa.concat_arrays(run["ids"]) if run["ids"] else pa.array([], pa.int64())
             edge = run["text"] if at_end or run["hash"] == first_hash else None
-            return out(run["head"], pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), [run["n"]], [edge])
+            shown = pa.array([run["text"]], pa.string())
+            if with_ids:
+                ids = pa.concat_arrays(run["ids"])
+                shown = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return out(run["head"], shown, [run["n"]], [edge])
 
         for batch in batches:
             if not (rows_here := batch.num_rows):
@@ -95,12 +98,11 @@ def runs_of_equal_texts(rows: DataFrame, with_ids: bool) -> DataFrame:
                     held = []
                 ns = (ends - starts)[:inner]
                 at = pa.array(starts[:inner])
+                shown = texts.take(at)
                 if with_ids:
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ns)), pa.int32()), ids.slice(int(starts[0]), int(ns.sum())))
-                else:
-                    lists = pa.ListArray.from_arrays(pa.array(np.zeros(inner + 1), pa.int32()), pa.array([], pa.int64()))
+                    shown = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ns)), pa.int32()), ids.slice(int(starts[0]), int(ns.sum())))
                 edges = [texts[int(s)].as_py() if hashes[s] == first_hash else None for s in starts[:inner]]
-                yield out(heads.take(at), lists, ns, edges)
+                yield out(heads.take(at), shown, ns, edges)
             for s, e in zip(starts[inner:].tolist(), ends[inner:].tolist()):
                 of = [ids.slice(s, e - s)] if with_ids else []
                 held.append({"head": heads.take(pa.array([s])), "ids": of, "n": e - s, "hash": hashes[s], "text": texts[s].as_py()})
@@ -109,13 +111,14 @@ def runs_of_equal_texts(rows: DataFrame, with_ids: bool) -> DataFrame:
     return sorted_rows.mapInArrow(runs, schema)
 
 
-def _whole_runs(docs: DataFrame, head: list[str], with_ids: bool, id_col: str, text_col: str) -> DataFrame:
+def _whole_runs(docs: DataFrame, head: list[Column], with_ids: bool, id_col: str, text_col: str) -> DataFrame:
     """The runs of all ranges, those at edges with the size, range and id of their whole group."""
     text = text_or_empty(text_col)
-    shown = F.struct(F.sha2(text, 256).alias("text_sha256")) if with_ids else F.struct(*[F.col(f"`{c}`") for c in head])
+    shown = F.struct(F.sha2(text, 256).alias("text_sha256")) if with_ids else F.struct(*head)
     rows = docs.select(shown.alias("head"), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
-    runs = materialized(runs_of_equal_texts(rows, with_ids), "runs")
-    edges = runs.filter(F.col("edge").isNotNull()).select("edge", "n", "range_no", "run_no", F.get("ids", F.lit(0)).alias("first_id"))
+    runs = materialized(runs_of_equal_texts(rows, with_ids), "runs", compression="zstd")
+    first_id = F.get("ids", F.lit(0)) if with_ids else F.lit(None).cast("bigint")
+    edges = runs.filter(F.col("edge").isNotNull()).select("edge", "n", "range_no", "run_no", first_id.alias("first_id"))
     groups = edges.groupBy("edge").agg(
         F.sum("n").alias("group_n"), F.min("range_no").alias("first_range"), F.min_by("first_id", "range_no").alias("group_keep")
     )
@@ -144,6 +147,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_groups`` keeps, with all their columns as they are (a kept null text stays null)."""
-    runs = _whole_runs(docs, docs.columns, False, id_col, text_col)
-    return runs.filter(F.col("first_range").isNull() | (F.col("first_range") == F.col("range_no"))).select("head.*")
+    """The rows that ``exact_groups`` keeps, with all their columns as they are (a kept null text stays null). The text
+    is sorted and stored once; of the column itself only whether it is null goes along."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    runs = _whole_runs(docs, [*others, F.col(f"`{text_col}`").isNull().alias("empty")], False, id_col, text_col)
+    kept = runs.filter(F.col("first_range").isNull() | (F.col("first_range") == F.col("range_no")))
+    text = F.when(~F.col("head.empty"), F.col("text"))
+    return kept.select(*[(text if c == text_col else F.col(f"head.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
