@@ -23,7 +23,7 @@ SCALE = 2_000_000
 COVERED = 80  # percent of a phrase's occurrences in a longer one that make it a part of that
 SHARDS = 4
 WINDOW_WORDS = 300_000
-HELD_COUNTS = 2_000_000  # counts a task holds before it gives them out
+HELD_COUNTS = 500_000  # counts a task holds before it gives them out
 BUCKET_BYTES = 64_000_000  # of text, for each bucket of counts
 FILTER_BITS = 16, 28  # the admission filter has 2^16 to 2^28 bits, by the bytes of text
 RANK_BUCKETS = 64
