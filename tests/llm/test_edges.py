@@ -335,3 +335,40 @@ def test_dropped_duplicates_carry_their_text_once(spark, monkeypatch):
     head = seen[0].schema["head"].dataType
     assert [f.dataType.typeName() for f in head] == ["long", "string", "boolean"]
     assert "text" in seen[0].columns and "ids" not in seen[0].columns
+
+
+def library_ids(encoder, texts):
+    return [i for t in texts for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
+def test_words_with_signs_share_their_entry(file):
+    """op9 over its CPU budget: each word with other signs behind it was a new word to encode."""
+    encoder = tokens.TextEncoder(file)
+    texts = ["Straße, straße### straße.%%% (straße) a-b.c@d it's it'S. 'll x.'s", "straße!! 漢字. straße.", "straße. <|endoftext|> a.", "a\x85. b\xa0.\tc.\x00"]
+    ids, counts = encoder.encode(texts)
+    assert ids.tolist() == library_ids(encoder, texts) and len(counts) == 4
+    assert {w for w in encoder.known if "straße" in w} == {"straße", "(straße", "straße!!", "straße."}  # the last two: rare letters, <|
+    assert {"it's", "a", "-b", ".c", "@d"} <= set(encoder.known)
+
+
+def test_words_met_again_stay_known(file):
+    """op9 over its CPU budget: a full table forgot frequent words that the texts at hand did not hold."""
+    encoder = tokens.TextEncoder(file, room=40)
+    often, once = "one two three four", iter(f"{a}{b}word" for a in "bcdfghjklm" for b in "aeiouy")
+    for _ in range(2):
+        encoder.encode([often])
+    for _ in range(5):
+        texts = [" ".join(next(once) for _ in range(9))]
+        assert encoder.encode(texts)[0].tolist() == library_ids(encoder, texts)
+    assert set(often.split()) <= set(encoder.known) and len(encoder.known) < 40 and "bayword" not in encoder.known
+    assert encoder.encode([often])[0].tolist() == library_ids(encoder, [often])
+    many = [" ".join(f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh")] * 2  # more than the room
+    for _ in range(3):
+        assert encoder.encode(many)[0].tolist() == library_ids(encoder, many)
+
+
+def test_new_words_without_a_unit_for_their_end(file):
+    encoder = tokens.TextEncoder(file)
+    encoder.last[:] = False
+    texts = ["plain words äé ßen"]
+    assert encoder.encode(texts)[0].tolist() == library_ids(encoder, texts)

@@ -108,9 +108,11 @@ class Model:
     def predict(self) -> None:
         mixed = self.before1.view(np.uint32) * np.uint32(0x9E3779B1) + self.before2.view(np.uint32) * np.uint32(0x85EBCA6B)
         self.place2 = (mixed >> np.uint32(32 - ORDER2_BITS)).astype(np.int64)
-        self.entry2, self.entry1 = self.after2.take(self.place2), self.after1.take(self.before1)
+        self.place1 = self.before1.astype(np.int64)
+        self.entry2, self.entry1 = self.after2.take(self.place2), self.after1.take(self.place1)
         self.guess2, self.guess1 = self.entry2 >> 3, self.entry1 >> 3
-        self.kind = ((self.entry2 & 7) << 4) + ((self.entry1 & 7) << 1) + (self.guess1 == self.guess2)
+        kind = ((self.entry2 & 7) << 4) + ((self.entry1 & 7) << 1) + (self.guess1 == self.guess2)
+        self.kind = kind.astype(np.int64)
 
     def learn(self, ids: np.ndarray, chosen: np.ndarray) -> None:
         """chosen: kind times 3 plus 0 where order 2 was right, 1 where only order 1 was, 2 elsewhere."""
@@ -118,9 +120,10 @@ class Model:
             self.hits += np.bincount(chosen, minlength=384)
         fresh = ids << 3
         for table, place, entry, guess in (
-            (self.after2, self.place2, self.entry2, self.guess2), (self.after1, self.before1, self.entry1, self.guess1)
+            (self.after2, self.place2, self.entry2, self.guess2), (self.after1, self.place1, self.entry1, self.guess1)
         ):
-            missed = np.where(entry & 7 >= 3, entry - 2, fresh)
+            sure = -(((entry & 7) + 5) >> 3)  # all bits where the confidence is 3 or more: such an entry loses 2
+            missed = fresh ^ ((fresh ^ (entry - 2)) & sure)
             table[place] = np.where(guess == ids, np.minimum(entry + 1, entry | 7), missed)
         self.before2, self.before1 = self.before1, ids
         self.step += 1

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
+EDGE = r"([a-zß-öø-į])([!-&(-/:-@\[-`{-~])"
 
 
 def public_tokenizer(name: str = WORD_BPE) -> str:
@@ -33,6 +34,7 @@ class TextEncoder:
     def __init__(self, file: str, room: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(file)
         self.room = room
@@ -41,9 +43,14 @@ class TextEncoder:
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_word = bool(suffix) and self._drops_blanks()
         self.letters = self._whole_letters() if self.by_word else {}
+        if self.letters:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = CharDelimiterSplit(" ")
+            units = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(units.values()) + 1, np.bool_)
+            self.last[[i for unit, i in units.items() if unit.endswith(suffix)]] = True
         # Latin letters whose lower case is the same character by character here and in the library.
         self.unusual = re.compile("[^\x00-įı-ɏ]|<\\|")
-        self.edge = re.compile("[.,](?=[ \n])(?<=[a-zß-öø-į][.,])")
         self._empty()
 
     def _drops_blanks(self) -> bool:
@@ -71,6 +78,7 @@ class TextEncoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, np.bool_)
         self.used = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +87,10 @@ class TextEncoder:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
-        cut = [self._prepared(t) for t in texts]
-        words = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        words = pc.split_pattern(self._prepared(texts), " ")
         values = words.values.dictionary_encode()
-        numbers = self._numbers(values.dictionary.to_pylist())[values.indices.to_numpy(zero_copy_only=False)]
+        found = self._numbers(values.dictionary.to_numpy(zero_copy_only=False).tolist())
+        numbers = found[values.indices.to_numpy(zero_copy_only=False)]
         parts, upto = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
         for at in range(0, len(numbers), 1 << 17):  # parts that stay in a core's cache
             some = numbers[at : at + (1 << 17)]
@@ -94,16 +102,26 @@ class TextEncoder:
             upto.append(ends + upto[-1][-1])
         return np.concatenate(parts), np.diff(np.concatenate(upto).take(words.offsets.to_numpy()))
 
-    def _prepared(self, text: str) -> str:
-        if "<|" not in text if text.isascii() else not self.unusual.search(text):
-            text = self.edge.sub(r" \g<0>", text.lower())
-        return text.replace("\n", " ")
+    def _prepared(self, texts: list[str]) -> pa.Array:
+        """Texts whose words lie between blanks; in usual ones also a sign after a letter is cut off, as it always
+        begins a unit of its own. The apostrophe of short forms stays with its word."""
+        usual = [self._usual(t) for t in texts]
+        made = pa.array([(t.lower() if u else t).replace("\n", " ") for t, u in zip(texts, usual)], pa.large_string())
+        return pc.if_else(pa.array(usual, pa.bool_()), pc.replace_substring_regex(made, EDGE, r"\1 \2"), made)
+
+    def _usual(self, text: str) -> bool:
+        try:
+            text.isascii() or text.encode("latin-1")  # much faster than the search
+        except UnicodeEncodeError:
+            return not self.unusual.search(text)
+        return "<|" not in text
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.known) + len(words) > self.room:
-            self._forget_all_but(words)
+            self._forget(words)
         known = self.known
         numbers = np.array([known.get(w, -1) for w in words], np.int64)
+        self.again[numbers[numbers >= 0]] = True
         places = np.flatnonzero(numbers < 0)
         if len(places):
             missing = [words[i] for i in places.tolist()]
@@ -111,17 +129,31 @@ class TextEncoder:
             simple, others = [], []
             for w in missing:
                 (simple if whole.issuperset(w) else others).append(w)
-            tokenize, forms = self.tokenizer.model.tokenize, self.letters
-            self._add(simple, [[t.id for t in tokenize(w if w.isascii() else w.translate(forms))] for w in simple])
+            for at in range(0, len(simple), 4096):
+                self._add_simple(simple[at : at + 4096])
             for at in range(0, len(others), 1024):
                 part = others[at : at + 1024]
                 self._add(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
             numbers[places] = [known[w] for w in missing]
         return numbers
 
-    def _forget_all_but(self, words: list[str]) -> None:
-        """Start anew with those of these words that are known: the frequent ones are among them."""
-        kept = [w for w in words if w and w in self.known]
+    def _add_simple(self, words: list[str]) -> None:
+        """Words of whole letters alone go to the model many at once; the suffix of its last unit ends each."""
+        text = " ".join(words)
+        if not text.isascii():
+            text = text.translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last.take(ids)) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            self._put(words, ids, np.diff(ends, prepend=0))
+        else:  # the model has no unit for the end of some word
+            self._add(words, [[t.id for t in self.tokenizer.model.tokenize(w.translate(self.letters))] for w in words])
+
+    def _forget(self, words: list[str]) -> None:
+        """Start anew with the words met again since the last time, or with those of ``words`` if these are too many."""
+        kept = [w for w, again in zip(self.known, self.again.tolist()) if w and again]
+        if len(kept) > self.room // 2:
+            kept = [w for w in words if w and w in self.known]
         at = np.array([self.known[w] for w in kept], np.int64)
         flat, start, lengths = self.flat, self.start[at], self.length[at]
         self._empty()
@@ -138,6 +170,7 @@ class TextEncoder:
         while first + len(words) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[first : first + len(words)] = lengths
         self.start[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
