@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tests.test_joins_in_time import EPOCH_ROW, epoch_messages, epochs_plainly
 from tidegate.operators import triggers as tr
 from tidegate.sources.readers import file_stream
 from tidegate.streaming import processors as ps
@@ -153,3 +154,53 @@ def test_keys_of_a_slot_stay_apart(spark, folder, monkeypatch):
     assert rows(counted.filter("key IS NULL OR key <> 99")) == sorted(want, key=repr)
     told = fired.filter("key IS NULL OR key <> 99").groupBy("key", "window_start").agg(F.sum("count"), F.max("pane"))
     assert rows(told) == sorted([(k, (100 + j) * S, 30, 8) for j, k in enumerate(keys)], key=repr)
+
+
+def test_calls_do_not_grow_with_keys_of_epochs():
+    """Two of three parts of epoch 1, then all of epoch 2."""
+
+    def parts(keys):
+        made = [(k, e, p, (100 * e + i) * S, 0) for e, names in ((1, "abb"), (2, "caba")) for i, p in enumerate(names) for k in range(keys)]
+        return pd.DataFrame(made, columns=["key", "epoch", "part", "ts", "id"])
+
+    few, calls = run(ps.CompletionEpochs(3, idle_us=DAY), parts(4))
+    many, as_many = run(ps.CompletionEpochs(3, idle_us=DAY), parts(3_000))
+    want = [x for k in range(4) for x in ((k, 1, "INCOMPLETE", 2, 200 * S), (k, 2, "COMPLETED", 3, 202 * S))]
+    assert as_many == calls and few == sorted(want, key=repr) and len(many) == 6_000
+
+
+def test_epochs_of_a_slot_in_many_frames(monkeypatch):
+    """A micro-batch in many frames, of which only what can count is held: the same rows."""
+    monkeypatch.setattr(ps, "ROWS_AT_ONCE", 20)
+    made = epoch_messages()
+    drawn = pd.DataFrame(made, columns=["key", "epoch", "part", "ts", "id"]).sample(frac=1, random_state=3)
+    machine, handle = ps.CompletionEpochs(3, idle_us=DAY), Handle()
+    machine.init(handle)
+    frames = [drawn[i : i + 10] for i in range(0, len(drawn), 10)]
+    told = pd.concat(machine.handleInputRows((7,), iter(frames), None))
+    assert sorted(told.itertuples(index=False, name=None), key=repr) == epochs_plainly(made, 3)
+
+
+def test_epochs_of_a_slot_stay_apart(spark, folder, monkeypatch):
+    """All keys in one slot, over several micro-batches, with null keys and parts: as each key alone. Messages without a
+    time or an epoch are no parts. Complete epochs end each at its own idle time, the last one just as it is due."""
+    monkeypatch.setattr(ps, "SLOTS", 1)
+    keys, parts = [None, 0, -5, 2**60 + 1], {"a": None, "b": ""}
+    made = [(keys[k], e, parts.get(p, p), ts, i) for k, e, p, ts, i in epoch_messages()]
+    odd = [(k, None, "z", 100 * S, -1 - i) for i, k in enumerate(keys)] + [(k, 90, "z", None, -9 - i) for i, k in enumerate(keys)]
+    far = [(99, 1, "a", 5_000 * S, 1_000)]
+    again = [(k, e, p, (t + i) * S, 2_000 + i) for t, k, e in ((20_000, 7, 3), (20_010, 8, 3)) for i, p in enumerate("abc")]
+    due = [(99, 2, "a", 20_012 * S + 10_000 * S + 1_000, 3_000)]
+    later = [(k, 1, p, (30_020 + i) * S, 4_000 + i) for k in (7, 8) for i, p in enumerate("abc")]
+    batches = [made[:150] + odd, made[150:300], made[300:450], made[450:], far, again, due, [(99, 2, "a", 30_013 * S, 3_001)], later]
+    for i, batch in enumerate(batches):
+        df = spark.createDataFrame([(*m, None) for m in batch], EPOCH_ROW + ", x int").drop("x")
+        df.withColumn("at", F.timestamp_micros("ts")).coalesce(1).write.parquet(f"{folder}/p={i}")
+    schema = spark.read.parquet(f"{folder}/p=0").schema
+    arrivals = file_stream(spark, f"{folder}/p=*", schema, files_per_batch=1).withWatermark("at", "0 seconds")
+    with state_store(spark):
+        machine = ps.CompletionEpochs(3, idle_us=10_000 * S)
+        got = run_append(ps.stateful(arrivals, ["key"], machine, machine.SCHEMA, timers=True))
+    want = epochs_plainly(made, 3) + [(99, 1, "INCOMPLETE", 1, due[0][3])]
+    want += [(k, e, "COMPLETED", 3, (t + 2) * S) for t, k, e in ((20_000, 7, 3), (20_010, 8, 3), (30_020, 7, 1), (30_020, 8, 1))]
+    assert rows(got) == sorted(want, key=repr)

@@ -509,50 +509,141 @@ class JoinCompletion(StatefulProcessor):
         pass
 
 
+# What a row of CompletionEpochs may have in place of a part's number, and the time of its rows that were kept.
+NO_EPOCH, COMPLETE, NULL_PART = -3, -2, -1
+BEFORE = -(2**63)
+
+
+def whole(column: pd.Series, null: int) -> np.ndarray:
+    """A column of whole numbers; pandas has floats where some are null."""
+    return column.fillna(null).to_numpy("int64")
+
+
+def begins(column: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.concatenate([np.ones(min(1, len(column)), bool), column[1:] != column[:-1]])
+
+
 class CompletionEpochs(StatefulProcessor):
     """Completion over epochs, per key: parts of the newest epoch are gathered, older ones are ignored, and a newer epoch
-    takes the place of the open one, which is an INCOMPLETE row unless it was COMPLETED. State: one epoch, and its
-    parts until it is complete. With ``idle_us`` (and timers) a complete epoch's state ends when the watermark is
-    so far past the key's last message; a key that speaks again begins anew."""
+    takes the place of the open one, which is an INCOMPLETE row unless it was COMPLETED. Messages without a time or an
+    epoch are no parts. State, by slot: each key's open epoch, a row for each of its parts or one row when it is
+    complete, with the key's last time; these are packed into one value, with the names of their parts. With
+    ``idle_us`` (and timers) a complete epoch's state ends when the watermark is so far past the key's last message; a
+    key that speaks again begins anew. A slot has one timer."""
 
     SCHEMA = "key bigint, epoch bigint, status string, parts bigint, at bigint"
+    in_slots = True
 
     def __init__(self, expected: int, idle_us: int | None = None):
         self.expected, self.idle = expected, idle_us
 
     def init(self, handle) -> None:
-        self.open = handle.getValueState("open", "epoch bigint, parts bigint, last bigint")
-        self.parts = handle.getMapState("parts", "part string", "seen boolean")
+        self.open = handle.getValueState("open", "names array<string>, packed binary")
         self.timer = OneTimer(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        epoch, n, last = self.open.get() if self.open.exists() else (None, 0, 0)
-        out = []
-        for row in arrivals(rows, "ts", "id").itertuples(index=False):
-            last = max(last, int(row.ts))
-            if epoch is not None and row.epoch < epoch:
-                continue
-            if epoch is None or row.epoch > epoch:
-                if epoch is not None and n < self.expected:
-                    out.append((*key, epoch, "INCOMPLETE", n, int(row.ts)))
-                epoch, n = int(row.epoch), 0
-                self.parts.clear()
-            if n < self.expected and not self.parts.containsKey((row.part,)):
-                self.parts.updateValue((row.part,), (True,))
-                n += 1
-                if n == self.expected:
-                    out.append((*key, epoch, "COMPLETED", n, int(row.ts)))
-                    self.parts.clear()
-        self.open.update((epoch, n, last))
-        if self.idle is not None:
-            self.timer.set((last + self.idle) // 1000 + 1 if n == self.expected else None)
-        yield pd.DataFrame(out, columns=names(self.SCHEMA))
+        names_of, kept = self._kept()
+        numbers = {name: i for i, name in enumerate(names_of)}
+        new, most = np.empty((5, 0), np.int64), ROWS_AT_ONCE
+        for frame in gathered(rows):
+            new = np.concatenate([new, self._messages(frame, numbers)], axis=1)
+            if new.shape[1] > most:
+                new = self._needed(new)
+                most = max(most, 2 * new.shape[1])
+        meet = np.isin(kept[0], new[0])
+        own, epoch, part, last = kept[:, meet]
+        held = np.stack([own, epoch, part, np.full(len(own), BEFORE), last])
+        stay, told = self._take(np.concatenate([held, new], axis=1))
+        self._keep(list(numbers), np.concatenate([kept[:, ~meet], stay], axis=1))
+        yield self._frame(key, told)
+
+    def _messages(self, frame: pd.DataFrame, numbers: dict[str, int]) -> np.ndarray:
+        """Columns key, epoch, part's number, time and id, as rows. New parts are given numbers."""
+        frame = frame[frame["ts"].notna()]
+        at, found = pd.factorize(frame["part"])
+        part = np.array([*(numbers.setdefault(name, len(numbers)) for name in found), NULL_PART])[at]
+        part[frame["epoch"].isna()] = NO_EPOCH
+        columns = [("key", 0), ("epoch", BEFORE), None, ("ts", 0), ("id", 2**62)]
+        return np.stack([whole(frame[c[0]], c[1]) if c else part for c in columns])
+
+    def _needed(self, messages: np.ndarray) -> np.ndarray:
+        """The first message of each key, epoch and part, and each key's last."""
+        own, epoch, part, ts, order = messages
+        by_part = np.lexsort((order, ts, part, epoch, own))
+        first = begins(own[by_part]) | begins(epoch[by_part]) | begins(part[by_part])
+        by_time = np.lexsort((ts, own))
+        last = np.roll(begins(own[by_time]), -1)
+        return messages[:, np.union1d(by_part[first], by_time[last])]
+
+    def _take(self, messages: np.ndarray) -> tuple[np.ndarray, tuple[list[np.ndarray], ...]]:
+        """What is kept of some keys, and their COMPLETED and INCOMPLETE rows, from what was kept of them and their new
+        messages."""
+        own, epoch, _, ts, order = messages
+        # Of messages of one time and id the newest epoch's is first.
+        own, epoch, part, ts, order = messages[:, np.lexsort((~epoch, order, ts, own))]
+        keys = np.flatnonzero(begins(own))
+        newest = ts[np.append(keys[1:], len(own)) - 1] if len(own) else ts
+        last = np.where(ts[keys] == BEFORE, np.maximum(newest, order[keys]), newest)
+
+        # A key's newest epoch so far, as places among all epochs: later keys have higher ones.
+        epochs, place = np.unique(epoch, return_inverse=True)
+        number = np.cumsum(begins(own)) - 1
+        level = number * len(epochs) + place
+        live = np.flatnonzero((level == np.maximum.accumulate(level)) & (part != NO_EPOCH))
+        # The first of each part, in order of arrival; rows of one key and epoch follow each other.
+        pair = (np.cumsum(begins(level[live])) - 1) * (part.max(initial=0) + 3) + part[live] + 2
+        live = live[np.sort(np.unique(pair, return_index=True)[1])]
+        own, epoch, part, ts, number = (c[live] for c in (own, epoch, part, ts, number))
+        starts = begins(level[live])
+        first, run = np.flatnonzero(starts), np.cumsum(starts) - 1
+
+        count = np.cumsum(np.where(part == COMPLETE, self.expected, 1))
+        count -= np.concatenate([[0], count])[first][run]
+        ends = np.append(first[1:], len(own)) - 1 if len(own) else first
+        parts = np.minimum(count[ends], self.expected)
+        done = (count == self.expected) & (ts != BEFORE)
+        replaced = np.zeros(len(first), bool)
+        replaced[:-1] = number[first[1:]] == number[first[:-1]]
+        dropped = np.flatnonzero(replaced & (parts < self.expected))
+        after = first[dropped + 1]
+        told = [own[done], epoch[done], count[done], ts[done]], [own[after], epoch[first[dropped]], parts[dropped], ts[after]]
+
+        complete = (parts == self.expected)[run]
+        stays = ~replaced[run] & (~complete | starts)
+        stay = np.stack([own, epoch, np.where(complete, COMPLETE, part), last[number]])[:, stays]
+        return stay, told
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.timer.expired()
-        self.open.clear()
+        names_of, kept = self._kept()
+        ended = (kept[2] == COMPLETE) & (self._due(kept[3]) <= timerValues.getCurrentWatermarkInMs())
+        self._keep(names_of, kept[:, ~ended])
         yield pd.DataFrame([], columns=names(self.SCHEMA))
 
+    def _due(self, last: np.ndarray) -> np.ndarray:
+        return (last + self.idle) // 1000 + 1
+
+    def _kept(self) -> tuple[list[str], np.ndarray]:
+        names_of, packed = self.open.get() if self.open.exists() else ([], None)
+        return list(names_of), unpacked(packed, 4)
+
+    def _keep(self, names_of: list[str], kept: np.ndarray) -> None:
+        if kept.shape[1]:
+            named = kept[2] >= 0
+            used, kept[2, named] = np.unique(kept[2, named], return_inverse=True)
+            self.open.update(([names_of[i] for i in used], kept.tobytes()))
+        else:
+            self.open.clear()
+        if self.idle is not None:
+            dues = self._due(kept[3, kept[2] == COMPLETE])
+            self.timer.set(int(dues.min()) if len(dues) else None)
+
+    def _frame(self, key, told) -> pd.DataFrame:
+        own, epoch, parts, at = (np.concatenate(c) for c in zip(*told))
+        status = np.repeat(np.array(["COMPLETED", "INCOMPLETE"], object), [len(t[0]) for t in told])
+        return pd.DataFrame({"key": key_column(key[0], 0, own), "epoch": epoch, "status": status, "parts": parts, "at": at})
+
     def close(self) -> None:
         pass
 
